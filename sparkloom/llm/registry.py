@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import simhash
+from sparkloom.llm import kneser_ney, packing, simhash
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     }
 
 

@@ -16,8 +16,9 @@ Hence joining on every choice of k - t blocks loses no link. k grows with the
 number of distinct fingerprints (5 to 8), which keeps blocks small.
 
 Copies share a fingerprint and are never expanded into pairs. Components are
-found on distinct fingerprints by min-label propagation with pointer jumping,
-each round cut by a checkpoint; nothing is collected to the driver.
+found on distinct fingerprints by rounds of pointing to the smallest neighbour,
+shortening pointers and contracting links, each cut by a checkpoint; nothing is
+collected to the driver.
 
 Edge cases: null or wordless texts have fingerprint 0 (linked like any other);
 fewer words than a shingle count as one shingle; null ids keep their row, a
@@ -112,19 +113,28 @@ def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``node, root`` for every node that occurs in ``edges (a, b)``; root is the component's smallest node."""
-    both = cut(edges.union(edges.select("b", "a")).distinct().toDF("a", "b"))
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root"))
-    label = cut(label)
-    while True:
-        seen = both.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
-        step = label.join(seen.withColumnRenamed("a", "node"), "node").select("node", "root", F.least("root", "m").alias("now"))
-        jump = label.select(F.col("node").alias("now"), F.col("root").alias("far"))
-        step = cut(step.join(jump, "now").select("node", F.least("now", "far").alias("root"), (F.least("now", "far") < F.col("root")).alias("moved")))
-        label = step.select("node", "root")
-        if step.filter("moved").isEmpty():
-            return label
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for every node that occurs in ``edges (a, b)``; root is the component's smallest node.
+
+    Every round, each node points to its smallest neighbour (or itself), chains
+    of pointers are shortened, and links are contracted to those between
+    different roots, so the links left shrink from round to round.
+    """
+    left = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    member = None
+    while not left.isEmpty():
+        low = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        up = cut(low.union(left.select("a", "a")).groupBy("node").agg(F.min("up").alias("up")))
+        for _ in range(2):
+            up = up.join(up.toDF("up", "far"), "up").select("node", F.col("far").alias("up"))
+        up = cut(up)
+        if member is None:
+            member = up.toDF("node", "root")
+        else:
+            member = cut(member.join(up.toDF("root", "now"), "root", "left").select("node", F.coalesce("now", "root").alias("root")))
+        step = left.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").filter("x <> y")
+        left = cut(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return left.toDF("node", "root") if member is None else member
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
