@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import bisect
 import sys
+import unicodedata
 import zlib
 from array import array
 from collections import Counter
@@ -52,43 +53,56 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The printable stand-in of every byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 class Ids(dict):
     """Chunk of text without blanks -> its ids as little-endian 32-bit words.
 
     The tokenizer drops white space and never joins what it separates, so chunks
     between blanks are encoded on their own and remembered, up to a bound. It
     lowers letters and splits them from punctuation, so letters with a comma or
-    full stop are put together from their lower-case word and the mark.
+    full stop are put together from their lower-case word and the mark, and
+    words of letters go straight to its merge model.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    def __init__(self, path: str, bound: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.encoder, self.bound, self.words = Tokenizer.from_file(path), bound, {}
         self.encoder.no_padding()
         self.encoder.no_truncation()
-
-    def learn(self, chunks) -> None:
-        """Encodes what is not known yet in one batch."""
-        chunks = set(chunks)
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > self.bound:
+        self.merge, self.letters = self.encoder.model.tokenize, _byte_letters()
+        self.marks = {m: self.bytes(self.encoder.encode(m, add_special_tokens=False).ids) for m in ",."} | {"": b""}
+
+    @staticmethod
+    def bytes(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        mark = chunk[-1:] if chunk[-1:] in (",", ".") else ""
+        core = chunk[:-1] if mark else chunk
+        word = core.lower()
+        plain = core.isascii() or ("\u03a3" not in core and word.isalpha() and unicodedata.is_normalized("NFC", core))
+        if plain and core.isalpha():
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.bytes([t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))])
+                if len(self.words) >= self.bound:
+                    self.words.clear()
+                self.words[word] = ids
+            ids += self.marks[mark]
+        else:
+            ids = self.bytes(self.encoder.encode(chunk, add_special_tokens=False).ids)
+        if len(self) >= self.bound:
             self.clear()
-            new = list(chunks)
-        made = []
-        for c in new:
-            mark = c[-1:] if c[-1:] in (",", ".") else ""
-            core = c[:-1] if mark else c
-            made.append((c, core.lower(), mark) if core.isalpha() and "\u03a3" not in core else (c, c, ""))
-        wanted = {w for _, w, _ in made} | {",", "."}
-        if len(self.words) + len(wanted) > self.bound:
-            self.words.clear()
-        wanted = [w for w in wanted if w not in self.words]
-        for w, e in zip(wanted, self.encoder.encode_batch_fast(wanted, add_special_tokens=False)):
-            self.words[w] = array("I", e.ids).tobytes() if sys.byteorder == "little" else np.array(e.ids, "<u4").tobytes()
-        for c, w, mark in made:
-            self[c] = self.words[w] + self.words[mark] if mark else self.words[w]
+        self[chunk] = ids
+        return ids
 
 
 _KNOWN: dict[str, Ids] = {}
@@ -114,20 +128,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         known = known_ids(path)
         for b in batches:
             out: dict[str, list] = {k: [] for k in ("at", "piece", "start", "length", "crc", "ids")}
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 64):
-                split = [chunks_of(t) for t in texts[lo : lo + 64]]
-                known.learn(c for s in split for c in s)
-                for i, s in enumerate(split, lo):
-                    ids = b"".join(map(known.__getitem__, s)) + b"\0\0\0\0"
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        out["at"].append(i)
-                        out["piece"].append(k)
-                        out["start"].append(at // 4)
-                        out["length"].append(len(part) // 4)
-                        out["crc"].append(zlib.crc32(part))
-                        out["ids"].append(part if with_ids else None)
+            for i, t in enumerate(b.column(1).to_pylist()):
+                ids = b"".join(map(known.__getitem__, chunks_of(t))) + b"\0\0\0\0"
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[at : at + 4 * capacity]
+                    out["at"].append(i)
+                    out["piece"].append(k)
+                    out["start"].append(at // 4)
+                    out["length"].append(len(part) // 4)
+                    out["crc"].append(zlib.crc32(part))
+                    out["ids"].append(part if with_ids else None)
             cols = [b.column(0).take(pa.array(out["at"], pa.int64())), pa.array(out["piece"], pa.int32())]
             cols += [pa.array(out[k], pa.int64()) for k in ("start", "length", "crc")] + [pa.array(out["ids"], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
