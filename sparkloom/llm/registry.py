@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import kneser_ney, packing, simhash
+from sparkloom.llm import kneser_ney, packing, simhash, toxicity
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     }
