@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import kneser_ney, packing, simhash, toxicity
+from sparkloom.llm import kneser_ney, lines, packing, simhash, toxicity, urls, warc
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_line_spread": lines.op2_line_spread,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_warc": warc.op6_warc,
+        "op7_url_rules": urls.op7_url_rules,
         "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL, where SQL can express the query on whole tables."""
-    return {}
+    return {
+        "op2_line_spread": lines.OP2_SQL,
+        "op6_warc": warc.OP6_SQL,
+    }
