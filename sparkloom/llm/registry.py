@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import kneser_ney, lines, packing, simhash, toxicity, urls, warc
+from sparkloom.llm import ann, decontaminate, kneser_ney, lines, packing, simhash, substring, toxicity, urls, warc
 
 
 def queries() -> dict:
@@ -10,10 +10,13 @@ def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_line_spread": lines.op2_line_spread,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op6_warc": warc.op6_warc,
         "op7_url_rules": urls.op7_url_rules,
+        "op8_passages": substring.op8_passages,
+        "op9_prefix_forest": ann.op9_prefix_forest,
         "op10_kneser_ney": kneser_ney.op10_kneser_ney,
     }
 
