@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from sparkloom.llm import ann, decontaminate, kneser_ney, lines, packing, simhash, substring, toxicity, urls, warc
 
 
 def queries() -> dict:
     """Name -> callable(spark, sf_dir)."""
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_simhash": simhash.op1_simhash,
         "op2_line_spread": lines.op2_line_spread,
         "op3_decontamination": decontaminate.op3_decontamination,
