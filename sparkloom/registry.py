@@ -1,9 +1,8 @@
-"""All queries of the engine: name -> (callable, oracle SQL)."""
+"""All queries of the engine by name, and their oracle SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from sparkloom.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 FLAGSHIP = "sql_group_having"
