@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,7 @@ WIDTH = 5
 BITMAP = 1 << 24
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
 QUANTITY = re.compile(r"[+-]?\d[\d.,]*[a-z°µ%]{1,3}")
+LINE_END = "\ue000"
 UNITS = frozenset("kg g mg t lb lbs oz km m cm mm mi ft in yd l ml dl h hr hrs min mins s sec secs ms day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles dollar dollars euro euros cent cents percent degrees kmh mph w kw v a hz j pa k c f b kb mb gb tb".split())
 OUTER = "\"'`´“”‘’«»„()[]{}<>.,;:!?¡¿…*#&_|~-–—/\\"
 NUM, UNIT, NAME, WORD, DROP = 1, 2, 3, 0, 4
@@ -48,39 +50,55 @@ POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WIDTH)], n
 class Words(dict):
     """Raw word -> number of its attributes: literal hash, kind as far as the word tells, capital, ends a sentence."""
 
-    def __init__(self):
+    def __init__(self, room: int = 1 << 12):
         super().__init__()
-        self.rows: list[tuple[int, int, bool, bool]] = []
+        self.hashes, self.flags = np.zeros(room, np.uint64), np.zeros(room, np.int8)
 
     def __missing__(self, raw: str) -> int:
-        core = raw.strip(OUTER)
+        core = "" if raw == LINE_END else raw.strip(OUTER)
         low = core.lower()
         if not low:
             kind = DROP
+        elif low.isalpha():
+            kind = UNIT if low in UNITS else WORD
         elif NUMBER.fullmatch(low) or QUANTITY.fullmatch(low):
             kind = NUM
         else:
             kind = UNIT if low in UNITS else WORD
-        ends = raw == "\n" or raw.rstrip("\"'”’»)]").endswith((".", "!", "?", ":", "…"))
-        self.rows.append((xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7), kind, core[:1].isupper(), ends))
-        self[raw] = len(self.rows) - 1
-        return self[raw]
+        ends = raw == LINE_END or raw[-1] in ".!?:…" or raw.rstrip("\"'”’»)]")[-1:] in (".", "!", "?", ":", "…")
+        i = len(self)
+        if i == len(self.hashes):
+            self.hashes, self.flags = (np.concatenate((x, np.zeros_like(x))) for x in (self.hashes, self.flags))
+        self.hashes[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7)
+        self.flags[i] = kind | core[:1].isupper() << 3 | ends << 4
+        self[raw] = i
+        return i
+
+
+_KNOWN = Words()
+
 
-    def attributes(self):
-        """Arrays over all words seen so far."""
-        h, kind, cap, ends = zip(*self.rows) if self.rows else ((), (), (), ())
-        return np.array(h, np.uint64), np.array(kind, np.int8), np.array(cap, bool), np.array(ends, bool)
+def known_words(bound: int = 600_000) -> Words:
+    """This process's memory of words, kept from task to task and emptied when it is full."""
+    if len(_KNOWN) > bound:
+        _KNOWN.clear()
+    return _KNOWN
 
 
-def canonical(words: list[str], n: np.ndarray, known) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of kept words, their literal hashes, template hashes and types."""
-    h, kind, cap, ends = (x[n] for x in known)
-    first = np.concatenate(([True], ends[:-1])) if len(n) else np.zeros(0, bool)
+def canonical(n: np.ndarray, fresh: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of kept words, their literal hashes, template hashes and types. ``fresh``: a text begins here."""
+    h, flags = known.hashes[n], known.flags[n]
+    kind, cap, ends = flags & 7, flags & 8 > 0, flags & 16 > 0
+    first = fresh.copy()
+    first[1:] |= ends[:-1]
     keep = np.flatnonzero(kind != DROP)
+    if not len(keep):
+        return keep, h[:0], h[:0], kind[:0]
     # a dropped mark (a dash, a line end) between words may end the sentence too
-    starts = np.logical_or.reduceat(first, np.concatenate(([0], keep[:-1] + 1)))[: len(keep)] if len(keep) else np.zeros(0, bool)
+    starts = np.logical_or.reduceat(first, np.concatenate(([0], keep[:-1] + 1)))
     h, kind, cap = h[keep], kind[keep].copy(), cap[keep]
-    after_number = np.concatenate(([False], kind[:-1] == NUM))
+    after_number = np.zeros(len(kind), bool)
+    after_number[1:] = (kind[:-1] == NUM) & ~starts[1:]
     kind[(kind == UNIT) & ~after_number] = WORD
     kind[(kind == WORD) & cap & ~starts] = NAME
     template = h.copy()
@@ -101,13 +119,11 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
+
+
 def _raw(text: str | None) -> list[str]:
-    out: list[str] = []
-    for k, line in enumerate((text or "").split("\n")):
-        if k:
-            out.append("\n")
-        out.extend(line.split())
-    return out
+    """Raw words, line ends among them."""
+    return (text or "").replace("\n", f" {LINE_END} ").split()
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -120,7 +136,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             for row, t in enumerate(b.column(1).to_pylist()):
                 words, known = _raw(t), Words()
                 n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                keep, h, template, types = canonical(words, n, known.attributes())
+                keep, h, template, types = canonical(n, np.arange(len(n)) == 0, known)
                 width = min(WIDTH, len(h))
                 if not width:
                     continue
@@ -170,58 +186,57 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5
             covered[item_id, n] |= {pos for pos, pairs in found.items() if agree or not pairs}
         return [(i, n, len(c)) for (i, n), c in covered.items() if len(c) >= min_cover * n]
 
-    def found(batch, known):
+    def found(batch):
         """For each row of a batch, its contaminations."""
         out = [[] for _ in range(batch.num_rows)]
         mask = np.unpackbits(bits.value).view(bool)
         texts = batch.column(text_at).to_pylist()
         for lo in range(0, len(texts), 128):
-            if len(known) > 600_000:
-                known.clear()
-                known.rows.clear()
+            known = known_words()
             raw = [_raw(t) for t in texts[lo : lo + 128]]
-            numbers = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in raw]
-            attributes = known.attributes()
-            canon = [canonical(w, n, attributes) for w, n in zip(raw, numbers)]
+            sizes = np.array([len(w) for w in raw], np.int64)
+            begin = np.cumsum(sizes) - sizes
+            words = list(chain.from_iterable(raw))
+            fresh = np.zeros(len(words), bool)
+            fresh[begin[sizes > 0]] = True
+            keep, h, template, types = canonical(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), fresh, known)
+            doc = np.repeat(np.arange(len(raw)), sizes)[keep]
             where = []
-            for i, (_, h, template, _) in enumerate(canon):
-                for width in widths:
-                    a, c = window_hashes(h, width), window_hashes(template, width)
-                    for x, differs in ((a, None), (c, c != a)):
-                        ok = mask[(x >> np.uint64(40)).astype(np.int64)]
-                        p = np.flatnonzero(ok if differs is None else ok & differs)
-                        if len(p):
-                            where.append((np.full(len(p), i), p, x[p]))
+            for width in widths:
+                a, c = window_hashes(h, width), window_hashes(template, width)
+                inside = doc[: len(a)] == doc[width - 1 : width - 1 + len(a)]
+                for x, ok in ((a, inside), (c, inside & (c != a))):
+                    p = np.flatnonzero(mask[(x >> np.uint64(40)).astype(np.int64)] & ok)
+                    if len(p):
+                        where.append((p, x[p]))
             if not where:
                 continue
-            doc, pos, key = (np.concatenate(x) for x in zip(*where))
+            pos, key = (np.concatenate(x) for x in zip(*where))
             hits = defaultdict(list)
             for shard in shards:
                 keys, src, literal, items = shard.value
                 a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 for k in np.flatnonzero(z > a):
                     for j in range(a[k], z[k]):
-                        hits[int(doc[k])].append((int(pos[k]), bool(literal[j]), items[src[j]]))
+                        hits[int(doc[pos[k]])].append((int(pos[k]), bool(literal[j]), items[src[j]]))
                 if len(shards) > 1:
                     del shard._value
-            for i, h in hits.items():
-                out[lo + i] = matches(raw[i], canon[i][0], canon[i][3], sorted(h, key=lambda x: not x[1]))
+            for i, x in hits.items():
+                out[lo + i] = matches(words, keep, types, sorted(x, key=lambda x: not x[1]))
         return out
 
     if flag_rows:
 
         def clean(batches):
-            known = Words()
             for b in batches:
-                yield b.filter(pa.array([not x for x in found(b, known)], pa.bool_()))
+                yield b.filter(pa.array([not x for x in found(b)], pa.bool_()))
 
         return docs.mapInArrow(clean, docs.schema)
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches):
-        known = Words()
         for b in batches:
-            all_found = [(row, *f) for row, fs in enumerate(found(b, known)) for f in fs]
+            all_found = [(row, *f) for row, fs in enumerate(found(b)) for f in fs]
             ids = b.column(id_at).take(pa.array([f[0] for f in all_found], pa.int64()))
             cols = [pa.array([f[1] for f in all_found], arrow_item), *(pa.array([f[k] for f in all_found], pa.int64()) for k in (2, 3))]
             cols.append(pa.array([f[3] / f[2] for f in all_found], pa.float64()))

@@ -39,18 +39,32 @@ LG_K = 12
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``h1, h2, site, content`` of every line with content."""
-    trimmed = F.transform(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)))
-    longest = F.array_max(F.transform("ls", lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("h"), F.xxhash64(x))))
-    d = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("site"), F.filter(trimmed, lambda x: x != "").alias("ls"))
-    d = d.select("site", longest["h"].alias("content"), F.explode("ls").alias("x"))
-    return d.select(F.xxhash64("x").alias("h1"), F.xxhash64(F.concat(F.lit("#"), "x")).alias("h2"), "site", "content")
+    """``h1, h2, site, content`` (hashes) of every line with content."""
+
+    def run(batches):
+        for b in batches:
+            lines, sizes, sites = [], [], []
+            for t, site in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = [x for x in (y.strip(BLANKS) for y in (t or "").split("\n")) if x]
+                lines += own
+                sizes.append(len(own))
+                sites.append(xxhash.xxh64_intdigest(("\x00" if site is None else str(site)).encode("utf-8", "surrogatepass"), 42))
+            h1, h2 = _hashes(lines)
+            content, at = np.zeros(len(sizes), np.int64), 0
+            for i, n in enumerate(sizes):
+                if n:
+                    content[i] = max((len(x), h) for x, h in zip(lines[at : at + n], h1[at : at + n].tolist()))[1]
+                at += n
+            site = np.repeat(np.array(sites, np.uint64).astype(np.int64), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, site, np.repeat(content, sizes))], names=["h1", "h2", "site", "content"])
+
+    return docs.select("text", "source").mapInArrow(run, "h1 bigint, h2 bigint, site bigint, content bigint")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 5, small: int = 1_000_000) -> DataFrame:
     """``h1, h2`` of all boilerplate lines of ``docs`` (columns text, source)."""
-    lines, key = _lines(docs), ["h1", "h2"]
-    site = F.xxhash64("site")
+    lines, key = cut(_lines(docs)), ["h1", "h2"]  # four longs for a line, read three times
+    site = F.col("site")
     often = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(site).alias("a"), F.max(site).alias("b"), F.min("content").alias("c"), F.max("content").alias("d"))
     spread = (F.col("n") >= min_sites) & (F.lit(min_sites < 2) | ((F.col("a") != F.col("b")) & (F.col("c") != F.col("d"))))
     often = cut(often.filter(spread).select(*key))

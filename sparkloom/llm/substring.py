@@ -78,7 +78,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, min_words: int = 45) -> DataFrame:
     """``doc_id, text_hash, start, end, n_words, first_doc`` of every span to remove."""
     u = unit_table(docs)
-    first = u.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_doc")
+    first = cut(u.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_doc"))
     dup = u.join(first, "digest").filter("again OR (first_doc IS NOT NULL AND NOT doc_id <=> first_doc)")
     doc = W.partitionBy("doc_id", "text_hash")
     runs = dup.withColumn("island", F.col("pos") - F.dense_rank().over(doc.orderBy("pos")))
