@@ -115,25 +115,28 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(chunk: str, model: np.ndarray) -> str:
-    """The most probable restored form of a chunk."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The most probable restored form of a chunk. Paths are kept as links to their beginnings, so long chunks stay linear."""
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*lattice(chunk), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (x, y), (score, text) in paths.items():
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (x, y), (score, path) in paths.items():
             for meant, cost in options:
-                u, v, s, t = x, y, score - cost, text
+                u, v, s, t = x, y, score - cost, path
                 for c in meant:
                     z = int(ALPHABET[ord(c)]) if ord(c) < 1 << 16 else 0
                     if z == 0 and v == 0:
                         continue
                     s += float(model[u, v, z])
-                    u, v, t = v, z, t + (c if z else " ")
+                    u, v, t = v, z, (t, c if z else " ")
                 if (u, v) not in new or new[u, v][0] < s:
                     new[u, v] = (s, t)
         paths = new
-        if len(chunk) > 400:  # long chunks: the paths share their beginnings, so a few are enough
-            paths = dict(sorted(paths.items(), key=lambda p: -p[1][0])[:8])
-    return max(paths.values())[1].strip()
+    _, path = max(paths.values(), key=lambda p: p[0])
+    out = []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out)).strip()
 
 
 class Restored(dict):
