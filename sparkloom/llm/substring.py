@@ -1,16 +1,20 @@
 """Substring dedup by hashing normalised line parts.
 
-Units. A text is cut at line ends, after sentence ends, and before a capitalised
-word that follows a word without a sentence end (where a passage was pasted into
-running text). A unit is normalised (lower case, words joined by one blank) and
-hashed. Units of all texts are grouped by digest with partial aggregation; the
-earliest ranked occurrence (smallest id, then first in the text) is kept and
-every other one is a duplicate. Neighbouring duplicates form runs; runs of at least
-``min_words`` words are removed and reported with their original offsets.
-Single short sentences that recur by nature therefore stay.
+Units. Passages are pasted into lines as often as between them, so a line is cut
+into parts: after sentence ends, and after anchor words (one word in ``ANCHOR`` by
+its hash). Both cuts depend on the words alone, so two copies of a passage are cut
+alike wherever they stand. A unit is normalised (lower case, words joined by one
+blank) and hashed. Units of all texts are grouped by digest with partial
+aggregation; the earliest ranked occurrence (smallest id, then first in the text)
+is kept and every other one is a duplicate. Neighbouring duplicates form runs; runs
+of at least ``min_words`` words are removed and reported with their original
+offsets. Short parts that recur by nature therefore stay. A passage of over 50 words
+leaves such a run wherever it begins and ends, as what is lost at either end is the
+part of a unit.
 
 The join of units with their digest's first id is split at run time where a
-digest is hot; runs are found by window functions inside one text.
+digest is hot; repeated rows are reduced to one by aggregation before runs are
+found by window functions inside one text.
 
 Edge cases: null, empty and wordless texts have no units; rows that share an id
 (repeated rows too) are one document and only lose what an earlier id or their
@@ -20,8 +24,6 @@ an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,59 +33,105 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, table
 
-#: A unit: up to a sentence end before white space, a line end, or a word before a capitalised one.
-END = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s)|\n|(?<=[^\W\d_])[,;:]?(?= [A-ZÀ-ÖØ-ÞŸŒĀ-ŽА-Я])")
+ANCHOR = 4
+STOPS = (".", "!", "?", "…")
+CLOSING = "\"'”’»)]"
+SPACE = np.array([chr(i).isspace() for i in range(0xFFFF)] + [False])
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words(dict):
+    """Raw word -> number of its attributes: hash of its lower case, and whether a unit ends after it."""
+
+    def __init__(self, room: int = 1 << 12):
+        super().__init__()
+        self.hashes, self.ends = np.zeros(room, np.uint64), np.zeros(room, bool)
+
+    def __missing__(self, raw: str) -> int:
+        i = len(self)
+        if i == len(self.hashes):
+            self.hashes, self.ends = (np.concatenate((x, np.zeros_like(x))) for x in (self.hashes, self.ends))
+        h = xxhash.xxh64_intdigest(raw.lower().encode("utf-8", "surrogatepass"), 11)
+        self.hashes[i] = h
+        self.ends[i] = (h >> 7) % ANCHOR == 0 or raw.rstrip(CLOSING).endswith(STOPS)
+        self[raw] = i
+        return i
+
+
+_KNOWN = Words()
+
+
+def known_words(bound: int = 600_000) -> Words:
+    """This process's memory of words, kept from task to task and emptied when it is full."""
+    if len(_KNOWN) > bound:
+        _KNOWN.clear()
+    return _KNOWN
+
+
+def unit_columns(texts: list[str | None], known: Words) -> tuple[np.ndarray, ...]:
+    """``text number, pos, digest, start, end, words, again`` of every unit of several texts; offsets in code points."""
+    joined = "\n".join(t or "" for t in texts)
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.concatenate(([True], SPACE[np.minimum(cp, 0xFFFF)], [True]))
+    start, end = np.flatnonzero(~blank[1:-1] & blank[:-2]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+    if not len(start):
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    words = joined.split()
+    n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    line = np.cumsum(cp == 10)[start]
+    last = np.flatnonzero(known.ends[n] | np.concatenate((line[1:] > line[:-1], [True])))
+    first = np.concatenate(([0], last[:-1] + 1))
+    size = last - first + 1
+    power = np.cumprod(np.full(size.max(), STEP))
+    digest = np.add.reduceat(known.hashes[n] * power[np.arange(len(n)) - np.repeat(first, size)], first)
+    digest ^= digest >> np.uint64(31)
+    digest = (digest * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    begin = np.cumsum([0, *(len(t or "") + 1 for t in texts[:-1])])
+    doc = np.searchsorted(begin, start[first], "right") - 1
+    pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
+    order = np.lexsort((digest, doc))  # stable: the first of equal units stays first
+    again = np.zeros(len(doc), np.int64)
+    again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    return doc, pos, digest, start[first] - begin[doc], end[last] - begin[doc], size, again
 
 
 def units(text: str | None) -> list[tuple[int, int, int, int]]:
-    """``digest, start, end, words`` of every unit with words; offsets in code points, without outer white space."""
-    out, at, text = [], 0, text or ""
-    low = text.lower()
-    same = len(low) == len(text)
-    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
-        part = (low if same else text)[at:end]
-        words = part.split() if same else part.lower().split()
-        if words:
-            lead = len(part) - len(part.lstrip())
-            digest = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), 11)
-            out.append((digest - (1 << 64) if digest >> 63 else digest, at + lead, at + len(part.rstrip()), len(words)))
-        at = end
-    return out
+    """``digest, start, end, words`` of every unit of one text."""
+    _, _, digest, start, end, size, _ = unit_columns([text], Words())
+    return list(zip(digest.tolist(), start.tolist(), end.tolist(), size.tolist()))
+
+
+def _text_hash(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 11)
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
     """``doc_id, text_hash, pos, digest, start, end, words, again`` of every unit; again: seen earlier in its text."""
+    names = ["doc_id", "text_hash", "pos", "digest", "start", "end", "words", "again"]
 
     def run(batches):
         for b in batches:
-            rows, cols = [], []
-            for row, t in enumerate(b.column(1).to_pylist()):
-                u = units(t)
-                if u:
-                    a = np.array(u, np.int64)
-                    first = np.zeros(len(a), bool)
-                    first[np.unique(a[:, 0], return_index=True)[1]] = True
-                    h = np.uint64(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 11)).astype(np.int64)
-                    cols.append(np.column_stack((np.full(len(a), h), np.arange(len(a)), a, ~first)))
-                    rows.append(np.full(len(a), row))
-            if cols:
-                c, kinds = np.concatenate(cols), [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                out = [b.column(0).take(pa.array(np.concatenate(rows)))] + [pa.array(c[:, i].astype(k.to_pandas_dtype()), k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(c[:, 6] > 0)], names=["doc_id", "text_hash", "pos", "digest", "start", "end", "words", "again"])
+            texts = b.column(1).to_pylist()
+            for lo in range(0, len(texts), 64):
+                part = texts[lo : lo + 64]
+                doc, pos, digest, start, end, size, again = unit_columns(part, known_words())
+                hashes = np.array([_text_hash(t) for t in part], np.uint64).view(np.int64)
+                cols = [b.column(0).take(pa.array(lo + doc)), pa.array(hashes[doc]), pa.array(pos.astype(np.int32)), pa.array(digest)]
+                cols += [pa.array(x.astype(np.int32)) for x in (start, end, size)] + [pa.array(again > 0)]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, pos int, digest bigint, start int, end int, words int, again boolean")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 45) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 40) -> DataFrame:
     """``doc_id, text_hash, start, end, n_words, first_doc`` of every span to remove."""
     u = unit_table(docs)
     first = cut(u.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_doc"))
     dup = u.join(first, "digest").filter("again OR (first_doc IS NOT NULL AND NOT doc_id <=> first_doc)")
-    doc = W.partitionBy("doc_id", "text_hash")
-    runs = dup.withColumn("island", F.col("pos") - F.dense_rank().over(doc.orderBy("pos")))
-    # repeated rows give the same units again, hence dense ranks and distinct positions
-    each = runs.groupBy("doc_id", "text_hash", "island", "pos").agg(F.first("start").alias("start"), F.first("end").alias("end"), F.first("words").alias("words"), F.min("first_doc").alias("first_doc"))
+    # repeated rows give the same units again
+    each = dup.groupBy("doc_id", "text_hash", "pos").agg(*[F.min(c).alias(c) for c in ("start", "end", "words", "first_doc")])
+    each = each.withColumn("island", F.col("pos") - F.row_number().over(W.partitionBy("doc_id", "text_hash").orderBy("pos")))
     spans = each.groupBy("doc_id", "text_hash", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc"))
     return spans.filter(F.col("n_words") >= min_words).drop("island")
 
@@ -94,8 +142,8 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            h = [None if t is None else int(np.uint64(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"), 11)).astype(np.int64)) for t in b.column(b.schema.names.index("text")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], names=[*b.schema.names, "__hash"])
+            h = np.array([_text_hash(t) for t in b.column(b.schema.names.index("text")).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h)], names=[*b.schema.names, "__hash"])
 
     def clean(batches):
         for b in batches:
