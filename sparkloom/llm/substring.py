@@ -1,16 +1,16 @@
 """Substring dedup by hashing normalised line parts.
 
-Units. Passages are pasted into lines as often as between them, so a line is cut
-into parts: after sentence ends, and after anchor words (one word in ``ANCHOR`` by
-its hash). Both cuts depend on the words alone, so two copies of a passage are cut
-alike wherever they stand. A unit is normalised (lower case, words joined by one
+Units. Passages are pasted into lines as often as between them, so lines are cut
+into parts: after sentence ends, inside longer sentences after every word whose hash
+is the least among the ``REACH`` words on either side (none of which ends a line or
+sentence), and after ``LONGEST`` words. Copies of a passage are cut alike but for
+the words at its very ends. A unit is normalised (lower case, words joined by one
 blank) and hashed. Units of all texts are grouped by digest with partial
 aggregation; the earliest ranked occurrence (smallest id, then first in the text)
 is kept and every other one is a duplicate. Neighbouring duplicates form runs; runs
 of at least ``min_words`` words are removed and reported with their original
-offsets. Short parts that recur by nature therefore stay. A passage of over 50 words
-leaves such a run wherever it begins and ends, as what is lost at either end is the
-part of a unit.
+offsets. A passage of over 50 words leaves such a run, as less than a unit and the
+reach of a cut are lost at either end; single sentences that recur by nature stay.
 
 The join of units with their digest's first id is split at run time where a
 digest is hot; repeated rows are reduced to one by aggregation before runs are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import cut, table
 
-ANCHOR = 4
+REACH, LONGEST = 3, 16
 STOPS = (".", "!", "?", "…")
 CLOSING = "\"'”’»)]"
 SPACE = np.array([chr(i).isspace() for i in range(0xFFFF)] + [False])
@@ -41,19 +41,19 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Words(dict):
-    """Raw word -> number of its attributes: hash of its lower case, and whether a unit ends after it."""
+    """Raw word -> number of its attributes: hash of its lower case, and how bad a place to cut it is."""
 
     def __init__(self, room: int = 1 << 12):
         super().__init__()
-        self.hashes, self.ends = np.zeros(room, np.uint64), np.zeros(room, bool)
+        self.hashes, self.scores = np.zeros(room, np.uint64), np.zeros(room, np.uint64)
 
     def __missing__(self, raw: str) -> int:
         i = len(self)
         if i == len(self.hashes):
-            self.hashes, self.ends = (np.concatenate((x, np.zeros_like(x))) for x in (self.hashes, self.ends))
+            self.hashes, self.scores = (np.concatenate((x, np.zeros_like(x))) for x in (self.hashes, self.scores))
         h = xxhash.xxh64_intdigest(raw.lower().encode("utf-8", "surrogatepass"), 11)
         self.hashes[i] = h
-        self.ends[i] = (h >> 7) % ANCHOR == 0 or raw.rstrip(CLOSING).endswith(STOPS)
+        self.scores[i] = (1 if raw.rstrip(CLOSING).endswith(STOPS) else 2) << 61 | h >> 3
         self[raw] = i
         return i
 
@@ -78,16 +78,29 @@ def unit_columns(texts: list[str | None], known: Words) -> tuple[np.ndarray, ...
         return tuple(np.zeros(0, np.int64) for _ in range(7))
     words = joined.split()
     n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    begin = np.cumsum([0, *(len(t or "") + 1 for t in texts[:-1])])
+    of = np.searchsorted(begin, start, "right") - 1
     line = np.cumsum(cp == 10)[start]
-    last = np.flatnonzero(known.ends[n] | np.concatenate((line[1:] > line[:-1], [True])))
+    score = known.scores[n]
+    score[:-1][line[1:] > line[:-1]] &= np.uint64((1 << 61) - 1)
+    at = np.arange(len(n)) + REACH * (of + 1)  # between texts stands what ends a line
+    padded = np.zeros(len(n) + REACH * (len(texts) + 1), np.uint64)
+    padded[at] = score
+    best = score < np.uint64(2 << 61)
+    best[np.flatnonzero(of[1:] > of[:-1])] = best[-1] = True
+    least = np.ones(len(n), bool)
+    for k in range(1, REACH + 1):
+        least &= (score < padded[at - k]) & (score <= padded[at + k])
+    best |= least
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], best[:-1])), np.arange(len(n)), 0))
+    last = np.flatnonzero(best | ((np.arange(len(n)) - first) % LONGEST == LONGEST - 1))
     first = np.concatenate(([0], last[:-1] + 1))
     size = last - first + 1
     power = np.cumprod(np.full(size.max(), STEP))
     digest = np.add.reduceat(known.hashes[n] * power[np.arange(len(n)) - np.repeat(first, size)], first)
     digest ^= digest >> np.uint64(31)
     digest = (digest * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-    begin = np.cumsum([0, *(len(t or "") + 1 for t in texts[:-1])])
-    doc = np.searchsorted(begin, start[first], "right") - 1
+    doc = of[first]
     pos = np.arange(len(doc)) - np.searchsorted(doc, doc)
     order = np.lexsort((digest, doc))  # stable: the first of equal units stays first
     again = np.zeros(len(doc), np.int64)
@@ -124,7 +137,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, pos int, digest bigint, start int, end int, words int, again boolean")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 40) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = 35) -> DataFrame:
     """``doc_id, text_hash, start, end, n_words, first_doc`` of every span to remove."""
     u = unit_table(docs)
     first = cut(u.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_doc"))
