@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words that a Python worker remembers for each purpose: several caches outlive their tasks, so together they must stay small.
+REMEMBERED = 150_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""

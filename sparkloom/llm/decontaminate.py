@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import REMEMBERED, cut, table
 
 WIDTH = 5
 BITMAP = 1 << 24
@@ -78,7 +78,7 @@ class Words(dict):
 _KNOWN = Words()
 
 
-def known_words(bound: int = 600_000) -> Words:
+def known_words(bound: int = REMEMBERED) -> Words:
     """This process's memory of words, kept from task to task and emptied when it is full."""
     if len(_KNOWN) > bound:
         _KNOWN.clear()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import REMEMBERED, cut, table
 
 CAPACITY = 2048
 
@@ -70,7 +70,7 @@ class Ids(dict):
     words of letters go straight to its merge model.
     """
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         super().__init__()

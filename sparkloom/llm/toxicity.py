@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import REMEMBERED, cut, table
 
 SYMBOLS = 128
 BUCKETS = 1 << 22
@@ -142,7 +142,7 @@ def viterbi(chunk: str, model: np.ndarray) -> str:
 class Restored(dict):
     """Chunk -> restored lower-case chunk, remembered up to a bound."""
 
-    def __init__(self, model: np.ndarray, bound: int = 500_000):
+    def __init__(self, model: np.ndarray, bound: int = REMEMBERED):
         super().__init__()
         self.model, self.bound = model, bound
 
