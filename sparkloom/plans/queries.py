@@ -39,6 +39,11 @@ def rnd(c, k=4):
     return F.round(c, k)
 
 
+def half_up(c, k=2):
+    """Rounds the binary value half away from zero (ROUND rounds its shortest decimal form)."""
+    return F.signum(c) * F.floor(F.abs(c) * 10**k + 0.5) / 10**k
+
+
 # --- query language ---------------------------------------------------------
 lang("sql_group_having",
      "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, SUM(l_quantity) AS qty, ROUND(AVG(l_discount), 6) AS disc FROM lineitem WHERE l_quantity BETWEEN 5 AND 40 GROUP BY l_returnflag, l_linestatus HAVING n > 0 ORDER BY l_returnflag, l_linestatus LIMIT 10",
@@ -303,13 +308,13 @@ _R1 = "SELECT date_trunc('minute', ts) AS bucket, count(value) AS n, round(sum(v
 
 @query(_R1)
 def rollup_1m(spark, d):
-    return T.rollup(table(spark, d, "events"), "ts", "value", "1 minute").withColumn("total", rnd("total")).withColumn("mean", rnd("mean", 2))
+    return T.rollup(table(spark, d, "events"), "ts", "value", "1 minute").withColumn("total", rnd("total")).withColumn("mean", half_up("mean"))
 
 
 @query(_R1.replace("'minute'", "'hour'"))
 def downsample_1h(spark, d):
     fine = T.rollup(table(spark, d, "events"), "ts", "value", "1 minute")
-    return T.downsample(fine, "1 hour").withColumn("total", rnd("total")).withColumn("mean", rnd("mean", 2))
+    return T.downsample(fine, "1 hour").withColumn("total", rnd("total")).withColumn("mean", half_up("mean"))
 
 
 @query("SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS hi FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 60000000 PRECEDING AND CURRENT ROW)")
