@@ -42,14 +42,21 @@ from sparkloom.llm.common import cut, narrow_text
 PIVOTS = tuple(int(x) for x in np.random.default_rng(20240229).integers(-(2**63), 2**63 - 1, 16, dtype=np.int64))
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of one text as a signed 64-bit integer (bit 63 is the sign)."""
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
+    """Hash of every word shingle of one text, none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
-    n = max(1, len(words) - width + 1)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, max(1, len(words) - width + 1))
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of one text as a signed 64-bit integer (bit 63 is the sign)."""
+    h = shingle_hashes(text, width, seed)
+    n = len(h)
+    if not n:
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 14):  # bounded memory for very long texts
         ones += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
