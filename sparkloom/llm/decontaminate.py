@@ -14,7 +14,9 @@ Slots. Windows of one item that match at the same distance are one alignment.
 Its slots must agree: a value of the benchmark must always meet the same value of
 the document and of the same type. An alignment that does not agree keeps only
 its windows without slots. A document is contaminated by an item if windows that
-agree cover at least ``min_cover`` of the item's windows.
+agree are at least ``min_cover`` of the item's windows; or if, in one alignment,
+they hold at least ``min_cover`` of its tokens (an edit costs one token, but five
+windows) or ``RUN`` consecutive tokens, whatever share of the item that is.
 
 Edge cases: null, empty and wordless texts match nothing, also on the benchmark's
 side; null ids are reported as null ids; repeated rows are reported each, repeated
@@ -36,6 +38,8 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import REMEMBERED, cut, table
 
 WIDTH = 5
+#: Consecutive tokens of an item that are a leak however long the item is.
+RUN = 13
 BITMAP = 1 << 24
 NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
 QUANTITY = re.compile(r"[+-]?\d[\d.,]*[a-z°µ%]{1,3}")
@@ -173,18 +177,32 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5
     bits = sc.broadcast(np.packbits(bitmap))
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
 
+    def quotes(own, n):
+        """Whether the windows of one alignment hold enough tokens of an item of n windows, or a long run of them."""
+        tokens, run, last = 0, 0, -WIDTH
+        for p in sorted(own):
+            tokens += min(WIDTH, p - last)
+            run = run + 1 if p == last + 1 else 1
+            if run + WIDTH - 1 >= RUN:
+                return True
+            last = p
+        return n > 1 and tokens >= min_cover * (n + WIDTH - 1)
+
     def matches(raw_words, keep, types, hits):
         """(item id, windows, matched) of one text from (position, literal?, item window) hits."""
         aligned = defaultdict(dict)
         for p, literal, (item_id, pos, n, slots) in hits:
             pairs = [] if literal else [(s[1] + s[2], f"{types[p + int(s[0]) - pos]}{raw_words[keep[p + int(s[0]) - pos]].strip(OUTER).lower()}", s[1]) for s in slots]
             aligned[item_id, n, p - pos].setdefault(pos, pairs)
-        covered = defaultdict(set)
+        covered, quoted = defaultdict(set), set()
         for (item_id, n, _), found in aligned.items():
             meets = {}
             agree = all(d[0] == k and meets.setdefault(b, d) == d for pairs in found.values() for b, d, k in pairs)
-            covered[item_id, n] |= {pos for pos, pairs in found.items() if agree or not pairs}
-        return [(i, n, len(c)) for (i, n), c in covered.items() if len(c) >= min_cover * n]
+            own = {pos for pos, pairs in found.items() if agree or not pairs}
+            covered[item_id, n] |= own
+            if quotes(own, n):
+                quoted.add((item_id, n))
+        return [(i, n, len(c)) for (i, n), c in covered.items() if len(c) >= min_cover * n or (i, n) in quoted]
 
     def found(batch):
         """For each row of a batch, its contaminations."""

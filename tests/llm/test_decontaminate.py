@@ -47,3 +47,10 @@ def test_finds_every_verbatim_item(spark):
     items = [(r.item_id, plain(r.text)) for r in bench.collect()]
     want = {(r.doc_id, i) for r in docs.collect() for t in [plain(r.text or "")] for i, v in items if v in t}
     assert {(r.doc_id, r.item_id) for r in D.contaminations(docs, bench).collect()} == want and want
+
+
+def test_long_quotes_and_edited_items(spark):
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ri", "so") for b in ("ba", "de", "fi", "go", "hu", "la", "te", "vo")][:50]
+    edited = " ".join("other" if k % 8 == 7 else w for k, w in enumerate(words))
+    texts = [" ".join(words[10:30]), edited, " ".join(words[10:22]), " ".join(words[:6] + words[30:36])]
+    assert run(spark, [f"{FILL} {t} {FILL}" for t in texts], ((1, " ".join(words)),)) == [(0, 1), (1, 1)]
