@@ -5,8 +5,8 @@ replaced by digits and signs, letters spaced out or dotted, letters repeated. A
 written chunk is a lattice: each run of a character offers the letter itself,
 the letters it may stand for, one or two of a repeated letter, and separators
 offer nothing or a word boundary. Viterbi decoding finds the path of highest
-probability under a character trigram model with a cost per kind of noise. A
-chunk of plain letters without a triple has one path only and is not decoded.
+probability under a character trigram model with a cost per kind of noise. Only
+a chunk with one path, of letters without a repeated one, is not decoded.
 
 Character model. Trigram counts over *all* documents, summed per partition and
 then by Spark, over a closed alphabet of 128 symbols: at most 128^3 counts.
@@ -42,7 +42,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 SEPARATORS = set(" .-_*~'’·/\\,")
 #: Costs in nats of a replaced letter, of a dropped repetition, of a dropped separator.
 REPLACED, REPEATED, DROPPED = 1.0, 0.5, 0.2
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\W_])")
+_SIGNS = "".join(c for c in LEET if not c.isalnum())
+_ONE = rf"(?:[^\W_]|[{re.escape(_SIGNS)}])"
+#: Three and more single characters, signs that stand for letters among them, with separators between.
+SPACED = re.compile(rf"(?<![^\W_])(?<![{re.escape(_SIGNS)}])(?:{_ONE}[ .\-_*]{{1,2}}){{2,}}{_ONE}(?![^\W_])")
 
 
 def _alphabet() -> np.ndarray:
@@ -149,7 +152,7 @@ class Restored(dict):
     def __missing__(self, chunk: str) -> str:
         low = chunk.lower()
         core = low.rstrip(".,;:!?")
-        noisy = sum(c.isalpha() for c in core) >= 2 and (not core.isalpha() or re.search(r"(.)\1\1", core) is not None)
+        noisy = bool(core) and (sum(c.isalpha() for c in core) >= 2 and not core.isalpha() or any(len(options) > 1 for options in lattice(core)))
         out = viterbi(chunk, self.model) if noisy else low
         if len(self) >= self.bound:
             self.clear()

@@ -67,3 +67,9 @@ def test_edges(spark):
     got = T.toxicity(docs, none).collect()
     assert len(got) == 3 and all(r.predicted == 0 for r in got) and [r.held_out for r in got if r.doc_id is None] == [False]
     assert T.toxicity(docs.limit(0), none).count() == 0
+
+
+def test_restores_what_has_few_letters_doubled_letters_or_short_spacing(spark):
+    known = T.Restored(model(["shit", "idiot", "ass", "fuck", "letter", "hello", "good", "all"] * 50))
+    for noisy, clean in {"5h17": "shit", "1d107": "idiot", "@$$": "ass", "fuuck": "fuck", "a s s": "ass", "s h ! t": "shit", "you a.s.s": "you ass", "letter": "letter", "hello": "hello", "good": "good", "all": "all"}.items():
+        assert T.restore(noisy, known) == clean, noisy
