@@ -2,8 +2,10 @@
 
 A line (without outer blanks) is boilerplate if it stands on at least
 ``min_sites`` distinct sites *and* in at least ``min_sites`` distinct contents.
-A document's content is named by its longest line, so that copies of one
-document on many sites do not make its own lines boilerplate.
+A document's content is named by its longest line other than the line in question,
+so that copies of one document on many sites do not make its own lines boilerplate,
+but a notice that is the longest line of its pages does not stand for all of them.
+Two notices that are the two longest lines of the same pages still do.
 
 Counting. First, exact row counts per line hash with the smallest and largest
 site leave only lines that can qualify (a line has no more sites than rows).
@@ -50,13 +52,17 @@ def _lines(docs: DataFrame) -> DataFrame:
                 sizes.append(len(own))
                 sites.append(xxhash.xxh64_intdigest(("\x00" if site is None else str(site)).encode("utf-8", "surrogatepass"), 42))
             h1, h2 = _hashes(lines)
-            content, at = np.zeros(len(sizes), np.int64), 0
-            for i, n in enumerate(sizes):
+            content, at = np.zeros(len(lines), np.int64), 0
+            for n in sizes:
                 if n:
-                    content[i] = max((len(x), h) for x, h in zip(lines[at : at + n], h1[at : at + n].tolist()))[1]
+                    own = h1[at : at + n]
+                    longest = max(zip(map(len, lines[at : at + n]), own.tolist()))[1]
+                    # none but the line itself: all such documents have one content
+                    second = max(((len(x), h) for x, h in zip(lines[at : at + n], own.tolist()) if h != longest), default=(0, 0))[1]
+                    content[at : at + n] = np.where(own == longest, second, longest)
                 at += n
             site = np.repeat(np.array(sites, np.uint64).astype(np.int64), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, site, np.repeat(content, sizes))], names=["h1", "h2", "site", "content"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, site, content)], names=["h1", "h2", "site", "content"])
 
     return docs.select("text", "source").mapInArrow(run, "h1 bigint, h2 bigint, site bigint, content bigint")
 

@@ -53,3 +53,11 @@ def test_sketch_and_exact_counts_at_the_threshold(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert L.dedup_lines(df, counts=True).count() == 0
+
+
+def test_notice_that_is_the_longest_line(spark):
+    notice = "This site uses cookies and other means to remember what its visitors have agreed to"
+    rows = [(i, f"{notice}\nown text {i}", f"s{i}") for i in range(8)] + [(100 + i, f"{notice} too\nthe same text", f"s{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
+    assert all(got[i] == f"own text {i}" for i in range(8)) and all(got[100 + i] == f"{notice} too\nthe same text" for i in range(8))
