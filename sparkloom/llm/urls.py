@@ -1,7 +1,7 @@
 """URL filters by association rules.
 
-Tokens of a URL are its scheme, host labels, path words without digits and query
-keys. From URLs with a label, Spark's FP-growth mines frequent token sets with
+Tokens of a URL are its scheme, host labels without digits (a loss: a host such as
+casino88 has no token of its own), path words without digits and query keys. From URLs with a label, Spark's FP-growth mines frequent token sets with
 the label as one more item. A rule "tokens -> block" is kept if its support and
 confidence suffice and no kept rule uses a subset of its tokens. Rules match by
 an inverted index: each is filed under its rarest token, a URL looks up its
@@ -38,14 +38,14 @@ def parse(urls: DataFrame, url_col: str = "url") -> DataFrame:
     raw_host = F.regexp_extract("__rest", r"^([^/?#]*)", 1)
     out = out.withColumn("host", F.translate(raw_host, UPPER, LOWER))
     out = out.withColumn("path", F.regexp_extract(F.substring("__rest", F.length("host") + 1, F.length("__rest")), r"^([^?#]*)", 1))
-    words = lambda c, by, tag: F.transform(F.filter(F.split(c, by), lambda x: (x != "") & ~x.rlike("[0-9]")), lambda x: F.concat(F.lit(tag), F.lower(x)))
-    keys = words(F.regexp_replace(F.regexp_extract("__rest", r"\?([^#]*)", 1), "=[^&]*", ""), "&", "q:")
+    words = lambda c, by, tag, ids=True: F.transform(F.filter(F.split(c, by), lambda x: (x != "") & (~x.rlike("[0-9]") if ids else F.lit(True))), lambda x: F.concat(F.lit(tag), F.lower(x)))
+    keys = words(F.regexp_replace(F.regexp_extract("__rest", r"\?([^#]*)", 1), "=[^&]*", ""), "&", "q:", ids=False)
     scheme = F.when(F.col("__rest") != "", F.array(F.concat(F.lit("s:"), F.lower(F.substring(url, F.lit(1), cut_at - 1))))).otherwise(F.array().cast("array<string>"))
     tokens = F.array_sort(F.array_distinct(F.concat(scheme, words("host", r"\.", "h:"), words("path", "[/._-]", "p:"), keys)))
     return out.withColumn("tokens", tokens).drop("__rest")
 
 
-def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.8, longest: int = 4) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, min_confidence: float = 0.8) -> DataFrame:
     """``antecedent, key, confidence`` of the rules mined from ``tokens, bad`` (boolean)."""
     spark = labelled.sparkSession
     baskets = cut(labelled.filter("bad IS NOT NULL AND size(tokens) > 0").select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens")).alias("items")))
@@ -54,7 +54,7 @@ def mine(labelled: DataFrame, min_support: float = 0.002, min_count: int = 5, mi
     if not n:
         return empty
     sets = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n))).fit(baskets).freqItemsets
-    sets = cut(sets.select(F.array_sort("items").alias("items"), "freq").filter(F.size("items") <= longest + 1))
+    sets = cut(sets.select(F.array_sort("items").alias("items"), "freq"))
     with_block = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_remove("items", BLOCK).alias("antecedent"), F.col("freq").alias("both"))
     whole = sets.filter(~F.array_contains("items", BLOCK)).select(F.col("items").alias("antecedent"), "freq")
     rules = with_block.join(whole, "antecedent").withColumn("confidence", F.col("both") / F.col("freq")).filter(F.col("confidence") >= min_confidence)

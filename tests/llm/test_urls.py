@@ -43,3 +43,14 @@ def brute_tokens(u):
     q = u.split("?", 1)[1] if "?" in u else ""
     parts = ["s:" + u.split("://")[0]] + ["h:" + x for x in host.split(".")] + ["p:" + x for x in path.replace(".", "/").split("/")] + ["q:" + x.split("=")[0] for x in q.split("&")]
     return [x for x in parts if len(x) > 2 and not any(c.isdigit() for c in x)]
+
+
+def test_rules_of_many_tokens_and_query_keys_with_digits(spark):
+    five = ["aa", "bb", "cc", "dd", "ee"]
+    lab = [(f"http://h.org/{'/'.join(five)}", True)] * 20
+    for left in five:  # any four of the five are mostly good
+        lab += [(f"http://h.org/{'/'.join(x for x in five if x != left)}", False)] * 10
+    rules = [set(r.antecedent) for r in U.mine(U.parse(spark.createDataFrame(lab, "url string, bad boolean"))).collect()]
+    assert rules == [{f"p:{x}" for x in five}]
+    df = spark.createDataFrame([("http://h.org/x1?utm2=3&b=4",)], "url string")
+    assert U.parse(df).first().tokens == ["h:h", "h:org", "q:b", "q:utm2", "s:http"]
