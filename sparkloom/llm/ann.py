@@ -17,10 +17,10 @@ with a recall of ``recall`` is taken (the last step is every vector). Queries
 reach the shards in blocks of at most ``block`` (bounded broadcasts).
 
 Edge cases: null and zero vectors, vectors with null or non-finite components,
-or of another length than most, take no part; null ids take no part either;
-repeated ids are candidates each (not of the queries with that id); fewer
-candidates than k give them all; empty tables give an empty result; extra columns
-are ignored.
+or of another length than most, take no part; null ids take no part either; rows
+with one id are one query and one candidate, whose score is the largest of theirs
+(repeated rows change nothing); fewer candidates than k give them all; empty tables
+give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -105,7 +105,8 @@ def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
     sample_at = np.linspace(0, len(q) - 1, min(sample, len(q))).astype(int)
     exact = [set(top(s := np.where(ids == q_ids[i], -np.inf, x @ q[i]), ids, k).tolist()) for i in sample_at]
     lo, hi = forest.ranges(q[sample_at])
-    enough = 8 * k
+    copies = int(np.unique(ids, return_counts=True)[1].max()) if len(ids) else 1
+    enough = 8 * k * copies
     while enough < trees * len(x):
         found = forest.candidates(lo, hi, enough)
         if np.mean([len(e.intersection(c.tolist())) / max(len(e), 1) for e, c in zip(exact, found)]) >= recall:
@@ -116,21 +117,24 @@ def search_shard(ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarra
         for i, c in enumerate(forest.candidates(lo, hi, enough), at):
             c = c[ids[c] != q_ids[i]]
             rough = x[c] @ q[i]
-            if len(c) > 4 * k:  # a margin for rounding, then the exact measure
-                c = c[rough >= np.partition(rough, len(c) - k)[len(c) - k] - 1e-9 * (1 + np.abs(rough).max())]
+            most = k * copies  # rows of one id count once
+            if len(c) > 4 * most:  # a margin for rounding, then the exact measure
+                c = c[rough >= np.partition(rough, len(c) - most)[len(c) - most] - 1e-9 * (1 + np.abs(rough).max())]
             s = inner(x[c], q[i])
-            best = top(s, ids[c], k)
+            best = top(s, ids[c], most)
+            if copies > 1:
+                best = best[np.sort(np.unique(ids[c[best]], return_index=True)[1])[:k]]
             yield np.full(len(best), q_ids[i]), ids[c[best]], s[best]
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, trees: int = 10, shard_rows: int = 16_384, block: int = 65_536, recall: float = 0.95, sample: int = 64) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found of each row for which ``is_query`` holds."""
     sc = vectors.sparkSession.sparkContext
-    v = cut(valid(vectors))
+    v = valid(vectors)
     n_shards = max(1, -(-v.count() // shard_rows))
-    queries = v.filter(is_query)
+    rows = cut(v.repartition(n_shards))  # dealt once, read by every block of queries
+    queries = rows.filter(is_query).distinct()
     n_blocks = max(1, -(-queries.count() // block))
-    rows = v.repartition(n_shards)
     out = None
     for b in range(n_blocks):
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b).toPandas()  # about `block` rows
@@ -149,6 +153,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, trees: int = 10, shard_row
 
         got = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
         out = got if out is None else out.union(got)
+    out = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

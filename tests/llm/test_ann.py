@@ -53,3 +53,29 @@ def test_larger_norms_win(spark):
     want = brute(np.arange(400), x, range(0, 400, 20), 5)
     hit = sum(r.vec_id in [v for v, _ in want[r.query_id]] for r in got)
     assert hit / sum(map(len, want.values())) >= 0.9
+
+
+def test_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((120, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    extra = [(20, x[20].tolist()), (20, x[20].tolist()), (40, (2 * x[41]).tolist()), (7, x[7].tolist()), (7, (-x[7]).tolist()), (5, x[5].tolist())]
+    df = spark.createDataFrame(rows + extra, "vec_id long, embedding array<double>")
+    every = rows + extra
+    for shard_rows in (16_384, 30):
+        got = {}
+        for r in N.search(df, F.expr("vec_id % 20 = 0"), shard_rows=shard_rows, recall=1.0).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(got) == set(range(0, 120, 20))
+        for q, found in got.items():
+            best = {}
+            for i, v in every:
+                if i != q:
+                    for j, w in every:
+                        if j == q:
+                            best[i] = max(best.get(i, -np.inf), float(N.inner(np.array([v]), np.array(w))[0]))
+            want = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:20]
+            found.sort()
+            assert [f[0] for f in found] == list(range(1, 21)) and len({f[1] for f in found}) == 20
+            assert len({f[1] for f in found} & {w[0] for w in want}) >= 19
+            assert all(abs(s - best[v]) < 1e-12 for _, v, s in found)
