@@ -17,7 +17,8 @@ number of distinct fingerprints (5 to 8), which keeps blocks small.
 
 Copies share a fingerprint and are never expanded into pairs. Components are
 found on distinct fingerprints by rounds of pointing to the smallest neighbour,
-shortening pointers and contracting links, each cut by a checkpoint; nothing is
+shortening pointers and contracting links, each cut by a checkpoint and built anew
+from its rows (else estimates of size multiply from round to round); nothing is
 collected to the driver.
 
 Edge cases: null or wordless texts have fingerprint 0 (linked like any other);
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, narrow_text
+from sparkloom.llm.common import cut, narrow_text, rebuilt, small_batches, trim
 
 #: Reference fingerprints: fixed pseudo-random words, 16 coordinates of 7 bits in two longs.
 PIVOTS = tuple(int(x) for x in np.random.default_rng(20240229).integers(-(2**63), 2**63 - 1, 16, dtype=np.int64))
@@ -70,6 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             out = pa.array([fingerprint(t, width) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), out], names=[id_col, "fp"])
+        trim()
 
     ids = docs.schema[id_col].dataType.simpleString()
     return narrow_text(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {ids}, fp bigint")
@@ -123,31 +125,32 @@ def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node that occurs in ``edges (a, b)``; root is the component's smallest node.
 
-    Every round, each node points to its smallest neighbour (or itself), chains
-    of pointers are shortened, and links are contracted to those between
-    different roots, so the links left shrink from round to round.
+    Every round, each node points to its smallest neighbour (or itself), pointers
+    double their reach until they lead to roots, and links are contracted to those
+    between different roots. A round at least halves the nodes left of a component.
     """
-    left = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = rebuilt(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     member = None
     while not left.isEmpty():
         low = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        up = cut(low.union(left.select("a", "a")).groupBy("node").agg(F.min("up").alias("up")))
-        for _ in range(2):
-            up = up.join(up.toDF("up", "far"), "up").select("node", F.col("far").alias("up"))
-        up = cut(up)
+        up = rebuilt(low.union(left.select("a", "a")).groupBy("node").agg(F.min("up").alias("up")))
+        while True:  # pointers double their reach until all lead to a root
+            far = rebuilt(up.join(up.toDF("up", "far"), "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")))
+            up = far.select("node", "up")
+            if far.filter("moved").isEmpty():
+                break
         if member is None:
             member = up.toDF("node", "root")
         else:
-            member = cut(member.join(up.toDF("root", "now"), "root", "left").select("node", F.coalesce("now", "root").alias("root")))
+            member = rebuilt(member.join(up.toDF("root", "now"), "root", "left").select("node", F.coalesce("now", "root").alias("root")))
         step = left.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").filter("x <> y")
-        left = cut(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = rebuilt(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     return left.toDF("node", "root") if member is None else member
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
     """One row per document: ``id_col``, ``fp`` (long) and ``component_id``, the smallest id reachable over links."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.adaptive.enabled", "true")  # hot fingerprints are split at run time
+    small_batches(docs.sparkSession)
     each = cut(fingerprints(docs, id_col, text_col, width))
     first = cut(each.groupBy("fp").agg(F.min(id_col).alias("first")))
     root = components(links(first.select("fp"), max_distance))

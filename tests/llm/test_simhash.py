@@ -95,3 +95,10 @@ def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e", "x"), (3, "a b c d e", "y"), (3, "a b c d e", "z"), (None, None, "w")], "doc_id long, text string, fp string")
     rows = S.near_duplicates(df).collect()
     assert len(rows) == 4 and sorted(str(r.component_id) for r in rows) == ["3", "3", "3", "None"]
+
+
+def test_components_of_a_very_long_chain(spark):
+    n = 10_000
+    edges = spark.range(n).selectExpr("id AS a", "id + 1 AS b")
+    got = S.components(edges).groupBy("root").count().collect()
+    assert [(r.root, r["count"]) for r in got] == [(0, n + 1)]
