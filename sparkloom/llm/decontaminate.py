@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import REMEMBERED, cut, table
+from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
 
 WIDTH = 5
 #: Consecutive tokens of an item that are a leak however long the item is.
@@ -158,6 +158,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, shard_rows: int = 500_000, flag_rows: bool = False) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, cover`` of every contaminated (row, item); with ``flag_rows``, instead the clean rows of ``docs``."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     windows = cut(item_windows(benchmark))
     rows = windows.count()
@@ -248,6 +249,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5
         def clean(batches):
             for b in batches:
                 yield b.filter(pa.array([not x for x in found(b)], pa.bool_()))
+            trim()
 
         return docs.mapInArrow(clean, docs.schema)
     item_kind = benchmark.schema["item_id"].dataType.simpleString()
@@ -259,6 +261,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5
             cols = [pa.array([f[1] for f in all_found], arrow_item), *(pa.array([f[k] for f in all_found], pa.int64()) for k in (2, 3))]
             cols.append(pa.array([f[3] / f[2] for f in all_found], pa.float64()))
             yield pa.RecordBatch.from_arrays([ids, *cols], names=["doc_id", "item_id", "n_windows", "n_matched", "cover"])
+        trim()
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, table
+from sparkloom.llm.common import cut, small_batches, table, trim
 
 BLANKS = " \t\r\x0b\x0c"
 LG_K = 12
@@ -63,6 +63,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 at += n
             site = np.repeat(np.array(sites, np.uint64).astype(np.int64), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, site, content)], names=["h1", "h2", "site", "content"])
+        trim()
 
     return docs.select("text", "source").mapInArrow(run, "h1 bigint, h2 bigint, site bigint, content bigint")
 
@@ -138,6 +139,7 @@ def remove(docs: DataFrame, boiler: DataFrame, shard_rows: int = 1_000_000, coun
                 cols += [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
                 names += ["n_lines", "n_removed"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, kinds + (", n_lines bigint, n_removed bigint" if counts else ""))
@@ -145,6 +147,7 @@ def remove(docs: DataFrame, boiler: DataFrame, shard_rows: int = 1_000_000, coun
 
 def dedup_lines(docs: DataFrame, min_sites: int = 5, counts: bool = False) -> DataFrame:
     """``docs`` without cross-site boilerplate lines."""
+    small_batches(docs.sparkSession)
     return remove(docs, boilerplate(docs.select("text", "source"), min_sites), counts=counts)
 
 

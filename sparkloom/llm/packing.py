@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import REMEMBERED, cut, table
+from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
 
 CAPACITY = 2048
 
@@ -123,6 +123,7 @@ def chunks_of(text: str | None) -> list[str]:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``, binary) of every piece."""
     path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         known = known_ids(path)
@@ -141,6 +142,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
             cols = [b.column(0).take(pa.array(out["at"], pa.int64())), pa.array(out["piece"], pa.int32())]
             cols += [pa.array(out[k], pa.int64()) for k in ("start", "length", "crc")] + [pa.array(out["ids"], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import REMEMBERED, cut, table
+from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
 
 REACH, LONGEST = 3, 16
 STOPS = (".", "!", "?", "…")
@@ -132,6 +132,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
                 cols = [b.column(0).take(pa.array(lo + doc)), pa.array(hashes[doc]), pa.array(pos.astype(np.int32)), pa.array(digest)]
                 cols += [pa.array(x.astype(np.int32)) for x in (start, end, size)] + [pa.array(again > 0)]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, pos int, digest bigint, start int, end int, words int, again boolean")
@@ -139,6 +140,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = 35) -> DataFrame:
     """``doc_id, text_hash, start, end, n_words, first_doc`` of every span to remove."""
+    small_batches(docs.sparkSession)
     u = unit_table(docs)
     first = cut(u.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_doc"))
     dup = u.join(first, "digest").filter("again OR (first_doc IS NOT NULL AND NOT doc_id <=> first_doc)")

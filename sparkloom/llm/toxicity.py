@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import REMEMBERED, cut, table
+from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
 
 SYMBOLS = 128
 BUCKETS = 1 << 22
@@ -293,6 +293,7 @@ def scores(docs: DataFrame, model, chosen, w) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bound: float = 0.7, small: int = 4_000_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
+    small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     share = F.expr("crc32(cast(doc_id AS string)) % 5")
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "toxic").filter(share != 0)
