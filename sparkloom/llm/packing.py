@@ -7,14 +7,15 @@ of their own. Rests only matter by their *length*, of which there are fewer than
 number of documents: it is counted by Spark, and solved once on the driver.
 
 Solving: bin completion. The largest length left must go somewhere, so fillings
-around it are enumerated by branch and bound: multisets of the lengths left that
-fit beside it. A filling that is dominated (every other one that fills the
-sequence as well or better with larger pieces) is never kept; a branch is pruned
-when its waste, even if everything left were used, cannot beat the incumbent,
-which starts as the best-fit filling. The chosen filling is applied as often as
-the histogram allows. The result is compared with best-fit decreasing on the
-histogram, and the one with fewer sequences is kept. ``nodes`` bounds the work
-of one enumeration (then the incumbent is taken); no piece is ever left out.
+around it are looked for. Totals that the lengths left can make are bit sets, so
+the filling that wastes least is found exactly. It is applied as often as the
+histogram allows; the result, or best-fit decreasing if that takes fewer sequences,
+is the incumbent. If it is above the lower bound (of the total, and of what large
+pieces leave for others), its last sequences are solved again by branch and bound:
+depth first over sequences, with the undominated fillings around the largest length
+as children and the waste that a better solution may have in all as bound.
+``nodes`` bounds that search; what is then left between the number of sequences and
+the bound is logged. No piece is ever left out.
 
 Placing: each rest gets a rank among the rests of its length. Ranks come from
 counts per (length, bucket of the id hash), so a hot length is dealt over many
@@ -29,6 +30,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import logging
 import sys
 import unicodedata
 import zlib
@@ -44,6 +46,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
 
 CAPACITY = 2048
+LOG = logging.getLogger(__name__)
 
 
 def tokenizer_path() -> str:
@@ -149,72 +152,166 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
     return out if with_ids else out.drop("ids")
 
 
-def completion(left: list[int], count: dict[int, int], capacity: int, nodes: int) -> tuple[int, ...]:
-    """The best filling around the largest of ``left`` (ascending lengths with counts), largest first."""
-    largest = left[-1]
-    best: list[int] = []
-    room = capacity - largest
-    taken: Counter = Counter({largest: 1})
-    while True:  # incumbent: best fit
-        i = bisect.bisect_right(left, room) - 1
-        while i >= 0 and taken[left[i]] >= count[left[i]]:
-            i -= 1
-        if i < 0:
-            break
-        best.append(left[i])
-        taken[left[i]] += 1
-        room -= left[i]
-    least, budget = room, nodes
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(capacity - largest, len(left) - 1, ())]
-    # depth first, larger pieces first: of two fillings of equal waste the one with larger pieces dominates and is met first
-    while stack and least and budget:
-        budget -= 1
-        room, top, chosen = stack.pop()
-        i = min(top, bisect.bisect_right(left, room) - 1)
-        while i >= 0:
-            size = left[i]
-            if chosen.count(size) + (size == largest) < count[size]:
-                break
-            i -= 1
-        if i < 0:
-            if room < least:
-                least, best = room, list(chosen)
-            continue
-        size = left[i]
-        # without this length: what is smaller must still be able to fill to less waste than the incumbent
-        if i and _reach(left, count, i - 1, room) > room - least:
-            stack.append((room, i - 1, chosen))
-        stack.append((room - size, i, (*chosen, size)))
-    return (largest, *best)
+def reaches(sizes: list[int], count: dict[int, int], room: int) -> list[int]:
+    """For every number of the smallest ``sizes`` (ascending), a bit set of the totals up to ``room`` that they can make."""
+    mask, bits, out = (1 << (room + 1)) - 1, 1, [1]
+    for s in sizes:
+        if s <= room:
+            copies, step = min(count[s], room // s), 1
+            while copies:  # copies in powers of two
+                k = min(step, copies)
+                bits |= (bits << (s * k)) & mask
+                copies, step = copies - k, step * 2
+        out.append(bits)
+    return out
 
 
-def _reach(left: list[int], count: dict[int, int], top: int, room: int) -> int:
-    """An upper bound of what lengths up to ``top`` can fill of ``room``."""
-    total = 0
-    for i in range(top, -1, -1):
-        total += left[i] * count[left[i]]
-        if total >= room:
-            return room
-    return total
+def best_filling(sizes: list[int], count: dict[int, int], capacity: int) -> tuple[int, ...]:
+    """The filling around the largest size that wastes least, with larger pieces first where several do."""
+    largest = sizes[-1]
+    count = {**count, largest: count[largest] - 1}
+    reach = reaches(sizes, count, capacity - largest)
+    total = reach[-1].bit_length() - 1
+    return (largest, *next(_exact(sizes, count, reach, total, len(sizes) - 1)))
 
 
-def complete_all(histogram: dict[int, int], capacity: int, nodes: int) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings and how often each is used, by bin completion."""
+def _exact(sizes: list[int], count: dict[int, int], reach: list[int], total: int, top: int):
+    """Fillings of exactly ``total`` from the sizes up to number ``top``, larger pieces first."""
+    if not total:
+        yield ()
+        return
+    top = min(top, bisect.bisect_right(sizes, total) - 1)
+    for i in range(top, -1, -1):
+        if not reach[i + 1] >> total & 1:
+            return
+        s = sizes[i]
+        for k in range(min(count[s], total // s), 0, -1):
+            if reach[i] >> (total - k * s) & 1:
+                for rest in _exact(sizes, count, reach, total - k * s, i - 1):
+                    yield (s,) * k + rest
+
+
+def _spread(bits: int, most: int) -> int:
+    """Every set bit moved up by 0 to ``most``."""
+    done = 0
+    while done < most:
+        step = min(done + 1, most - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def dominated(filling: tuple[int, ...], left: int, waste: int) -> bool:
+    """Whether a size of the bit set ``left`` could take the place of some pieces, which would then be free to go elsewhere.
+
+    It must be at least as large as the pieces it replaces (larger than a single one) and
+    fit with what is wasted; the filling it makes is at least as good, whatever follows.
+    """
+    none, one, more = 1, 0, 0
+    for s in filling:
+        more |= (more << s) | (one << s)
+        one |= none << s
+    grown = _spread(none | one, waste) & ~(none | one) if waste else 0
+    return bool(left & (grown | _spread(more, waste)))
+
+
+def undominated(sizes: list[int], count: dict[int, int], capacity: int, waste: int):
+    """``filling, waste`` around the largest size that waste at most ``waste``: least waste first, no dominated ones."""
+    largest = sizes[-1]
+    count = {**count, largest: count[largest] - 1}
+    room = capacity - largest
+    reach = reaches(sizes, count, room)
+    for w in range(min(waste, room) + 1):
+        if reach[-1] >> (room - w) & 1:
+            for f in _exact(sizes, count, reach, room - w, len(sizes) - 1):
+                used, left = Counter(f), 0
+                for s in sizes:
+                    if s > room:
+                        break
+                    if count[s] > used[s]:
+                        left |= 1 << s
+                if not dominated(f, left, w):
+                    yield (largest, *f), w
+
+
+def complete_all(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings and how often each is used: the best filling around the largest size, as often as it can be repeated."""
     count = dict(histogram)
-    left = sorted(count)
+    sizes = sorted(count)
     plan = []
-    while left:
-        filling = completion(left, count, capacity, nodes)
+    while sizes:
+        filling = best_filling(sizes, count, capacity)
         use = Counter(filling)
         times = min(count[s] // k for s, k in use.items())
         plan.append((filling, times))
         for s, k in use.items():
             count[s] -= k * times
             if not count[s]:
-                del left[bisect.bisect_left(left, s)]
+                del sizes[bisect.bisect_left(sizes, s)]
     return plan
 
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by the total, and by what large pieces leave for those of at least k (for every k)."""
+    size = np.array(sorted(histogram), np.int64)
+    if not len(size):
+        return 0
+    n = np.array([histogram[s] for s in size.tolist()], np.int64)
+    total = size * n
+    best = -(-int(total.sum()) // capacity)
+    half = size > capacity // 2
+    for k in [0, *size[~half].tolist()]:
+        alone, big, small = size > capacity - k, half & (size <= capacity - k), ~half & (size >= k)
+        free = int(n[big].sum()) * capacity - int(total[big].sum())
+        best = max(best, int(n[alone | big].sum()) + max(0, -(-(int(total[small].sum()) - free) // capacity)))
+    return best
+
+
+def branch_and_bound(histogram: dict[int, int], capacity: int, incumbent: int, target: int, nodes: int) -> list[tuple[int, ...]] | None:
+    """Fewer than ``incumbent`` sequences, if found within ``nodes`` fillings; stops at ``target``.
+
+    Depth first over sequences: each takes the largest size left and one of the
+    undominated fillings around it. All sequences together may waste only what an
+    incumbent less one leaves over the total, which shrinks with every better solution.
+    """
+    count, total = dict(histogram), sum(s * n for s, n in histogram.items())
+    sizes, path, best = sorted(count), [], None
+
+    def children():
+        spare = (incumbent - 1) * capacity - total - sum(w for _, w in path)
+        return undominated(sizes, count, capacity, spare) if spare >= 0 else iter(())
+
+    def change(filling, by):
+        for s in filling:
+            count[s] += by
+            at = bisect.bisect_left(sizes, s)
+            if not count[s]:
+                del sizes[at]
+            elif at == len(sizes) or sizes[at] != s:
+                sizes.insert(at, s)
+
+    stack = [children()]
+    while stack and nodes:
+        found = next(stack[-1], None)
+        nodes -= 1
+        if found is None:
+            stack.pop()
+            if path:
+                change(path.pop()[0], 1)
+            continue
+        path.append(found)
+        change(found[0], -1)
+        if sizes:
+            stack.append(children())
+            continue
+        if len(path) < incumbent:
+            best, incumbent = [f for f, _ in path], len(path)
+            if incumbent <= target:
+                return best
+        change(path.pop()[0], 1)
+    return best
+
+
 def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing on a histogram: equal lengths go into equal open bins together."""
     open_bins: dict[int, list[list]] = {}  # room -> [filling, number of bins]
@@ -246,10 +343,32 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> list[tuple[
     return [(f, k) for b in open_bins.values() for f, k in b]
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 2000) -> list[tuple[tuple[int, ...], int]]:
-    """The better of bin completion and best-fit decreasing."""
-    plans = [complete_all(histogram, capacity, nodes), best_fit_decreasing(histogram, capacity)]
-    return min(plans, key=lambda p: sum(k for _, k in p))
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000, tails: tuple[int, ...] = (20, 60, 180)) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """The plan with the fewest sequences found, and how many any packing needs.
+
+    Best fit and repeated best fillings give the incumbent. While it is above the
+    bound, its last sequences (more and more of them) are solved again by branch and bound.
+    """
+    plans = [complete_all(histogram, capacity), best_fit_decreasing(histogram, capacity)]
+    plan, bound = min(plans, key=lambda p: sum(k for _, k in p)), lower_bound(histogram, capacity)
+    for tail in tails:
+        n = sum(k for _, k in plan)
+        if n <= bound:
+            break
+        head, rest = list(plan), []
+        while head and len(rest) < tail:
+            filling, times = head.pop()
+            take = min(times, tail - len(rest))
+            rest += [filling] * take
+            if times > take:
+                head.append((filling, times - take))
+        done = n - len(rest)
+        again = branch_and_bound(Counter(s for f in rest for s in f), capacity, len(rest), max(0, bound - done), nodes)
+        if again is not None:
+            plan = head + [(f, 1) for f in again]
+        if not head:
+            break
+    return plan, bound
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -266,12 +385,13 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int,
     return out
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = 2000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = 20_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with a ``length`` of at most ``capacity``."""
     spark = parts.sparkSession
     parts = cut(parts)
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
-    plan = solve(histogram, capacity, nodes)
+    plan, bound = solve(histogram, capacity, nodes)
+    LOG.info("%d sequences, at least %d are needed", sum(k for _, k in plan), bound)
     where = slots(plan)
     buckets = max(64, sum(histogram.values()) // 1_000_000)
     keyed = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))

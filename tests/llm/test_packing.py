@@ -41,7 +41,7 @@ def test_solver_is_near_the_bound():
     rnd = random.Random(3)
     for _ in range(20):
         h = Counter(min(2048, int(rnd.expovariate(1 / 300)) + 1) for _ in range(rnd.randint(1, 3000)))
-        plan = P.solve(dict(h))
+        plan, bound = P.solve(dict(h), nodes=2000)
         used = Counter()
         for filling, times in plan:
             assert sum(filling) <= 2048 and times > 0
@@ -49,15 +49,61 @@ def test_solver_is_near_the_bound():
                 used[s] += times
         assert used == h
         n = sum(k for _, k in plan)
-        assert n <= sum(k for _, k in P.best_fit_decreasing(dict(h), 2048))
+        assert bound <= n <= sum(k for _, k in P.best_fit_decreasing(dict(h), 2048))
         assert n <= -(-sum(s * k for s, k in h.items()) // 2048) * 1.15 + 1
 
 
-def test_bin_completion_beats_best_fit():
-    h = {6: 2, 5: 2, 4: 4, 3: 2}  # 6+4, 6+4, 5+5, 4+3+3, 4
-    assert sum(k for _, k in P.complete_all(h, 10, 2000)) <= sum(k for _, k in P.best_fit_decreasing(h, 10))
-    assert P.completion([3, 4, 7], {3: 2, 4: 1, 7: 1}, 10, 100) == (7, 3)
-    assert sorted(P.completion([3, 4, 5], {3: 2, 4: 1, 5: 1}, 11, 100)) == [3, 3, 5]
+def planted(rnd, bins, capacity=2048):
+    """Pieces of full sequences: the optimum is known."""
+    h = Counter()
+    for _ in range(bins):
+        at = sorted(rnd.sample(range(1, capacity), rnd.randint(1, 6)))
+        h.update(b - a for a, b in zip([0, *at], [*at, capacity]))
+    return dict(h)
+
+
+def test_planted_optima():
+    rnd = random.Random(11)
+    for _ in range(60):
+        plan, bound = P.solve(planted(rnd, 40))
+        assert bound == 40 == sum(k for _, k in plan)
+
+
+def brute(items, capacity):
+    best = len(items)
+
+    def go(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for room in {b for b in bins if b >= items[i]}:
+            left = list(bins)
+            left.remove(room)
+            go(i + 1, [*left, room - items[i]])
+        go(i + 1, [*bins, capacity - items[i]])
+
+    go(0, [])
+    return best
+
+
+def test_optimal_on_small_instances():
+    rnd = random.Random(2)
+    for _ in range(120):
+        items = sorted((rnd.randint(1, 20) for _ in range(rnd.randint(1, 10))), reverse=True)
+        plan, bound = P.solve(dict(Counter(items)), capacity=20)
+        n = sum(k for _, k in plan)
+        assert bound <= n == brute(items, 20), items
+
+
+def test_fillings_around_the_largest():
+    assert P.best_filling([3, 4, 7], {3: 2, 4: 1, 7: 1}, 10) == (7, 3)
+    assert P.best_filling([3, 4, 5], {3: 2, 4: 1, 5: 1}, 11) == (5, 3, 3)
+    found = [f for f, _ in P.undominated([2, 3, 4, 6], {2: 2, 3: 1, 4: 1, 6: 1}, 10, 10)]
+    assert found == [(6, 4)]  # 2 + 2 could be 4, 3 could be 4
+    assert [f for f, _ in P.undominated([2, 3, 6], {2: 2, 3: 1, 6: 1}, 10, 10)] == [(6, 2, 2), (6, 3)]
 
 
 def test_empty(spark):
