@@ -8,7 +8,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was were will with".split()
+# The stop words of the search tokenizer.
+STOP_WORDS = (
+    "a about above after again against all am an and any are as at "
+    "be because been before being below between both but by "
+    "for from in into is it its of on or that the this to was with"
+).split()
 
 
 def tokens_words(c: Column) -> Column:
@@ -96,6 +101,14 @@ def is_business_day(d: Column, holidays: list[str] | tuple[str, ...] = ()) -> Co
     return weekday & ~F.date_format(d, "yyyy-MM-dd").isin(list(holidays)) if holidays else weekday
 
 
+def may_run(ts: Column, holidays: list[str] | tuple[str, ...] = (), start_hour: int = 9, end_hour: int = 17, blackouts: list[tuple[str, str]] | tuple = ()) -> Column:
+    """Whether a time (UTC) is in working hours of a business day and in no blackout window (ISO times, both ends in)."""
+    out = is_business_day(ts, holidays) & (F.hour(ts) >= start_hour) & (F.hour(ts) < end_hour)
+    for a, b in blackouts:
+        out &= ~ts.between(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz"))
+    return out
+
+
 def in_daily_window(ts: Column, start_hour: int, end_hour: int) -> Column:
     """Whether the hour lies in [start, end), also over midnight."""
     h = F.hour(ts)
@@ -157,6 +170,23 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+def redact_struct(c: Column, kind, keys: list[str], mask: str = "***REDACTED***") -> Column:
+    """Struct fields under (case-insensitive) keys replaced by ``mask``, in structs within structs too, but not in arrays; ``kind`` is the struct's type."""
+    from pyspark.sql.types import StructType
+
+    low = {k.lower() for k in keys}
+    parts = []
+    for f in kind.fields:
+        inner = c[f.name]
+        if f.name.lower() in low:
+            parts.append(F.lit(mask).alias(f.name))
+        elif isinstance(f.dataType, StructType):
+            parts.append(redact_struct(inner, f.dataType, keys, mask).alias(f.name))
+        else:
+            parts.append(inner.alias(f.name))
+    return F.when(c.isNotNull(), F.struct(*parts))
+
+
 def redact(c: Column, keys: list[str]) -> Column:
     """Map values under (case-insensitive) keys replaced."""
     low = [k.lower() for k in keys]

@@ -61,6 +61,48 @@ def decide(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return out.select("request", F.when(F.col("allow") & ~F.col("deny"), "ALLOW").otherwise("DENY").alias("decision"))
 
 
+def decide_by_attributes(requests: DataFrame, policies: Sequence[dict]) -> DataFrame:
+    """ALLOW or DENY per request, and the first policy that decided: deny wins, nothing matching denies.
+
+    ``requests`` has ``request, action, resource`` and attribute columns. A policy is a dict
+    of ``id``, ``effect``, ``actions`` (``*``, exact or ``prefix:*``), ``resources`` (``*``,
+    exact or ``prefix*``) and ``conditions``: (column, operator, value) that all must hold.
+    Policies are few and become one expression, so requests are neither joined nor shuffled.
+    """
+
+    def any_of(column: str, patterns: Sequence[str], tail: str) -> Column:
+        out = F.lit(False)
+        for p in patterns:
+            if p == "*":
+                return F.lit(True)
+            out |= F.col(column).startswith(p.removesuffix(tail)) if p.endswith(tail) else F.col(column) == p
+        return out
+
+    def holds(field: str, operator: str, value) -> Column:
+        if operator == "IN":
+            return F.col(field).isin(list(value))
+        if operator in ("LESS_THAN", "GREATER_THAN"):
+            number = F.col(field).try_cast("double")
+            return number < float(value) if operator == "LESS_THAN" else number > float(value)
+        if operator == "CONTAINS":
+            return F.contains(F.col(field).cast("string"), F.lit(str(value)))
+        if operator in ("EQUALS", "NOT_EQUALS"):
+            same = F.col(field).eqNullSafe(F.lit(value))
+            return same if operator == "EQUALS" else ~same
+        raise ValueError(f"unknown operator {operator}")
+
+    fits = {"ALLOW": [], "DENY": []}
+    for p in policies:
+        ok = any_of("action", p.get("actions", ["*"]), ":*") & any_of("resource", p.get("resources", ["*"]), "*")
+        for c in p.get("conditions", ()):
+            ok &= holds(*c)
+        fits[p["effect"]].append(F.when(F.coalesce(ok, F.lit(False)), F.lit(p["id"])))
+    first = lambda xs: F.coalesce(*xs, F.lit(None).cast("string"))
+    deny, allow = first(fits["DENY"]), first(fits["ALLOW"])
+    decision = F.when(deny.isNotNull(), "DENY").when(allow.isNotNull(), "ALLOW").otherwise("DENY")
+    return requests.select("request", decision.alias("decision"), F.coalesce(deny, allow).alias("policy"))
+
+
 def range_digests(df: DataFrame, key: str, value: Column, chunk: int) -> DataFrame:
     """``chunk, digest, n`` of key ranges ``[chunk * size, ...)`` (integer keys), to compare replicas."""
     each = df.select(F.floor(F.col(key) / chunk).alias("chunk"), F.concat(F.col(key).cast("string"), F.lit("="), F.coalesce(value.cast("string"), F.lit(""))).alias("x"))
@@ -73,11 +115,11 @@ def digest_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.filter(~F.col("a").eqNullSafe(F.col("b"))).select("chunk", F.when(F.col("a").isNull(), "MISSING_LEFT").when(F.col("b").isNull(), "MISSING_RIGHT").otherwise("DIFFERENT").alias("state"))
 
 
-def transitions_ok(df: DataFrame, key: str, order: Sequence[str], status: str, allowed: Sequence[tuple[str, str]]) -> DataFrame:
-    """``valid``: whether a status may follow the one before it (the first may be any)."""
+def transitions_ok(df: DataFrame, key: str, order: Sequence[str], status: str, allowed: DataFrame) -> DataFrame:
+    """``valid``: whether a status may follow the one before it (the first may be any); ``allowed (before, after)``."""
     before = F.lag(status).over(W.partitionBy(key).orderBy(*order))
-    pair = F.concat(F.col("__b"), F.lit(">"), F.col(status))
-    return df.withColumn("__b", before).withColumn("valid", F.col("__b").isNull() | pair.isin([f"{a}>{b}" for a, b in allowed if a != b])).drop("__b")
+    pairs = allowed.filter("before <> after").select(F.col("before").alias("__b"), F.col("after").alias(status), F.lit(True).alias("__ok")).distinct()
+    return df.withColumn("__b", before).join(pairs, ["__b", status], "left").withColumn("valid", F.col("__b").isNull() | F.coalesce("__ok", F.lit(False))).drop("__b", "__ok")
 
 
 def quarantine(df: DataFrame, retries: str, most: int) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 JOINS = {"INNER": "inner", "LEFT_OUTER": "left", "RIGHT_OUTER": "right", "FULL_OUTER": "full", "LEFT_SEMI": "left_semi", "LEFT_ANTI": "left_anti", "CROSS": "cross"}
-HINTS = {"HASH": "shuffle_hash", "SORT_MERGE": "merge", "BROADCAST": "broadcast", None: None}
+HINTS = {"HASH": "shuffle_hash", "SORT_MERGE": "merge", "MERGE": "merge", "NESTED_LOOP": "shuffle_replicate_nl", "BROADCAST": "broadcast", None: None}
 
 
 def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "INNER", algorithm: str | None = None, left_alias: str | None = None, right_alias: str | None = None) -> DataFrame:
@@ -36,11 +36,34 @@ def join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how:
     return out.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`__r_{c}`").alias(t) for c, t in target.items()])
 
 
+def theta_join(left: DataFrame, right: DataFrame, condition: str, how: str = "INNER", left_alias: str = "l", right_alias: str = "r") -> DataFrame:
+    """A nested-loop join on any condition over ``l.x`` and ``r.y``; output columns are ``alias_column``.
+
+    Null conditions match nothing. Equalities in the condition still let Spark hash or merge.
+    """
+    kind = JOINS[how]
+    out = left.alias(left_alias).join(right.alias(right_alias), F.expr(condition), kind)
+    sides = [(left_alias, left)] if kind in ("left_semi", "left_anti") else [(left_alias, left), (right_alias, right)]
+    return out.select(*[F.col(f"{a}.`{c}`").alias(f"{a}_{c}") for a, df in sides for c in df.columns])
+
+
 def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float) -> DataFrame:
-    """Rows whose ``value`` lies in [low, high]: equi-join on buckets of ``width``, then the exact test."""
-    bucket = lambda c: F.floor(F.col(c) / width)
-    r = ranges.withColumn("__b", F.explode(F.sequence(bucket(low), bucket(high))))
-    return points.withColumn("__b", bucket(value)).join(r, "__b").filter(F.col(value).between(F.col(low), F.col(high))).drop("__b")
+    """Rows whose ``value`` lies in [low, high]: equi-join on buckets, then the exact test.
+
+    A range is filed at the level whose buckets (``width`` times a power of two) are as
+    wide as itself, so it lies in two of them at most, however wide it is; a point
+    looks its bucket up at every level that has ranges.
+    """
+    span = F.greatest(F.col(high) - F.col(low), F.lit(0.0)) / width
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(span, F.lit(1.0))))).cast("int")
+    bucket = lambda c, k: F.floor(F.col(c) / (F.lit(float(width)) * F.pow(F.lit(2.0), k)))
+    r = ranges.filter(F.col(low) <= F.col(high)).withColumn("__k", level)
+    r = r.withColumn("__b", F.explode(F.array_distinct(F.array(bucket(low, F.col("__k")), bucket(high, F.col("__k"))))))
+    levels = sorted(x[0] for x in r.select("__k").distinct().collect())  # fewer than 1,100: powers of two of a double
+    if not levels:
+        return points.join(ranges, F.lit(False))
+    p = points.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in levels]))).withColumn("__b", bucket(value, F.col("__k")))
+    return p.join(r, ["__k", "__b"]).filter(F.col(value).between(F.col(low), F.col(high))).drop("__k", "__b")
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, right_cols: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -98,8 +99,92 @@ def audit_chain(df: DataFrame, chain: str, seq: str, fields: Sequence[str]) -> D
     return fold(df.select(*cols, text.alias("__t")), chain, [seq], step, f"{kinds}, previous string, hash string")
 
 
-def count_min(df: DataFrame, column: str, items: Sequence, eps: float = 0.001, confidence: float = 0.99, seed: int = 1) -> dict:
-    """Estimated counts of ``items`` from one Count-Min sketch: never too low, too high by at most eps x rows as a rule."""
-    made = df.agg(F.count_min_sketch(F.col(column), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("s")).first().s  # fixed size
-    sketch = df.sparkSession.sparkContext._jvm.org.apache.spark.util.sketch.CountMinSketch.readFrom(made)
-    return {i: sketch.estimateCount(i) for i in items}
+def range_assignment(members: DataFrame, topics: DataFrame) -> DataFrame:
+    """``topic, partition, member``: contiguous ranges of each topic's partitions over its members by name; the first get one more.
+
+    ``members (member, topic)``: subscriptions; ``topics (topic, partitions)``. Topics without members stay unassigned.
+    """
+    m = members.select("member", "topic").distinct()
+    m = m.withColumn("i", F.row_number().over(W.partitionBy("topic").orderBy("member")) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("topic")))
+    m = m.join(topics.select("topic", "partitions"), "topic")
+    each, extra = F.floor(F.col("partitions") / F.col("n")), F.col("partitions") % F.col("n")
+    first = F.col("i") * each + F.least(F.col("i"), extra)
+    size = each + (F.col("i") < extra).cast("long")
+    m = m.withColumn("first", first.cast("long")).withColumn("size", size.cast("long")).filter("size > 0")
+    return m.select("topic", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)).alias("partition"), "member")
+
+
+def sticky_assignment(members: DataFrame, topics: DataFrame, held: DataFrame) -> DataFrame:
+    """``topic, partition, member``: what a member holds and still may hold stays; the rest goes, one by one, to the least loaded member that subscribes.
+
+    ``held (topic, partition, member)``. Sequential by nature: one task over all partitions of a cluster's topics.
+    """
+    kept = held.join(topics, "topic").filter("partition < partitions").join(members.select("member", "topic").distinct(), ["member", "topic"], "left_semi")
+    kept = kept.groupBy("topic", "partition").agg(F.min("member").alias("member"))
+    every = topics.select("topic", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partitions").cast("long") - 1)).alias("partition")).filter("partition >= 0")
+    every = every.join(kept.select("topic", F.col("partition").cast("long").alias("partition"), "member"), ["topic", "partition"], "left")
+    subscribers = members.groupBy("topic").agg(F.array_sort(F.collect_set("member")).alias("subscribers"))
+    rows = every.join(subscribers, "topic", "left").withColumn("__one", F.lit(1))
+
+    def step(g: pd.DataFrame) -> pd.DataFrame:
+        load: dict = {}
+        for who in g["member"].dropna():
+            load[who] = load.get(who, 0) + 1
+        out = []
+        for who, able in zip(g["member"], g["subscribers"]):
+            if pd.isna(who):
+                who = min(able, key=lambda x: (load.get(x, 0), x)) if able is not None and len(able) else None
+                if who is not None:
+                    load[who] = load.get(who, 0) + 1
+            out.append(who)
+        return g[["topic", "partition"]].assign(member=out)
+
+    return fold(rows, "__one", ["topic", "partition"], step, "topic string, partition bigint, member string").filter("member IS NOT NULL")
+
+
+def _cells(column: str, width: int, depth: int) -> Column:
+    """The counter of a value in each row of a Count-Min table."""
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.pmod(F.xxhash64(F.lit(i), F.col(column)), F.lit(width)).alias("cell")) for i in range(depth)])
+
+
+def count_min(df: DataFrame, column: str, items: DataFrame | Sequence, width: int = 2048, depth: int = 5) -> DataFrame | dict:
+    """``items`` with ``estimate``: counts of their values from a Count-Min table of fixed size, never too low.
+
+    Counters are summed map side first; at most ``width * depth`` rows meet. For a
+    list of items, which is as short as its caller made it, estimates by item.
+    """
+    if not isinstance(items, DataFrame):
+        asked = df.sparkSession.createDataFrame([(i,) for i in items], df.select(column).schema)
+        return {r[0]: r[1] for r in count_min(df, column, asked, width, depth).collect()}
+    table = df.select(F.explode(_cells(column, width, depth)).alias("c")).groupBy("c.i", "c.cell").agg(F.count(F.lit(1)).alias("n"))
+    asked = items.select(column).distinct().select(column, F.explode(_cells(column, width, depth)).alias("c")).select(column, "c.i", "c.cell")
+    found = asked.join(F.broadcast(table), ["i", "cell"], "left").groupBy(column).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+    return join(items, found, [(column, column)], "LEFT_OUTER")
+
+
+class Bloom:
+    """A Bloom filter: bits set by ``k`` hashes, for about ``expected`` items at a false-positive rate of ``rate``."""
+
+    def __init__(self, expected: int = 10_000, rate: float = 0.01):
+        self.size = math.ceil(-expected * math.log(rate) / math.log(2) ** 2)
+        self.k = math.ceil(self.size / expected * math.log(2))
+        self.words: DataFrame | None = None
+
+    def _places(self, c: Column) -> Column:
+        h = lambda i: F.pmod(F.xxhash64(F.lit(i), c), F.lit(self.size))
+        return F.array(*[F.struct(F.floor(h(i) / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h(i), F.lit(64)).cast("int")).alias("bit")) for i in range(self.k)])
+
+    def add(self, df: DataFrame, column: str) -> Bloom:
+        """Sets the bits of all values (nulls too): words of 64 bits are merged map side first."""
+        new = df.select(F.explode(self._places(F.col(column))).alias("p")).select("p.word", "p.bit")
+        new = new if self.words is None else new.union(self.words)
+        self.words = new.groupBy("word").agg(F.bit_or("bit").alias("bit"))
+        return self
+
+    def may_hold(self, df: DataFrame, column: str, name: str = "maybe") -> DataFrame:
+        """Adds whether each value may have been added; never false for one that was. The words (``size / 64`` rows) are broadcast."""
+        if self.words is None:
+            return df.withColumn(name, F.lit(False))
+        held = self.words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bit"))).alias("__held"))
+        hit = F.forall(self._places(F.col(column)), lambda p: F.coalesce(F.element_at("__held", p["word"]), F.lit(0)).bitwiseAND(p["bit"]) != 0)
+        return df.crossJoin(F.broadcast(held)).withColumn(name, hit).drop("__held")  # one row of bounded size

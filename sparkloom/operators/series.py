@@ -35,9 +35,35 @@ def in_range(df: DataFrame, column: str, low=None, high=None) -> DataFrame:
     return out.orderBy(column)
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """Exact percentile, nearest-rank convention (aggregate)."""
-    return F.expr("1") * F.percentile(value, F.lit(p)) if p in (0.0, 1.0) else F.call_function("percentile_disc", value, F.lit(p))
+def nearest_rank(value: str | Column, p: float) -> Column:
+    """Exact percentile, nearest-rank convention (aggregate); at 0 and 1 the least and the largest value."""
+    if p in (0.0, 1.0):
+        return (F.max if p else F.min)(value)
+    if isinstance(value, str):
+        return F.expr(f"percentile_disc({float(p)}D) WITHIN GROUP (ORDER BY `{value}`)")
+    return F.call_function("percentile_disc", value, F.lit(float(p)))
+
+
+def summary(df: DataFrame, keys: Sequence[str], ts: str, value: str, now, window_s: float = 60.0, percentiles: Sequence[float] = (0.5, 0.9, 0.99, 0.999)) -> DataFrame:
+    """Summary of the last ``window_s`` seconds before ``now`` (both ends in): n, low, high, mean, sd, percentiles, rate.
+
+    Percentiles are those at index floor(n * p), from the counts of distinct values, so no
+    group is gathered into an array; the rate divides by the age of the oldest, 1 s at least.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    end = F.unix_micros(F.lit(now).cast("timestamp"))
+    rows = df.filter(F.col(value).isNotNull() & us.between(end - int(window_s * 1e6), end))
+    v = F.col(value)
+    out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(us).alias("__t"))
+    out = out.withColumn("rate", F.col("n") / F.greatest(F.lit(1.0), (end - F.col("__t")) / 1e6)).drop("__t")
+    per = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    w = W.partitionBy(*keys)
+    per = per.withColumn("__to", F.sum("__c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
+    for p in percentiles:
+        at = F.least(F.col("__n"), F.floor(F.col("__n") * p) + 1)
+        per = per.withColumn(f"__p{p}", F.when((F.col("__to") >= at) & (F.col("__to") - F.col("__c") < at), v))
+    got = per.groupBy(*keys).agg(*[F.max(f"`__p{p}`").alias(f"p{100 * p:g}".replace(".", "_")) for p in percentiles])
+    return out.join(got, list(keys))
 
 
 def floor_percentile(df: DataFrame, value: str, p: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -167,6 +193,35 @@ def token_bucket(df: DataFrame, key: str, ts: str, order: Sequence[str], capacit
     return _stateful(df, key, ts, order, allow, "allowed")
 
 
+def gcra(df: DataFrame, key: str, ts: str, order: Sequence[str], interval_s: float, burst_s: float) -> DataFrame:
+    """``allowed`` by the generic cell rate algorithm: while the theoretical arrival time is at most ``burst_s`` ahead."""
+
+    def allow(times):
+        tat, out = -math.inf, []
+        for t in times:
+            tat = max(tat, t)
+            out.append(tat <= t + burst_s)
+            tat += interval_s * out[-1]
+        return out
+
+    return _stateful(df, key, ts, order, allow, "allowed")
+
+
+def leaky_bucket(df: DataFrame, key: str, ts: str, order: Sequence[str], capacity: float, per_second: float) -> DataFrame:
+    """``allowed`` while the bucket, which leaks at a constant rate, has room for one more."""
+
+    def allow(times):
+        level, last, out = 0.0, None, []
+        for t in times:
+            level = max(0.0, level - (0 if last is None else (t - last) * per_second))
+            last = t
+            out.append(level + 1 <= capacity)
+            level += out[-1]
+        return out
+
+    return _stateful(df, key, ts, order, allow, "allowed")
+
+
 def dedup_window(df: DataFrame, key: str, ts: str, order: Sequence[str], window_s: float) -> DataFrame:
     """``fresh`` if the last accepted row of the key is at least the window away."""
 

@@ -52,8 +52,7 @@ def cursor_seek(spark, d):
 
 
 _APPEND = """WITH j AS (SELECT user_id, count(*) AS v FROM events WHERE event_id % 3 = 0 GROUP BY 1),
-n AS (SELECT user_id, event_id, user_id % 4 AS expected FROM events WHERE event_id % 3 = 1),
-k AS (SELECT n.*, coalesce(v, 0) AS v FROM n LEFT JOIN j USING (user_id))
+k AS (SELECT user_id, event_id, CASE WHEN user_id % 2 = 0 THEN coalesce(v, 0) ELSE user_id % 4 END AS expected, coalesce(v, 0) AS v FROM events LEFT JOIN j USING (user_id) WHERE event_id % 3 = 1)
 SELECT user_id, event_id, expected, v + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version FROM k WHERE expected = v"""
 
 
@@ -61,7 +60,8 @@ SELECT user_id, event_id, expected, v + row_number() OVER (PARTITION BY user_id
 def optimistic_append(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id")
     journal = e.filter("event_id % 3 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("version"))
-    accepted, _ = K.append(journal, e.filter("event_id % 3 = 1").withColumn("expected", F.col("user_id") % 4), "user_id", ["event_id"])
+    new = e.filter("event_id % 3 = 1").join(journal, "user_id", "left").withColumn("expected", F.when(F.col("user_id") % 2 == 0, F.coalesce("version", F.lit(0))).otherwise(F.col("user_id") % 4)).drop("version")
+    accepted, _ = K.append(journal, new, "user_id", ["event_id"])
     return accepted
 
 
@@ -89,20 +89,22 @@ def digits_round_trip(spark, d):
     return c.select("c_custkey", C.decrypt_digits(F.col("e"), "k1").alias("back"), (F.col("e").rlike("^[0-9]{11}$") & (F.col("e") != F.col("x"))).alias("same_shape"))
 
 
-@query("SELECT event_type, TRUE AS close FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS estimate FROM events GROUP BY 1")
 def count_min_sketch(spark, d):
+    """Never too low; equal to the exact counts as long as the items are few beside the sketch."""
     e = table(spark, d, "events").select("event_type")
-    exact = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
-    kinds = [r.event_type for r in exact.orderBy("event_type").limit(100).collect()]
-    got = K.count_min(e, "event_type", kinds)
-    est = spark.createDataFrame(list(got.items()), "event_type string, est bigint")
-    return exact.join(est, "event_type").select("event_type", F.col("est").between(F.col("n"), F.col("n") + 10).alias("close"))
+    return K.count_min(e, "event_type", e.distinct())
 
 
-@query("SELECT user_id, event_id, TRUE AS ok FROM events")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, coalesce(event_type, '') || '|' || coalesce((value * 100)::BIGINT::VARCHAR, '') AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, i, sha256('|' || t) AS hash FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.i, sha256(r.hash || '|' || e.t) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id, event_id, hash, event_id % 10 <> 3 AS ok FROM r""")
 def audit_chain(spark, d):
-    made = K.audit_chain(table(spark, d, "events"), "user_id", "event_id", ["event_type", "value"])
-    return G.audit_chain_ok(made, "user_id", "event_id", ["event_type", "value"]).select("user_id", "event_id", "ok")
+    e = table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    made = K.audit_chain(e, "user_id", "event_id", ["event_type", "cents"])
+    forged = made.withColumn("event_type", F.when(F.col("event_id") % 10 == 3, F.lit("forged")).otherwise(F.col("event_type")))
+    return G.audit_chain_ok(forged, "user_id", "event_id", ["event_type", "cents"]).select("user_id", "event_id", "hash", "ok")
 
 
 @query("SELECT l_suppkey, sum(l_quantity) AS cpu_ms, round(sum(l_linenumber * l_quantity / 1000), 6) AS memory_mb_s, arg_max(l_partkey, (l_shipdate, l_orderkey, l_linenumber, l_partkey)) AS storage FROM lineitem GROUP BY 1")
@@ -125,12 +127,6 @@ def access_decisions(spark, d):
     return G.decide(requests, rules)
 
 
-@query("SELECT event_type, count(value) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd FROM events GROUP BY 1")
-def metric_summary(spark, d):
-    v = F.col("value")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"), rnd(F.avg(v), 6).alias("mean"), rnd(F.stddev_pop(v), 6).alias("sd"))
-
-
 @query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), (SELECT min(string_split(p_name, ' ')[1]) FROM part))")
 def multi_value_attribute(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("tags"))
@@ -175,9 +171,9 @@ def version_vectors(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", S.compare_versions(a, b).alias("o"))
 
 
-@query("SELECT event_id, ((epoch_us(ts) // 1000 - 1704067200000) * 4194304 + (user_id % 32) * 4096 + event_id % 4096)::BIGINT AS id FROM events WHERE ts >= TIMESTAMP '2024-01-01'")
+@query("SELECT event_id, ((epoch_us(ts) // 1000 - 1704067200000) * 4194304 + (user_id % 32) * 4096 + event_id % 4096)::BIGINT AS id FROM events")
 def time_ordered_ids(spark, d):
-    e = table(spark, d, "events").filter(F.col("ts") >= F.expr("timestamp_ntz '2024-01-01'"))
+    e = table(spark, d, "events")
     return e.select("event_id", S.snowflake_id(F.unix_millis(F.col("ts").cast("timestamp")), F.col("user_id") % 32, F.col("event_id") % 4096).alias("id"))
 
 
@@ -204,7 +200,9 @@ def storage_health(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", G.storage_health(F.lit(9000.0), F.col("s_acctbal"), F.col("s_suppkey") % 3 * 5001).alias("health"))
 
 
-_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_ \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+'), lambda w: length(w) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + "], w))"
+_STOP = """'a','about','above','after','again','against','all','am','an','and','any','are','as','at','be','because','been','before','being','below','between','both','but','by',
+'for','from','in','into','is','it','its','of','on','or','that','the','this','to','was','with'"""
+_WORDS = "list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_ \\t\\n\\r]', ' ', 'g'), '[ \\t\\n\\r]+'), lambda w: length(w) > 1 AND NOT list_contains([" + _STOP + "], w))"
 
 
 @query(f"SELECT lang, count(*) AS n FROM (SELECT lang, unnest({_WORDS}) AS w FROM documents) GROUP BY 1")

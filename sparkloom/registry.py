@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import task_queries  # noqa: F401  registers its queries
+from sparkloom.plans import more_queries, task_queries  # noqa: F401  register their queries
 from sparkloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
