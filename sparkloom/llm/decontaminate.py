@@ -1,14 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and stripped of outer punctuation. Numbers, units after
-numbers, and names (capitalised words inside a sentence) become typed
-placeholders, so a question with other numbers or names has the same *template*.
-Windows of ``WIDTH`` template tokens are hashed (an item with fewer tokens is one
-window), once as template and once literally, and looked up in the hash table of
-all benchmark windows. The lookup is a map-side hash join: the table is broadcast
-in shards of at most ``shard_rows`` windows (as many as it needs, one in memory at
-a time) behind a bitmap of fixed size, so documents are never shuffled and a
-passage that many documents share meets no single task.
+numbers, and names (capitalised words inside a sentence, or at its beginning unless
+they are among the words that often begin one) become typed placeholders, so a
+question with other numbers or names has the same *template*. Windows of ``WIDTH``
+template tokens are hashed (an item with fewer tokens is one window), once as
+template and once literally, and looked up in the hash table of all benchmark
+windows. The lookup is a map-side hash join behind a bitmap of fixed size, so
+documents are never shuffled and a passage that many documents share meets no
+single task. A benchmark of more than ``shard_rows`` windows (they are counted) is
+cut into shards of whole items: one pass over the documents for each, with one
+shard in memory, and what it finds is kept beside the documents.
 
 Slots. Windows of one item that match at the same distance are one alignment.
 Its slots must agree: a value of the benchmark must always meet the same value of
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
+from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim, written
 
 WIDTH = 5
 #: Consecutive tokens of an item that are a leak however long the item is.
@@ -45,6 +47,8 @@ NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
 QUANTITY = re.compile(r"[+-]?\d[\d.,]*[a-z°µ%]{1,3}")
 LINE_END = "\ue000"
 UNITS = frozenset("kg g mg t lb lbs oz km m cm mm mi ft in yd l ml dl h hr hrs min mins s sec secs ms day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles dollar dollars euro euros cent cents percent degrees kmh mph w kw v a hz j pa k c f b kb mb gb tb".split())
+#: Words that begin sentences without being names.
+BEGINNERS = frozenset("a an the this that these those it he she we you they i there here what which who whom whose when where why how is are was were do does did can could will would should if in on at by for from to of with and or but so as after before during then now each every all some one two many most no not let suppose given find calculate der die das ein eine wie was wer wo wann le la les un une que el los las un una il".split())
 OUTER = "\"'`´“”‘’«»„()[]{}<>.,;:!?¡¿…*#&_|~-–—/\\"
 NUM, UNIT, NAME, WORD, DROP = 1, 2, 3, 0, 4
 _TYPE_HASH = {k: xxhash.xxh64_intdigest(f"<{k}>".encode(), 7) for k in (NUM, UNIT, NAME)}
@@ -74,7 +78,7 @@ class Words(dict):
         if i == len(self.hashes):
             self.hashes, self.flags = (np.concatenate((x, np.zeros_like(x))) for x in (self.hashes, self.flags))
         self.hashes[i] = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass"), 7)
-        self.flags[i] = kind | core[:1].isupper() << 3 | ends << 4
+        self.flags[i] = kind | core[:1].isupper() << 3 | ends << 4 | (low in BEGINNERS) << 5
         self[raw] = i
         return i
 
@@ -92,7 +96,7 @@ def known_words(bound: int = REMEMBERED) -> Words:
 def canonical(n: np.ndarray, fresh: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Positions of kept words, their literal hashes, template hashes and types. ``fresh``: a text begins here."""
     h, flags = known.hashes[n], known.flags[n]
-    kind, cap, ends = flags & 7, flags & 8 > 0, flags & 16 > 0
+    kind, cap, ends, begins = flags & 7, flags & 8 > 0, flags & 16 > 0, flags & 32 > 0
     first = fresh.copy()
     first[1:] |= ends[:-1]
     keep = np.flatnonzero(kind != DROP)
@@ -100,11 +104,11 @@ def canonical(n: np.ndarray, fresh: np.ndarray, known: Words) -> tuple[np.ndarra
         return keep, h[:0], h[:0], kind[:0]
     # a dropped mark (a dash, a line end) between words may end the sentence too
     starts = np.logical_or.reduceat(first, np.concatenate(([0], keep[:-1] + 1)))
-    h, kind, cap = h[keep], kind[keep].copy(), cap[keep]
+    h, kind, cap, begins = h[keep], kind[keep].copy(), cap[keep], begins[keep]
     after_number = np.zeros(len(kind), bool)
     after_number[1:] = (kind[:-1] == NUM) & ~starts[1:]
     kind[(kind == UNIT) & ~after_number] = WORD
-    kind[(kind == WORD) & cap & ~starts] = NAME
+    kind[(kind == WORD) & cap & ~(starts & begins)] = NAME
     template = h.copy()
     for k, x in _TYPE_HASH.items():
         template[kind == k] = x
@@ -159,22 +163,33 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
 def contaminations(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5, shard_rows: int = 500_000, flag_rows: bool = False) -> DataFrame:
     """``doc_id, item_id, n_windows, n_matched, cover`` of every contaminated (row, item); with ``flag_rows``, instead the clean rows of ``docs``."""
     small_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
     windows = cut(item_windows(benchmark))
-    rows = windows.count()
-    n_shards = max(1, -(-rows // shard_rows))
-    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WIDTH rows
+    n_shards = max(1, -(-windows.count() // shard_rows))
+    out = None
+    for s in range(n_shards):  # whole items together, so each shard decides on its own
+        part = windows if n_shards == 1 else windows.filter(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == s)
+        if flag_rows:
+            docs = _shard_contaminations(docs, part, benchmark, min_cover, True)
+            docs = docs if s == n_shards - 1 else written(docs)
+        else:
+            found = _shard_contaminations(docs, part, benchmark, min_cover, False)
+            out = found if out is None else out.union(found)
+    return docs if flag_rows else out
+
+
+def _shard_contaminations(docs: DataFrame, windows: DataFrame, benchmark: DataFrame, min_cover: float, flag_rows: bool) -> DataFrame:
+    """What the items of some benchmark windows, as many as fit in memory, find."""
+    sc = docs.sparkSession.sparkContext
+    part = windows.toPandas()  # at most about ``shard_rows`` rows: counted by the caller
+    widths = sorted(part["width"].unique().tolist())
+    keys = np.concatenate((part["literal"].to_numpy(np.int64), part["template"].to_numpy(np.int64))).view(np.uint64)
+    src = np.concatenate((np.arange(len(part)), np.arange(len(part))))
+    literal = np.repeat([True, False], len(part))
+    order = np.argsort(keys, kind="stable")
     bitmap = np.zeros(BITMAP, bool)
-    shards = []
-    for s in range(n_shards):  # a shard at a time: bounded
-        part = windows.filter(F.pmod("literal", F.lit(n_shards)) == s).toPandas()
-        keys = np.concatenate((part["literal"].to_numpy(np.int64), part["template"].to_numpy(np.int64))).view(np.uint64)
-        src = np.concatenate((np.arange(len(part)), np.arange(len(part))))
-        literal = np.repeat([True, False], len(part))
-        order = np.argsort(keys, kind="stable")
-        bitmap[(keys >> np.uint64(40)).astype(np.int64)] = True
-        items = [(r.item_id, r.pos, r.n, [x.split(":", 2) for x in r.slots]) for r in part.itertuples()]
-        shards.append(sc.broadcast((keys[order], src[order], literal[order], items)))
+    bitmap[(keys >> np.uint64(40)).astype(np.int64)] = True
+    items = [(r.item_id, r.pos, r.n, [x.split(":", 2) for x in r.slots]) for r in part.itertuples()]
+    shard = sc.broadcast((keys[order], src[order], literal[order], items))
     bits = sc.broadcast(np.packbits(bitmap))
     text_at, id_at = docs.columns.index("text"), docs.columns.index("doc_id")
 
@@ -232,14 +247,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, min_cover: float = 0.5
                 continue
             pos, key = (np.concatenate(x) for x in zip(*where))
             hits = defaultdict(list)
-            for shard in shards:
-                keys, src, literal, items = shard.value
-                a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                for k in np.flatnonzero(z > a):
-                    for j in range(a[k], z[k]):
-                        hits[int(doc[pos[k]])].append((int(pos[k]), bool(literal[j]), items[src[j]]))
-                if len(shards) > 1:
-                    del shard._value
+            keys, src, literal, items = shard.value
+            a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            for k in np.flatnonzero(z > a):
+                for j in range(a[k], z[k]):
+                    hits[int(doc[pos[k]])].append((int(pos[k]), bool(literal[j]), items[src[j]]))
             for i, x in hits.items():
                 out[lo + i] = matches(words, keep, types, sorted(x, key=lambda x: not x[1]))
         return out

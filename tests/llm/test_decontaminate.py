@@ -54,3 +54,41 @@ def test_long_quotes_and_edited_items(spark):
     edited = " ".join("other" if k % 8 == 7 else w for k, w in enumerate(words))
     texts = [" ".join(words[10:30]), edited, " ".join(words[10:22]), " ".join(words[:6] + words[30:36])]
     assert run(spark, [f"{FILL} {t} {FILL}" for t in texts], ((1, " ".join(words)),)) == [(0, 1), (1, 1)]
+
+
+NAMES = "Anna Peter Mary Tom Laura Omar Ines Paul Greta Hugo Wanda Felix Nora Karl Sofia Emil".split()
+TEMPLATES = (
+    "{a} has {1} apples. {b} has {2} pears. {c} eats {3} of them. {a} buys {4} plums. How many fruits are left?",
+    "{a} drives {1} km in {2} hours. {b} drives {3} km in {4} hours. Who is faster, {a} or {b}?",
+    "A shop sells {1} shirts for {2} dollars each. {a} buys {3} of them and pays with {4} dollars. How much money does {a} get back?",
+    "{a} reads {1} pages a day. {b} reads twice as many. After {2} days {a} gives {b} {3} books. How many pages did they read?",
+    "There are {1} birds on a tree. {2} fly away. {a} counts {3} more. How many birds does {a} see now?",
+)
+
+
+def variant(rnd, template):
+    out, people = template, rnd.sample(NAMES, 3)
+    for k, name in zip("abc", people):
+        out = out.replace("{" + k + "}", name)
+    for k, n in zip("1234", rnd.sample(range(2, 900), 4)):
+        out = out.replace("{" + k + "}", str(n))
+    return out
+
+
+def test_recall_and_precision_on_variants(spark):
+    import random
+
+    rnd = random.Random(6)
+    items = [(k, variant(rnd, t)) for k, t in enumerate(TEMPLATES)]
+    texts, want = [], set()
+    for _ in range(60):
+        k = rnd.randrange(len(TEMPLATES))
+        want.add((len(texts), k))
+        texts.append(f"{FILL} {variant(rnd, TEMPLATES[k])} {FILL}")
+    for _ in range(60):  # the same words about other things, in another order
+        words = " ".join(items[rnd.randrange(len(items))][1].split(". ")[::-1]).split()
+        rnd.shuffle(words)
+        texts.append(f"{FILL} {' '.join(words)} {FILL}")
+    got = set(run(spark, texts, items))
+    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 1
+    assert set(run(spark, texts, items, shard_rows=20)) == got
