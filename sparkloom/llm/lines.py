@@ -14,9 +14,9 @@ hash; sketches merge by aggregation, map side first, so a very common line is
 never gathered. Lines whose estimates are within the sketch's error of the
 threshold get exact distinct counts; the others are decided by the estimate.
 
-Removing. The hashes of boilerplate lines are broadcast in shards of at most
-``shard_rows`` (as many shards as their number needs, one in memory at a time),
-and texts are cleaned where they lie: they are never shuffled.
+Removing. Up to ``most`` hashes of boilerplate lines (16 bytes each; they are
+counted) are broadcast, and texts are cleaned where they lie. More are joined with
+the lines of distinct texts on hashes, and texts with the places found.
 
 Edge cases: blank lines are never removed; a null site counts as one site of its
 own; a null text stays null, an empty one empty; a text of which no line with
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, small_batches, table, trim
+from sparkloom.llm.common import cut, free_name, small_batches, table, trim
 
 BLANKS = " \t\r\x0b\x0c"
 LG_K = 12
@@ -97,52 +97,93 @@ def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64).astype(np.int64), np.array([xxhash.xxh64_intdigest(b"#" + x, 42) for x in raw], np.uint64).astype(np.int64))
 
 
-def remove(docs: DataFrame, boiler: DataFrame, shard_rows: int = 1_000_000, counts: bool = False) -> DataFrame:
-    """``docs`` with cleaned texts; with ``counts``, also ``n_lines`` and ``n_removed``."""
-    sc = docs.sparkSession.sparkContext
-    n_shards = max(1, -(-boiler.count() // shard_rows))
-    shards = []
-    for s in range(n_shards):
-        rows = boiler.filter(F.pmod("h2", F.lit(n_shards)) == s).toPandas()
-        order = np.lexsort((rows["h2"].to_numpy(np.int64), rows["h1"].to_numpy(np.int64)))
-        shards.append(sc.broadcast(rows[["h1", "h2"]].to_numpy(np.int64)[order]))
+def _cleaned(text: str | None, is_gone) -> tuple[str | None, int, int]:
+    """A text without the lines for which ``is_gone`` (by position), its number of lines, and how many went."""
+    if text is None:
+        return None, 0, 0
+    lines = text.split("\n")
+    content = [bool(x.strip(BLANKS)) for x in lines]
+    flags = [c and is_gone(i) for i, c in enumerate(content)]
+    if not any(flags) or not any(c and not g for c, g in zip(content, flags)):
+        return text, len(lines), 0
+    return "\n".join(x for x, g in zip(lines, flags) if not g), len(lines), sum(flags)
+
+
+def _output(docs: DataFrame, counts: bool) -> tuple[str, list[str]]:
+    names = [free_name(docs, "n_lines"), free_name(docs, "n_removed")] if counts else []
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` bigint" for n in names)]), names
+
+
+def remove(docs: DataFrame, boiler: DataFrame, most: int = 1_000_000, counts: bool = False) -> DataFrame:
+    """``docs`` with cleaned texts; with ``counts``, also ``n_lines`` and ``n_removed`` (with a number after it where ``docs`` has such a column)."""
+    if boiler.count() > most:
+        return _remove_joined(docs, boiler, counts)
+    rows = boiler.toPandas()
+    order = np.lexsort((rows["h2"].to_numpy(np.int64), rows["h1"].to_numpy(np.int64)))
+    held = docs.sparkSession.sparkContext.broadcast(rows[["h1", "h2"]].to_numpy(np.int64)[order])  # at most ``most`` rows of 16 bytes
     at = docs.columns.index("text")
+    kinds, names = _output(docs, counts)
 
     def run(batches):
+        known = held.value
         for b in batches:
-            split = [None if t is None else t.split("\n") for t in b.column(at).to_pylist()]
-            h1, h2 = _hashes([x for s in split if s for x in s])
+            texts = b.column(at).to_pylist()
+            split = [[] if t is None else t.split("\n") for t in texts]
+            h1, h2 = _hashes([x for s in split for x in s])
             gone = np.zeros(len(h1), bool)
-            for shard in shards:
-                known = shard.value
-                first = np.searchsorted(known[:, 0], h1)
-                for k in range(4):  # equal first hashes are next to each other
-                    i = np.minimum(first + k, len(known) - 1)
-                    if len(known):
-                        gone |= (known[i, 0] == h1) & (known[i, 1] == h2)
-                if len(shards) > 1:
-                    del shard._value
-            texts, n_lines, n_removed, k = [], [], [], 0
-            for s in split:
-                flags = gone[k : k + len(s)] if s else ()
-                k += len(s) if s else 0
-                content = [bool(x.strip(BLANKS)) for x in s or ()]
-                left = [x for x, g in zip(s or (), flags) if not g]
-                whole = s is None or not any(flags) or not any(c and not g for c, g in zip(content, flags))
-                texts.append(None if s is None else "\n".join(s if whole else left))
-                n_lines.append(len(s or ()))
-                n_removed.append(0 if whole else int(sum(flags)))
-            cols = list(b.columns)
-            cols[at] = pa.array(texts, pa.string())
-            names = list(b.schema.names)
-            if counts:
-                cols += [pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
-                names += ["n_lines", "n_removed"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            if len(known):
+                i = np.searchsorted(known[:, 0], h1)
+                while True:  # equal first hashes are next to each other
+                    j = np.minimum(i, len(known) - 1)
+                    same = (i < len(known)) & (known[j, 0] == h1)
+                    gone |= same & (known[j, 1] == h2)
+                    if not (same & ~gone).any():
+                        break
+                    i += 1
+            out, k = [], 0
+            for t, s in zip(texts, split):
+                flags = gone[k : k + len(s)]
+                k += len(s)
+                out.append(_cleaned(t, flags.__getitem__))
+            yield _with_texts(b, at, out, names)
+        trim()
+
+    return docs.mapInArrow(run, kinds)
+
+
+def _with_texts(b: pa.RecordBatch, at: int, out: list, names: list[str]) -> pa.RecordBatch:
+    cols = list(b.columns)
+    cols[at] = pa.array([x[0] for x in out], pa.string())
+    cols += [pa.array([x[i] for x in out], pa.int64()) for i in (1, 2)] if names else []
+    return pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *names])
+
+
+def _remove_joined(docs: DataFrame, boiler: DataFrame, counts: bool) -> DataFrame:
+    """The same for any number of boilerplate lines: a distinct text's lines meet them in a join on hashes, then texts meet the places of their lines."""
+
+    def places(batches):
+        for b in batches:
+            for i, t in enumerate(b.column(1).to_pylist()):
+                lines = (t or "").split("\n")
+                h1, h2 = _hashes(lines)
+                key = b.column(0).take(pa.array(np.full(len(lines), i)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(h1), pa.array(h2), pa.array(np.arange(len(lines)))], names=["k", "h1", "h2", "at"])
+
+    key = F.xxhash64("text")
+    lines = docs.select(key.alias("k"), "text").mapInArrow(places, "k bigint, h1 bigint, h2 bigint, at bigint").dropDuplicates(["k", "at"])
+    gone = lines.join(boiler, ["h1", "h2"], "left_semi").groupBy(F.col("k").alias("__k")).agg(F.collect_list("at").alias("__gone"))  # of one text's lines
+    kinds, names = _output(docs, counts)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for t, g in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                out.append(_cleaned(t, set(g or ()).__contains__))
+            yield _with_texts(b.select(list(range(b.num_columns - 1))), at, out, names)
         trim()
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, kinds + (", n_lines bigint, n_removed bigint" if counts else ""))
+    return docs.join(gone, key == F.col("__k"), "left").select(*docs.columns, "__gone").mapInArrow(run, kinds)
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = 5, counts: bool = False) -> DataFrame:

@@ -61,3 +61,13 @@ def test_notice_that_is_the_longest_line(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.text for r in L.dedup_lines(df).collect()}
     assert all(got[i] == f"own text {i}" for i in range(8)) and all(got[100 + i] == f"{notice} too\nthe same text" for i in range(8))
+
+
+def test_clashing_columns_and_both_ways(spark):
+    rows = [(i, f"Shared footer of all\nown text number {i}", f"s{i}", "a", 5) for i in range(7)]
+    df = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, source string, N_Lines string, n_removed int")
+    boiler = L.boilerplate(df.select("text", "source"))
+    for most in (1_000_000, 0):
+        got = L.remove(df, boiler, most, counts=True)
+        assert got.columns == [*df.columns, "n_lines_2", "n_removed_2"]
+        assert sorted(tuple(r) for r in got.collect()) == sorted((i, f"own text number {i}", s, "a", 5, 2, 1) for i, _, s, _, _ in rows + rows[:2])
