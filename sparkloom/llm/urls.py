@@ -1,7 +1,7 @@
 """URL filters by association rules.
 
-Tokens of a URL are its scheme, host labels without digits (a loss: a host such as
-casino88 has no token of its own), path words without digits and query keys. From URLs with a label, Spark's FP-growth mines frequent token sets with
+Tokens of a URL are its scheme, host labels, path words without digits (those are
+ids) and query keys. From URLs with a label, Spark's FP-growth mines frequent token sets with
 the label as one more item. A rule "tokens -> block" is kept if its support and
 confidence suffice and no kept rule uses a subset of its tokens. Rules match by
 an inverted index: each is filed under its rarest token, a URL looks up its
@@ -41,7 +41,7 @@ def parse(urls: DataFrame, url_col: str = "url") -> DataFrame:
     words = lambda c, by, tag, ids=True: F.transform(F.filter(F.split(c, by), lambda x: (x != "") & (~x.rlike("[0-9]") if ids else F.lit(True))), lambda x: F.concat(F.lit(tag), F.lower(x)))
     keys = words(F.regexp_replace(F.regexp_extract("__rest", r"\?([^#]*)", 1), "=[^&]*", ""), "&", "q:", ids=False)
     scheme = F.when(F.col("__rest") != "", F.array(F.concat(F.lit("s:"), F.lower(F.substring(url, F.lit(1), cut_at - 1))))).otherwise(F.array().cast("array<string>"))
-    tokens = F.array_sort(F.array_distinct(F.concat(scheme, words("host", r"\.", "h:"), words("path", "[/._-]", "p:"), keys)))
+    tokens = F.array_sort(F.array_distinct(F.concat(scheme, words("host", r"\.", "h:", ids=False), words("path", "[/._-]", "p:"), keys)))
     return out.withColumn("tokens", tokens).drop("__rest")
 
 
@@ -84,7 +84,7 @@ def stated(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, small: int = 100_000, **mining) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, small: int = 50_000, **mining) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of every row; ``labelled`` has ``url`` and ``bad``."""
     each = parse(pages.select("page_id", "url"))
     mined = cut(mine(parse(labelled.select("url", "bad")), **mining))
@@ -96,7 +96,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules=RULES, small: int = 100_0
     return each.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
 
 
-def labelled_pages(pages: DataFrame, labels: DataFrame, small: int = 4_000_000) -> DataFrame:
+def labelled_pages(pages: DataFrame, labels: DataFrame, small: int = 1_000_000) -> DataFrame:
     """``url, bad``: pages whose path names a labelled document; bad if its quality is 0 or it is toxic."""
     bad = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.expr("coalesce(quality = 0, false) OR coalesce(toxic > 0, false)")).alias("bad"))
     bad = cut(bad)

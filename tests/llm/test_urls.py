@@ -42,7 +42,7 @@ def brute_tokens(u):
     host, path, *_ = brute(u)
     q = u.split("?", 1)[1] if "?" in u else ""
     parts = ["s:" + u.split("://")[0]] + ["h:" + x for x in host.split(".")] + ["p:" + x for x in path.replace(".", "/").split("/")] + ["q:" + x.split("=")[0] for x in q.split("&")]
-    return [x for x in parts if len(x) > 2 and not any(c.isdigit() for c in x)]
+    return [x for x in parts if len(x) > 2 and (x[0] in "hq" or not any(c.isdigit() for c in x))]  # numbers in paths are ids
 
 
 def test_rules_of_many_tokens_and_query_keys_with_digits(spark):
@@ -54,3 +54,10 @@ def test_rules_of_many_tokens_and_query_keys_with_digits(spark):
     assert rules == [{f"p:{x}" for x in five}]
     df = spark.createDataFrame([("http://h.org/x1?utm2=3&b=4",)], "url string")
     assert U.parse(df).first().tokens == ["h:h", "h:org", "q:b", "q:utm2", "s:http"]
+
+
+def test_hosts_with_digits(spark):
+    lab = [(f"http://casino{i % 2}88.example.com/page/x", True) for i in range(30)] + [(f"http://www.example.com/page/x?i={i}", False) for i in range(60)]
+    df = spark.createDataFrame([(1, "http://casino088.example.com/other"), (2, "http://www.example.com/other")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in U.judge(df, spark.createDataFrame(lab, "url string, bad boolean")).collect()}
+    assert got == {1: "block", 2: "allow"}
