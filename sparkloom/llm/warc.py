@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, shared_dir, table
+from sparkloom.llm.common import cut, shared_dir, small_batches, table
 
 MIN_BYTES = 100
 CHUNK = 1 << 20
@@ -87,17 +87,29 @@ def inflated(stream):
     z = zlib.decompressobj(31)
     while data := stream.read(CHUNK):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
+            out = z.decompress(data, CHUNK)  # never more at once, however well it was packed
+            yield out
+            while len(out) == CHUNK and not z.unconsumed_tail and not z.eof:
+                out = z.decompress(b"", CHUNK)
+                yield out
             if z.eof:
-                z = zlib.decompressobj(31)
+                data, z = z.unused_data, zlib.decompressobj(31)
+            else:
+                data = z.unconsumed_tail
 
 
 def _open(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
-def _attempt() -> str:
+def _publish(fs, made: str, name: str) -> None:
+    """Gives a whole file its final name; a file of that name is an earlier attempt's, with the same content."""
+    if fs.get_file_info(name).type != pafs.FileType.NotFound:
+        fs.delete_file(name)
+    fs.move(made, name)
+
+
+def _attempt() -> tuple[str, str]:
     t = TaskContext.get()
     return f"{t.partitionId():06d}", f"{t.taskAttemptId()}"
 
@@ -117,7 +129,7 @@ def write_monolithic(rows: DataFrame, folder: str, date: str = "2024-01-01T00:00
         if out is not None:
             out.write(z.flush())
             out.close()
-            fs.move(f"{base}/.{part}-{attempt}", f"{base}/{part}.warc.gz")
+            _publish(fs, f"{base}/.{part}-{attempt}", f"{base}/{part}.warc.gz")
             yield pa.RecordBatch.from_arrays([pa.array([f"{part}.warc.gz"])], names=["file"])
 
     return rows.select("page_id", "url", "payload", "digest", "kind", "refers_to").mapInArrow(run, "file string")
@@ -141,8 +153,8 @@ def normalise(files: DataFrame, folder: str, target: str, keep_source: bool = Tr
                         at += len(member)
                 with to.open_output_stream(f"{there}/.{name}.idx-{attempt}", compression=None) as out:
                     out.write("".join(json.dumps(x) + "\n" for x in index).encode())
-                to.move(f"{there}/.{name}.idx-{attempt}", f"{there}/{name}.idx")
-                to.move(f"{there}/.{name}-{attempt}", f"{there}/{name}")
+                _publish(to, f"{there}/.{name}.idx-{attempt}", f"{there}/{name}.idx")
+                _publish(to, f"{there}/.{name}-{attempt}", f"{there}/{name}")
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(index)], pa.int64())], names=["file", "n_records"])
 
     return files.select("file").mapInArrow(run, "file string, n_records bigint")
@@ -190,8 +202,10 @@ def plan_records(pages: DataFrame, small: int = 500_000) -> DataFrame:
 def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
     """Writes and normalises the archives of ``page_id, url, html``; their ``file`` names, and their folder."""
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = "file:" + ("//" if not folder.startswith("file:") else "") + folder.removeprefix("file:")
+    path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    folder = path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toString()  # without a scheme: the cluster's own file system
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
     for sub in ("whole", "members"):
         fs, base = _open(f"{folder}/{sub}")
         fs.create_dir(base, recursive=True)
@@ -204,6 +218,7 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
     """Contract query: what the archives hold for every page."""
+    small_batches(spark)
     pages = table(spark, sf_dir, "pages")
     files, folder = archive(pages)
     kind = pages.schema["page_id"].dataType

@@ -49,3 +49,9 @@ def test_empty(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     files, folder = A.archive(df, f"{tmp_path}/w")
     assert A.read_back(files, folder).count() == 0
+
+
+def test_inflates_in_bounded_pieces():
+    raw = b"\0" * (5 * A.CHUNK + 17)
+    pieces = list(A.inflated(io.BytesIO(gzip.compress(raw) + gzip.compress(b"end"))))
+    assert max(map(len, pieces)) <= A.CHUNK and b"".join(pieces) == raw + b"end"
