@@ -291,7 +291,7 @@ def scores(docs: DataFrame, model, chosen, w) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bound: float = 0.7, small: int = 4_000_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bound: float = 0.7, small: int = 1_000_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     small_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
@@ -304,7 +304,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 20_000, bound: fl
     train = docs.join(F.broadcast(known) if count <= small else known, "doc_id")
     chars = sc.broadcast(char_model(char_counts(docs)))
     chosen = sc.broadcast(telling(frequencies(train, chars), n_toxic, count - n_toxic, bound))
-    of_sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, sample / max(count, 1)) * 1_000_000).limit(2 * sample)
+    of_sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < min(1.0, sample / max(count, 1)) * 1_000_000)
+    of_sample = of_sample.dropDuplicates(["doc_id"]).repartition(32)  # one row of an id, so repeated rows cannot swell it; dealt over tasks
     w = sc.broadcast(fit(sample_features(of_sample, chars, chosen).collect(), len(chosen.value)))
     out = scores(docs, chars, chosen, w).select("doc_id", F.coalesce(share == 0, F.lit(False)).alias("held_out"), "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
