@@ -1,15 +1,16 @@
 """Substring dedup by hashing normalised line parts.
 
-Units. Passages are pasted into lines as often as between them, so lines are cut
-into parts: after sentence ends, inside longer sentences after every word whose hash
+Units are lines, paragraphs (lines up to an empty one), or parts of lines. Passages
+are pasted into lines as often as between them, so by default lines are cut into
+parts: after sentence ends, inside longer sentences after every word whose hash
 is the least among the ``REACH`` words on either side (none of which ends a line or
 sentence), and after ``LONGEST`` words. Copies of a passage are cut alike but for
 the words at its very ends. A unit is normalised (lower case, words joined by one
 blank) and hashed. Units of all texts are grouped by digest with partial
 aggregation; the earliest ranked occurrence (smallest id, then first in the text)
 is kept and every other one is a duplicate. Neighbouring duplicates form runs; runs
-of at least ``min_words`` words are removed and reported with their original
-offsets. A passage of over 50 words leaves such a run, as less than a unit and the
+of at least ``min_words`` words (parts: 35, lines and paragraphs: any) are removed
+and reported with their original offsets. A passage of over 50 words leaves such a run, as less than a unit and the
 reach of a cut are lost at either end; single sentences that recur by nature stay.
 
 The join of units with their digest's first id is split at run time where a
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
+from sparkloom.llm.common import REMEMBERED, cut, free_name, small_batches, table, trim
 
 REACH, LONGEST = 3, 16
 STOPS = (".", "!", "?", "…")
@@ -68,7 +69,7 @@ def known_words(bound: int = REMEMBERED) -> Words:
     return _KNOWN
 
 
-def unit_columns(texts: list[str | None], known: Words) -> tuple[np.ndarray, ...]:
+def unit_columns(texts: list[str | None], known: Words, unit: str = "part") -> tuple[np.ndarray, ...]:
     """``text number, pos, digest, start, end, words, again`` of every unit of several texts; offsets in code points."""
     joined = "\n".join(t or "" for t in texts)
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -81,19 +82,14 @@ def unit_columns(texts: list[str | None], known: Words) -> tuple[np.ndarray, ...
     begin = np.cumsum([0, *(len(t or "") + 1 for t in texts[:-1])])
     of = np.searchsorted(begin, start, "right") - 1
     line = np.cumsum(cp == 10)[start]
-    score = known.scores[n]
-    score[:-1][line[1:] > line[:-1]] &= np.uint64((1 << 61) - 1)
-    at = np.arange(len(n)) + REACH * (of + 1)  # between texts stands what ends a line
-    padded = np.zeros(len(n) + REACH * (len(texts) + 1), np.uint64)
-    padded[at] = score
-    best = score < np.uint64(2 << 61)
-    best[np.flatnonzero(of[1:] > of[:-1])] = best[-1] = True
-    least = np.ones(len(n), bool)
-    for k in range(1, REACH + 1):
-        least &= (score < padded[at - k]) & (score <= padded[at + k])
-    best |= least
-    first = np.maximum.accumulate(np.where(np.concatenate(([True], best[:-1])), np.arange(len(n)), 0))
-    last = np.flatnonzero(best | ((np.arange(len(n)) - first) % LONGEST == LONGEST - 1))
+    ends_text = np.append(np.flatnonzero(of[1:] > of[:-1]), len(n) - 1)
+    if unit != "part":
+        best = np.zeros(len(n), bool)
+        best[:-1] = line[1:] - line[:-1] >= (2 if unit == "paragraph" else 1)
+        best[ends_text] = True
+        last = np.flatnonzero(best)
+    else:
+        last = _part_ends(known.scores[n], line, of, ends_text, len(texts))
     first = np.concatenate(([0], last[:-1] + 1))
     size = last - first + 1
     power = np.cumprod(np.full(size.max(), STEP))
@@ -108,6 +104,23 @@ def unit_columns(texts: list[str | None], known: Words) -> tuple[np.ndarray, ...
     return doc, pos, digest, start[first] - begin[doc], end[last] - begin[doc], size, again
 
 
+def _part_ends(score: np.ndarray, line: np.ndarray, of: np.ndarray, ends_text: np.ndarray, n_texts: int) -> np.ndarray:
+    """The last word of every part of lines."""
+    n = len(score)
+    score[:-1][line[1:] > line[:-1]] &= np.uint64((1 << 61) - 1)
+    at = np.arange(n) + REACH * (of + 1)  # between texts stands what ends a line
+    padded = np.zeros(n + REACH * (n_texts + 1), np.uint64)
+    padded[at] = score
+    best = score < np.uint64(2 << 61)
+    best[ends_text] = True
+    least = np.ones(n, bool)
+    for k in range(1, REACH + 1):
+        least &= (score < padded[at - k]) & (score <= padded[at + k])
+    best |= least
+    first = np.maximum.accumulate(np.where(np.concatenate(([True], best[:-1])), np.arange(n), 0))
+    return np.flatnonzero(best | ((np.arange(n) - first) % LONGEST == LONGEST - 1))
+
+
 def units(text: str | None) -> list[tuple[int, int, int, int]]:
     """``digest, start, end, words`` of every unit of one text."""
     _, _, digest, start, end, size, _ = unit_columns([text], Words())
@@ -118,7 +131,7 @@ def _text_hash(text: str | None) -> int:
     return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 11)
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
+def unit_table(docs: DataFrame, unit: str = "part") -> DataFrame:
     """``doc_id, text_hash, pos, digest, start, end, words, again`` of every unit; again: seen earlier in its text."""
     names = ["doc_id", "text_hash", "pos", "digest", "start", "end", "words", "again"]
 
@@ -127,7 +140,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
             texts = b.column(1).to_pylist()
             for lo in range(0, len(texts), 64):
                 part = texts[lo : lo + 64]
-                doc, pos, digest, start, end, size, again = unit_columns(part, known_words())
+                doc, pos, digest, start, end, size, again = unit_columns(part, known_words(), unit)
                 hashes = np.array([_text_hash(t) for t in part], np.uint64).view(np.int64)
                 cols = [b.column(0).take(pa.array(lo + doc)), pa.array(hashes[doc]), pa.array(pos.astype(np.int32)), pa.array(digest)]
                 cols += [pa.array(x.astype(np.int32)) for x in (start, end, size)] + [pa.array(again > 0)]
@@ -138,10 +151,13 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_hash bigint, pos int, digest bigint, start int, end int, words int, again boolean")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 35) -> DataFrame:
-    """``doc_id, text_hash, start, end, n_words, first_doc`` of every span to remove."""
+def repeated_spans(docs: DataFrame, min_words: int | None = None, unit: str = "part") -> DataFrame:
+    """``doc_id, text_hash, start, end, n_words, first_doc`` of every span to remove; ``unit``: part, line or paragraph."""
+    if unit not in ("part", "line", "paragraph"):
+        raise ValueError(f"unknown unit {unit}")
+    min_words = min_words if min_words is not None else 35 if unit == "part" else 1
     small_batches(docs.sparkSession)
-    u = unit_table(docs)
+    u = unit_table(docs, unit)
     first = cut(u.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first_doc"))
     dup = u.join(first, "digest").filter("again OR (first_doc IS NOT NULL AND NOT doc_id <=> first_doc)")
     # repeated rows give the same units again
@@ -152,17 +168,18 @@ def repeated_spans(docs: DataFrame, min_words: int = 35) -> DataFrame:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with the spans cut out of their texts, and ``removed``, the original offsets."""
-    grouped = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    """``docs`` with the spans cut out of their texts, and ``removed`` (with a number after it where ``docs`` has such a column), the original offsets."""
+    removed, hashed = free_name(docs, "removed"), free_name(docs, "text_hash")
+    grouped = spans.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__removed"))
 
     def run(batches):
         for b in batches:
             h = np.array([_text_hash(t) for t in b.column(b.schema.names.index("text")).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h)], names=[*b.schema.names, "__hash"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h)], names=[*b.schema.names, hashed])
 
     def clean(batches):
         for b in batches:
-            i, j = b.schema.names.index("text"), b.schema.names.index("removed")
+            i, j = b.schema.names.index("text"), b.num_columns - 1
             texts = []
             for t, spans in zip(b.column(i).to_pylist(), b.column(j).to_pylist()):
                 for s in reversed(spans or ()):
@@ -173,10 +190,9 @@ def remove_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    keyed = docs.mapInArrow(run, kinds + ", __hash bigint")
-    g = grouped.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_hash", "__h")
-    joined = keyed.join(g, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left").select(*docs.columns, "removed")
-    return joined.mapInArrow(clean, kinds + ", removed array<struct<start:int,end:int>>")
+    keyed = docs.mapInArrow(run, f"{kinds}, {hashed} bigint")
+    joined = keyed.join(grouped, keyed["doc_id"].eqNullSafe(F.col("__id")) & (keyed[hashed] == F.col("__h")), "left").select(*[keyed[c] for c in docs.columns], F.col("__removed").alias(removed))
+    return joined.mapInArrow(clean, f"{kinds}, {removed} array<struct<start:int,end:int>>")
 
 
 def op8_passages(spark, sf_dir: str) -> DataFrame:

@@ -54,3 +54,15 @@ def test_offsets_are_original():
     for digest, lo, hi, n in B.units(t):
         assert t[lo:hi] == t[lo:hi].strip() and len(t[lo:hi].split()) == n
     assert " ".join(" ".join(t[lo:hi].split()) for _, lo, hi, _ in B.units(t)) == " ".join(t.split())
+
+
+def test_lines_and_paragraphs(spark):
+    a, b, c = "The first line, of a few words.", "a  SECOND line", "third"
+    docs = [(1, f"{a}\n{b}\n\n{c}\n", "x"), (2, f"own\n{b.lower()}\n\n{a}\n{b}\n \n{c}", "x"), (3, f"{c}\n{c}\nnew", "x"), (4, None, "x"), (5, "", "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, removed string")
+    text = {i: t for i, t, _ in docs}
+    for unit, want in (("line", {(2, text[2][4:]), (3, f"{c}\n{c}")}), ("paragraph", {(2, f"{a}\n{b}\n \n{c}")})):
+        spans = B.repeated_spans(df, unit=unit)
+        assert {(s.doc_id, text[s.doc_id][s.start : s.end]) for s in spans.collect()} == want
+        clean = B.remove_spans(df, spans)
+        assert clean.columns == [*df.columns, "removed_2"] and clean.count() == 5

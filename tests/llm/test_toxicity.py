@@ -73,3 +73,32 @@ def test_restores_what_has_few_letters_doubled_letters_or_short_spacing(spark):
     known = T.Restored(model(["shit", "idiot", "ass", "fuck", "letter", "hello", "good", "all"] * 50))
     for noisy, clean in {"5h17": "shit", "1d107": "idiot", "@$$": "ass", "fuuck": "fuck", "a s s": "ass", "s h ! t": "shit", "you a.s.s": "you ass", "letter": "letter", "hello": "hello", "good": "good", "all": "all"}.items():
         assert T.restore(noisy, known) == clean, noisy
+
+
+def test_viterbi_against_all_paths():
+    import itertools
+    import random
+
+    import numpy as np
+
+    from sparkloom.llm import toxicity as X
+
+    rnd, rng = random.Random(3), np.random.default_rng(3)
+    model = np.log(rng.dirichlet(np.ones(X.SYMBOLS), (X.SYMBOLS, X.SYMBOLS))).astype(np.float32)
+    for _ in range(60):
+        chunk = "".join(rnd.choice("ab15@!.-xx") * rnd.choice((1, 1, 2, 3)) for _ in range(rnd.randint(1, 5)))
+        best = (-np.inf, "")
+        for path in itertools.product(*X.lattice(chunk), [(" ", 0.0)]):
+            u = v = 0
+            score, out = 0.0, []
+            for meant, cost in path:
+                score -= cost
+                for c in meant:
+                    z = int(X.ALPHABET[ord(c)])
+                    if z == 0 and v == 0:
+                        continue  # boundaries are one
+                    score += float(model[u, v, z])
+                    u, v = v, z
+                    out.append(c if z else " ")
+            best = max(best, (score, "".join(out).strip()))
+        assert X.viterbi(chunk, model) == best[1], chunk
