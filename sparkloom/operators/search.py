@@ -8,24 +8,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scalar import euclid
+from sparkloom.operators.graph import cut
 
 
 def bm25(docs: DataFrame, doc_id: str, tokens: Column, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``doc_id, score`` of every document with a query term; a term asked twice counts twice.
 
-    Only the query's terms are exploded, so what shuffles is the matching postings.
+    Texts are read once; what shuffles is a row per document, without texts. Ids are unique.
     """
     wanted = Counter(query)
-    each = docs.select(F.col(doc_id), tokens.alias("ts"))
-    stats = each.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("ts")).alias("avg_len"))
-    hits = each.select(doc_id, F.size("ts").alias("len"), F.explode(F.filter("ts", lambda t: t.isin(list(wanted)))).alias("term"))
-    tf = hits.groupBy(doc_id, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    times = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])[F.col("term")]
-    joined = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row for each query term; one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = times * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return joined.groupBy(doc_id).agg(F.sum(score).alias("score"))
+    terms = sorted(wanted)
+    # one pass over the texts: a document's length and its counts of the wanted terms
+    words = docs.select(F.col(doc_id), F.explode_outer(tokens).alias("t"))
+    counts = [F.count(F.when(F.col("t") == w, 1)).alias(f"tf{i}") for i, w in enumerate(terms)]
+    each = cut(words.groupBy(doc_id).agg(F.count("t").alias("len"), *counts))
+    found = [F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))]
+    stats = each.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"), *found)
+    score = F.lit(0.0)
+    for i, w in enumerate(terms):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log(1 + (F.col("n_docs") - df + 0.5) / (df + 0.5))
+        score += wanted[w] * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    any_hit = F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0)) > 0 if terms else F.lit(False)
+    return each.filter(any_hit).crossJoin(F.broadcast(stats)).select(doc_id, score.alias("score"))  # one row
 
 
 def phrase(docs: DataFrame, doc_id: str, tokens: Column, words: list[str]) -> DataFrame:

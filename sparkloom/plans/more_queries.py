@@ -26,9 +26,9 @@ SELECT event_type, ts, event_id, i, value AS mean, 0::DOUBLE AS var, 0::DOUBLE A
 SELECT e.event_type, e.ts, e.event_id, e.i, r.mean + 0.2::DOUBLE * (e.value - r.mean),
 (1 - 0.2::DOUBLE) * (r.var + 0.2::DOUBLE * (e.value - r.mean) * (e.value - r.mean)), (e.value - r.mean) / sqrt(greatest(r.var, 1e-4::DOUBLE))
 FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1)
-SELECT event_type, ts, event_id, round(z, 4) AS z, i > 5 AND abs(z) >= 3 AS anomaly FROM r""")
+SELECT event_type, ts, event_id, round(z, 4) + 0 AS z, i > 5 AND abs(z) >= 3 AS anomaly FROM r""")
 def ewma_anomaly(spark, d):
-    return T.ewma_anomalies(_values(spark, d), "event_type", ["ts", "event_id"], "value").withColumn("z", rnd("z", 4))
+    return T.ewma_anomalies(_values(spark, d), "event_type", ["ts", "event_id"], "value").withColumn("z", rnd("z", 4) + 0.0)
 
 
 @query(f"""WITH RECURSIVE e AS ({_TYPE}), r AS (
