@@ -48,6 +48,9 @@ _ONE = rf"(?:[^\W_]|[{re.escape(_SIGNS)}])"
 SPACED = re.compile(rf"(?<![^\W_])(?<![{re.escape(_SIGNS)}])(?:{_ONE}[ .\-_*]{{1,2}}){{2,}}{_ONE}(?![^\W_])")
 
 
+RUNS, TWICE = re.compile(r"(.)\1*", re.DOTALL), re.compile(r"(.)\1", re.DOTALL)
+
+
 def _alphabet() -> np.ndarray:
     """Symbol of every code point below 65536: 0 for what is no letter, a-z as 1-26, other letters folded to the rest."""
     out = np.zeros(1 << 16, np.uint8)
@@ -117,8 +120,34 @@ def lattice(chunk: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _symbol(c: str) -> int:
+    return int(ALPHABET[ord(c)]) if ord(c) < 1 << 16 else 0
+
+
+def doubled(word: str, flat) -> str:
+    """The most probable restored form of a word of letters, in which only repeated letters leave a choice.
+
+    Whether a letter is kept twice changes the trigrams of that letter and its two
+    neighbours only, whatever is chosen elsewhere, so each run is decided on its own.
+    """
+    out, v = [], 0
+    runs = [(m[1], len(m[0])) for m in RUNS.finditer(word)]
+    for i, (c, n) in enumerate(runs):
+        z = _symbol(c)
+        if n > 1:
+            x = _symbol(runs[i + 1][0]) if i + 1 < len(runs) else 0
+            once = flat[v << 14 | z << 7 | x] - REPEATED
+            twice = flat[v << 14 | z << 7 | z] + flat[z << 14 | z << 7 | x] - REPEATED * (n > 2)
+            out.append(c if once >= twice else c + c)
+        else:
+            out.append(c)
+        v = z
+    return "".join(out)
+
+
 def viterbi(chunk: str, model: np.ndarray) -> str:
     """The most probable restored form of a chunk. Paths are kept as links to their beginnings, so long chunks stay linear."""
+    flat = memoryview(model.reshape(-1))
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*lattice(chunk), [(" ", 0.0)]]:
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -126,10 +155,10 @@ def viterbi(chunk: str, model: np.ndarray) -> str:
             for meant, cost in options:
                 u, v, s, t = x, y, score - cost, path
                 for c in meant:
-                    z = int(ALPHABET[ord(c)]) if ord(c) < 1 << 16 else 0
+                    z = _symbol(c)
                     if z == 0 and v == 0:
                         continue
-                    s += float(model[u, v, z])
+                    s += flat[u << 14 | v << 7 | z]
                     u, v, t = v, z, (t, c if z else " ")
                 if (u, v) not in new or new[u, v][0] < s:
                     new[u, v] = (s, t)
@@ -147,19 +176,33 @@ class Restored(dict):
 
     def __init__(self, model: np.ndarray, bound: int = REMEMBERED):
         super().__init__()
-        self.model, self.bound = model, bound
+        self.model, self.bound, self.flat = model, bound, memoryview(model.reshape(-1))
 
     def __missing__(self, chunk: str) -> str:
         low = chunk.lower()
         core = low.rstrip(".,;:!?")
-        noisy = bool(core) and (sum(c.isalpha() for c in core) >= 2 and not core.isalpha() or any(len(options) > 1 for options in lattice(core)))
-        out = viterbi(chunk, self.model) if noisy else low
+        if core.isalpha():
+            repeated = TWICE.search(core)
+            out = low if not repeated else viterbi(chunk, self.model) if "!" in low or 0 in map(_symbol, core) else doubled(core, self.flat)
+        else:
+            noisy = bool(core) and (sum(c.isalpha() for c in core) >= 2 or any(len(options) > 1 for options in lattice(core)))
+            out = viterbi(chunk, self.model) if noisy else low
         if len(self) >= self.bound:
             self.clear()
         self[chunk] = out
         return out
 
 
+_KNOWN: list[Restored] = []
+
+
+def known_chunks(model: np.ndarray) -> Restored:
+    """This process's memory of restored chunks under a model, kept from task to task."""
+    if not _KNOWN or _KNOWN[0].model is not model:
+        _KNOWN[:] = [Restored(model)]
+    return _KNOWN[0]
+
+
 def restore(text: str | None, known: Restored) -> str:
     """A whole text with every chunk restored; spaced-out letters are one chunk."""
     text = SPACED.sub(lambda m: viterbi(m[0], known.model), text or "")
@@ -204,7 +247,7 @@ def frequencies(docs: DataFrame, model) -> DataFrame:
     """``bucket, toxic, clean``: in how many labelled documents each part of a word occurs. Columns: text, toxic."""
 
     def run(batches):
-        known, seen = Restored(model.value), np.zeros((2, BUCKETS), np.int32)
+        known, seen = known_chunks(model.value), np.zeros((2, BUCKETS), np.int32)
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[int(y > 0), np.unique(grams([restore(t, known)])[0])] += 1
@@ -244,7 +287,7 @@ def sample_features(train: DataFrame, model, chosen) -> DataFrame:
     """``toxic, n_words, parts`` of every row."""
 
     def run(batches):
-        known, number = Restored(model.value), _numbers(chosen.value)
+        known, number = known_chunks(model.value), _numbers(chosen.value)
         for b in batches:
             parts, words = [], []
             for t in b.column(0).to_pylist():
@@ -279,7 +322,7 @@ def scores(docs: DataFrame, model, chosen, w) -> DataFrame:
     """``doc_id, score`` of every document."""
 
     def run(batches):
-        known, number, coef = Restored(model.value), _numbers(chosen.value), w.value
+        known, number, coef = known_chunks(model.value), _numbers(chosen.value), w.value
         for b in batches:
             texts = b.column(1).to_pylist()
             z = np.empty(len(texts))

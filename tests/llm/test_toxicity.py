@@ -102,3 +102,17 @@ def test_viterbi_against_all_paths():
                     out.append(c if z else " ")
             best = max(best, (score, "".join(out).strip()))
         assert X.viterbi(chunk, model) == best[1], chunk
+
+
+def test_doubled_letters_by_rule_and_by_viterbi():
+    import random
+
+    import numpy as np
+
+    from sparkloom.llm import toxicity as X
+
+    rnd, rng = random.Random(4), np.random.default_rng(4)
+    model = np.log(rng.dirichlet(np.ones(X.SYMBOLS), (X.SYMBOLS, X.SYMBOLS))).astype(np.float32)
+    for _ in range(400):
+        word = "".join(rnd.choice("abcdé") * rnd.choice((1, 1, 2, 3)) for _ in range(rnd.randint(1, 7)))
+        assert X.doubled(word, memoryview(model.reshape(-1))) == X.viterbi(word + rnd.choice(("", ".", ",")), model), word
