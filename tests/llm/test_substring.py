@@ -66,3 +66,59 @@ def test_lines_and_paragraphs(spark):
         assert {(s.doc_id, text[s.doc_id][s.start : s.end]) for s in spans.collect()} == want
         clean = B.remove_spans(df, spans)
         assert clean.columns == [*df.columns, "removed_2"] and clean.count() == 5
+
+
+def brute(rows, width):
+    """Character positions to remove, by the definition: windows of ``width`` words that an earlier id, or the own text a window before, has."""
+    ranked = sorted({(i is None, i, t) for i, t in rows if t}, key=lambda x: (x[0], x[1] or 0))
+    first, out = {}, {}
+    spans = {}
+    for none, i, t in ranked:
+        at, pos = [], 0
+        for w in t.split():
+            pos = t.index(w, pos)
+            at.append((pos, pos + len(w)))
+            pos += len(w)
+        low = t.lower().split()
+        spans[none, i, t] = [(tuple(low[k : k + width]), k, at[k][0], at[k + width - 1][1]) for k in range(len(low) - width + 1)]
+        for w, *_ in spans[none, i, t]:
+            if not none:
+                first.setdefault(w, i)
+    for key, found in spans.items():
+        none, i, t = key
+        seen, gone = {}, set()
+        for w, k, a, b in found:
+            again = k - seen.setdefault(w, k) >= width
+            if again or (w in first and (none or first[w] != i)):
+                gone |= set(range(a, b))
+        out[i, t] = gone
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    rnd = random.Random(12)
+    passages = [words(rnd, n) for n in (51, 52, 60, 75, 120, 51, 53)]
+    rows = []
+    for i in range(70):
+        parts = [words(rnd, rnd.randint(3, 60)) for _ in range(3)]
+        for p in rnd.sample(passages, rnd.randint(0, 2)):
+            parts.insert(rnd.randint(0, 3), p if rnd.random() < 0.7 else p.upper())
+        if rnd.random() < 0.3:
+            parts.insert(1, " ".join(passages[3].split()[: rnd.choice((45, 50, 51, 55))]))  # too short, or just enough
+        rows.append((i if i % 11 else None, rnd.choice((" ", "\n", "  ")).join(parts)))
+    rows += [rows[3], rows[3], (90, "Er " * 300), (91, "er " * 200 + "tail"), (92, rows[5][1] + " more"), (3, passages[0]), (93, "İstanbul " + passages[2])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, start int")
+    want = brute(rows, 51)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault((i, int(B._text_hashes([t])[0])), t)
+    got = {(i, t): set() for i, t in want}
+    spans = B.repeated_spans(df).collect()
+    assert len(spans) == len({(s.doc_id, s.text_hash, s.start) for s in spans})
+    for s in spans:
+        t = texts[s.doc_id, s.text_hash]
+        assert s.n_words == len(t[s.start : s.end].split()) >= 51
+        got[s.doc_id, t] |= set(range(s.start, s.end))
+    blank = lambda k, gone: {c for c in gone if not k[1][c].isspace()}
+    assert sum(map(len, want.values())) > 5000
+    assert {k: blank(k, v) for k, v in got.items()} == {k: blank(k, v) for k, v in want.items()}
