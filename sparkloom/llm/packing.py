@@ -88,18 +88,19 @@ class Ids(dict):
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        mark = chunk[-1:] if chunk[-1:] in (",", ".") else ""
-        core = chunk[:-1] if mark else chunk
-        word = core.lower()
-        plain = core.isascii() or ("\u03a3" not in core and word.isalpha() and unicodedata.is_normalized("NFC", core))
-        if plain and core.isalpha():
+        mark = chunk[-1:]
+        core = chunk[:-1] if mark == "," or mark == "." else chunk
+        tail = self.marks.get(mark, b"") if core is not chunk else b""
+        if core.isalpha() and (core.isascii() or ("\u03a3" not in core and core.lower().isalpha() and unicodedata.is_normalized("NFC", core))):
+            word = core.lower()
             ids = self.words.get(word)
             if ids is None:
                 ids = self.bytes([t.id for t in self.merge(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))])
                 if len(self.words) >= self.bound:
                     self.words.clear()
                 self.words[word] = ids
-            ids += self.marks[mark]
+            if tail:
+                ids += tail
         else:
             ids = self.bytes(self.encoder.encode(chunk, add_special_tokens=False).ids)
         if len(self) >= self.bound:
