@@ -88,15 +88,16 @@ def audit_chain(df: DataFrame, chain: str, seq: str, fields: Sequence[str]) -> D
     text = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        before, previous, hashes = "", [], []
+    def step(state: list, g: pd.DataFrame) -> pd.DataFrame:
+        before, previous, hashes = state[0] if state else "", [], []
         for t in g["__t"]:
             previous.append(before)
             before = hashlib.sha256(f"{before}|{t}".encode()).hexdigest()
             hashes.append(before)
+        state[:] = [before]
         return g[cols].assign(previous=previous, hash=hashes)
 
-    return fold(df.select(*cols, text.alias("__t")), chain, [seq], step, f"{kinds}, previous string, hash string")
+    return fold(df.select(*cols, text.alias("__t")), chain, [seq], list, step, f"{kinds}, previous string, hash string")
 
 
 def range_assignment(members: DataFrame, topics: DataFrame) -> DataFrame:
@@ -124,12 +125,13 @@ def sticky_assignment(members: DataFrame, topics: DataFrame, held: DataFrame) ->
     every = topics.select("topic", F.explode(F.sequence(F.lit(0).cast("long"), F.col("partitions").cast("long") - 1)).alias("partition")).filter("partition >= 0")
     every = every.join(kept.select("topic", F.col("partition").cast("long").alias("partition"), "member"), ["topic", "partition"], "left")
     subscribers = members.groupBy("topic").agg(F.array_sort(F.collect_set("member")).alias("subscribers"))
-    rows = every.join(subscribers, "topic", "left").withColumn("__one", F.lit(1))
+    loads = kept.groupBy("member").agg(F.count(F.lit(1)).alias("n"))
+    loads = loads.agg(F.map_from_entries(F.collect_list(F.struct("member", "n"))).alias("loads"))  # of a group's members
+    rows = every.join(subscribers, "topic", "left").crossJoin(F.broadcast(loads)).withColumn("__one", F.lit(1))
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        load: dict = {}
-        for who in g["member"].dropna():
-            load[who] = load.get(who, 0) + 1
+    def step(load: dict, g: pd.DataFrame) -> pd.DataFrame:
+        if not load:
+            load.update(dict(g["loads"].iloc[0] or {}))
         out = []
         for who, able in zip(g["member"], g["subscribers"]):
             if pd.isna(who):
@@ -139,7 +141,7 @@ def sticky_assignment(members: DataFrame, topics: DataFrame, held: DataFrame) ->
             out.append(who)
         return g[["topic", "partition"]].assign(member=out)
 
-    return fold(rows, "__one", ["topic", "partition"], step, "topic string, partition bigint, member string").filter("member IS NOT NULL")
+    return fold(rows, "__one", ["topic", "partition"], dict, step, "topic string, partition bigint, member string").filter("member IS NOT NULL")
 
 
 def _cells(column: str, width: int, depth: int) -> Column:

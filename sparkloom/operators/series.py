@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -89,40 +90,72 @@ def log_histogram_percentile(df: DataFrame, value: str, p: float, top: float = 3
     return per.filter(F.col("c") >= F.ceil(F.col("t") * p)).agg(F.pow(F.lit(10.0), F.min("b") / scale).alias("value"))
 
 
-def fold(df: DataFrame, key: str, order: Sequence[str], step: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A recurrence over each key's rows in order, one group at a time in Arrow batches."""
-    return df.groupBy(key).applyInPandas(lambda g: step(g.sort_values(list(order))), schema)
+def fold(df: DataFrame, key: str, order: Sequence[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], pd.DataFrame | None], schema: str, finish: Callable[[object], pd.DataFrame] | None = None) -> DataFrame:
+    """A recurrence over each key's rows in order.
+
+    Rows are dealt by key, sorted (on disk where need be), and streamed in batches:
+    ``step(state, rows)`` sees some of a key's rows at a time and keeps what it needs in
+    the key's ``state``, so no key is ever held in memory. ``finish(state)`` follows a
+    key's last rows.
+    """
+
+    def run(batches):
+        state, at = None, None
+        for g in batches:
+            if not len(g):
+                continue
+            k = g[key]
+            same = (k == k.shift()) | (k.isna() & k.shift().isna())
+            same.iloc[0] = False
+            cuts = [*np.flatnonzero(~same.to_numpy()).tolist(), len(g)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                part = g.iloc[lo:hi]
+                now = part[key].iloc[0]
+                if state is None or not (now == at or (pd.isna(now) and pd.isna(at))):
+                    if state is not None and finish is not None:
+                        yield finish(state)
+                    state, at = start(), now
+                out = step(state, part)
+                if out is not None:
+                    yield out
+        if state is not None and finish is not None:
+            yield finish(state)
+
+    dealt = df.repartition(F.col(f"`{key}`")).sortWithinPartitions(key, *[o for o in order if o != key])
+    return dealt.mapInPandas(run, schema)
 
 
 def ema(df: DataFrame, key: str, order: Sequence[str], value: str, alpha: float = 0.2) -> DataFrame:
     """Exponential moving average; the first value starts it."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *order))
 
-    def step(g):
-        out = g[[key, *order]].copy()
-        out["ema"] = g[value].ewm(alpha=alpha, adjust=False).mean()
-        return out
+    def step(state, g):
+        values = pd.Series(np.concatenate((state, g[value].to_numpy(float))))
+        means = values.ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(state) :]
+        state[:] = [means[-1]]
+        return g[[key, *order]].assign(ema=means)
 
-    return fold(df.select(key, *order, value), key, order, step, f"{kinds}, ema double")
+    return fold(df.select(key, *order, value), key, order, list, step, f"{kinds}, ema double")
 
 
 def ewma_anomalies(df: DataFrame, key: str, order: Sequence[str], value: str, alpha: float = 0.2, z_limit: float = 3.0, warm: int = 5) -> DataFrame:
     """z of each value against the running mean and variance before it."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *order))
 
-    def step(g):
-        z, flag, mean, var = [], [], 0.0, 0.0
-        for n, x in enumerate(g[value].to_numpy(float), 1):
+    def step(state, g):
+        z, flag = [], []
+        n, mean, var = state or (0, 0.0, 0.0)
+        for x in g[value].to_numpy(float):
+            n += 1
             s = (x - mean) / math.sqrt(max(var, 1e-4)) if n > 1 else 0.0
             z.append(s)
             flag.append(n > warm and abs(s) >= z_limit)
             d = x - mean
             mean, var = (x, 0.0) if n == 1 else (mean + alpha * d, (1 - alpha) * (var + alpha * d * d))
-        out = g[[key, *order]].copy()
-        out["z"], out["anomaly"] = z, flag
-        return out
+        state[:] = [n, mean, var]
+        return g[[key, *order]].assign(z=z, anomaly=flag)
 
-    return fold(df.select(key, *order, value), key, order, step, f"{kinds}, z double, anomaly boolean")
+    return fold(df.select(key, *order, value), key, order, list, step, f"{kinds}, z double, anomaly boolean")
 
 
 def baseline_anomalies(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
@@ -133,106 +166,102 @@ def baseline_anomalies(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
 
 
 def holt(df: DataFrame, key: str, order: Sequence[str], value: str, alpha: float = 0.5, beta: float = 0.3, ahead: int = 1) -> DataFrame:
-    """Level, trend and forecast (with a 95 % band from the values' deviation) after each key's last row."""
+    """Level, trend and forecast (with a 95 % band from the last 500 values' deviation) after each key's last row."""
     kind = df.schema[key].dataType.simpleString()
 
-    def step(g):
+    def step(state, g):
         x = g[value].to_numpy(float)
-        level, trend = x[0], 0.0
-        for v in x[1:]:
+        if not state:
+            state.update(key=g[key].iloc[0], level=x[0], trend=0.0, last=x[:1])
+            todo = x[1:]
+        else:
+            todo = x
+        level, trend = state["level"], state["trend"]
+        for v in todo:
             before = level
             level = alpha * v + (1 - alpha) * (level + trend)
             trend = beta * (level - before) + (1 - beta) * trend
-        f, band = level + ahead * trend, 1.96 * np.std(x[-500:])
-        return pd.DataFrame({key: [g[key].iloc[0]], "level": [level], "trend": [trend], "forecast": [f], "low": [f - band], "high": [f + band]})
+        state.update(level=level, trend=trend, last=np.concatenate((state["last"], todo))[-500:])
+
+    def finish(state):
+        f, band = state["level"] + ahead * state["trend"], 1.96 * np.std(state["last"])
+        return pd.DataFrame({key: [state["key"]], "level": [state["level"]], "trend": [state["trend"]], "forecast": [f], "low": [f - band], "high": [f + band]})
 
-    return fold(df.select(key, *order, value), key, order, step, f"`{key}` {kind}, level double, trend double, forecast double, low double, high double")
+    return fold(df.select(key, *order, value), key, order, dict, step, f"`{key}` {kind}, level double, trend double, forecast double, low double, high double", finish)
 
 
-def _stateful(df: DataFrame, key: str, ts: str, order: Sequence[str], allow: Callable[[np.ndarray], list[bool]], name: str) -> DataFrame:
+def _stateful(df: DataFrame, key: str, ts: str, order: Sequence[str], start: Callable[[], object], allow: Callable[[object, float], bool], name: str) -> DataFrame:
+    """``name``: what ``allow(state, seconds)`` says of each row in turn."""
     cols = list(dict.fromkeys((key, ts, *order)))
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
 
-    def step(g):
-        out = g[cols].copy()
-        out[name] = allow((g["__s"]).to_numpy(float))
-        return out
+    def step(state, g):
+        return g[cols].assign(**{name: [allow(state, t) for t in g["__s"].to_numpy(float)]})
 
     seconds = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("__s")
-    return fold(df.select(*cols, seconds), key, [ts, *[o for o in order if o != ts]], step, f"{kinds}, `{name}` boolean")
+    return fold(df.select(*cols, seconds), key, [ts, *[o for o in order if o != ts]], start, step, f"{kinds}, `{name}` boolean")
 
 
 def sliding_log_limit(df: DataFrame, key: str, ts: str, order: Sequence[str], most: int, window_s: float) -> DataFrame:
     """``allowed`` if fewer than ``most`` accepted rows lie in the window before; rejected rows don't count."""
 
-    def allow(times):
-        kept, out, at = [], [], 0
-        for t in times:
-            while at < len(kept) and kept[at] <= t - window_s:
-                at += 1
-            out.append(len(kept) - at < most)
-            if out[-1]:
-                kept.append(t)
-        return out
+    def allow(kept, t):
+        while kept and kept[0] <= t - window_s:
+            kept.popleft()
+        if len(kept) < most:
+            kept.append(t)
+            return True
+        return False
 
-    return _stateful(df, key, ts, order, allow, "allowed")
+    return _stateful(df, key, ts, order, deque, allow, "allowed")
 
 
 def token_bucket(df: DataFrame, key: str, ts: str, order: Sequence[str], capacity: float, per_second: float) -> DataFrame:
     """``allowed`` while the bucket, refilled at a constant rate, holds a token."""
 
-    def allow(times):
-        left, last, out = capacity, None, []
-        for t in times:
-            left = min(capacity, left + (0 if last is None else (t - last) * per_second))
-            last = t
-            out.append(left >= 1)
-            left -= out[-1]
-        return out
+    def allow(state, t):
+        left = min(capacity, state.get("left", capacity) + (t - state.get("last", t)) * per_second)
+        ok = left >= 1
+        state.update(left=left - ok, last=t)
+        return ok
 
-    return _stateful(df, key, ts, order, allow, "allowed")
+    return _stateful(df, key, ts, order, dict, allow, "allowed")
 
 
 def gcra(df: DataFrame, key: str, ts: str, order: Sequence[str], interval_s: float, burst_s: float) -> DataFrame:
     """``allowed`` by the generic cell rate algorithm: while the theoretical arrival time is at most ``burst_s`` ahead."""
 
-    def allow(times):
-        tat, out = -math.inf, []
-        for t in times:
-            tat = max(tat, t)
-            out.append(tat <= t + burst_s)
-            tat += interval_s * out[-1]
-        return out
+    def allow(state, t):
+        tat = max(state.get("tat", -math.inf), t)
+        ok = tat <= t + burst_s
+        state["tat"] = tat + interval_s * ok
+        return ok
 
-    return _stateful(df, key, ts, order, allow, "allowed")
+    return _stateful(df, key, ts, order, dict, allow, "allowed")
 
 
 def leaky_bucket(df: DataFrame, key: str, ts: str, order: Sequence[str], capacity: float, per_second: float) -> DataFrame:
     """``allowed`` while the bucket, which leaks at a constant rate, has room for one more."""
 
-    def allow(times):
-        level, last, out = 0.0, None, []
-        for t in times:
-            level = max(0.0, level - (0 if last is None else (t - last) * per_second))
-            last = t
-            out.append(level + 1 <= capacity)
-            level += out[-1]
-        return out
+    def allow(state, t):
+        level = max(0.0, state.get("level", 0.0) - (t - state.get("last", t)) * per_second)
+        ok = level + 1 <= capacity
+        state.update(level=level + ok, last=t)
+        return ok
 
-    return _stateful(df, key, ts, order, allow, "allowed")
+    return _stateful(df, key, ts, order, dict, allow, "allowed")
 
 
 def dedup_window(df: DataFrame, key: str, ts: str, order: Sequence[str], window_s: float) -> DataFrame:
     """``fresh`` if the last accepted row of the key is at least the window away."""
 
-    def allow(times):
-        last, out = -math.inf, []
-        for t in times:
-            out.append(t - last >= window_s)
-            last = t if out[-1] else last
-        return out
+    def allow(state, t):
+        ok = t - state.get("last", -math.inf) >= window_s
+        if ok:
+            state["last"] = t
+        return ok
 
-    return _stateful(df, key, ts, order, allow, "fresh")
+    return _stateful(df, key, ts, order, dict, allow, "fresh")
 
 
 def sessions(df: DataFrame, key: str, ts: str, gap_s: float) -> DataFrame:

@@ -215,3 +215,41 @@ def test_sources(spark, tmp_path):
     t = spark.createDataFrame([("1", "PENDING", "email", 1, 5), ("2", "RUNNING", "webhook", 2, 6), ("3", "PENDING", "email", 3, 7)], "id string, status string, type string, priority int, created_at int")
     assert [r.id for r in IO.query_tasks(t, ["PENDING"], ["email"], (1, 3)).collect()] == ["3", "1"]
     assert dict(vals(IO.count_by(t, "status", ["PENDING", "DONE"]))) == {"PENDING": 2, "DONE": 0}
+
+
+def test_wide_and_narrow_ranges_meet_points_once(spark):
+    import random
+
+    rnd = random.Random(2)
+    ranges = [(k, a := rnd.uniform(-50, 50), a + rnd.choice((0, 0.5, 3, 40, 1e6))) for k in range(60)] + [(99, 5.0, 4.0), (98, None, 3.0)]
+    points = [(k, rnd.uniform(-60, 120)) for k in range(80)] + [(500, None)]
+    p, r = spark.createDataFrame(points, "id long, x double"), spark.createDataFrame(ranges, "k long, lo double, hi double")
+    got = sorted((row.id, row.k) for row in R.range_join(p, r, "x", "lo", "hi", 2.0).collect())
+    assert got == sorted((i, k) for i, x in points if x is not None for k, a, b in ranges if a is not None and a <= x <= b)
+
+
+def test_theta_join_kinds(spark):
+    a, b = spark.createDataFrame([(1,), (5,), (None,)], "x int"), spark.createDataFrame([(3, "p"), (9, "q")], "y int, x string")
+    rows = lambda how: sorted(map(str, (tuple(r) for r in R.theta_join(a, b, "l.x < r.y", how).collect())))
+    assert rows("INNER") == ["(1, 3, 'p')", "(1, 9, 'q')", "(5, 9, 'q')"]
+    assert rows("LEFT_OUTER") == ["(1, 3, 'p')", "(1, 9, 'q')", "(5, 9, 'q')", "(None, None, None)"]
+    assert rows("LEFT_SEMI") == ["(1,)", "(5,)"] and rows("LEFT_ANTI") == ["(None,)"]
+
+
+def test_attribute_conditions_on_nulls(spark):
+    d = spark.createDataFrame([(1, "a", "r:1", None, None), (2, "b:read", "r:2", "x", "12"), (3, "c", "q", "x", "abc")], "request int, action string, resource string, who string, n string")
+    allow = lambda *c: [{"id": "p", "effect": "ALLOW", "conditions": list(c)}]
+    hit = lambda policies: [r.decision == "ALLOW" for r in G.decide_by_attributes(d, policies).orderBy("request").collect()]
+    assert hit(allow(("who", "EQUALS", "x"))) == [False, True, True] and hit(allow(("who", "NOT_EQUALS", "x"))) == [True, False, False]
+    assert hit(allow(("n", "GREATER_THAN", 5))) == [False, True, False] and hit(allow(("n", "LESS_THAN", 5))) == [False, False, False]
+    assert hit([{"id": "p", "effect": "ALLOW", "actions": ["b:*"], "resources": ["r:*"]}]) == [False, True, False]
+    assert hit([*allow(), {"id": "no", "effect": "DENY", "resources": ["q"]}]) == [True, True, False] and hit([]) == [False] * 3
+
+
+def test_nested_redaction_and_permitted_times(spark):
+    d = spark.createDataFrame([(("u", "t0", ("k", ["secret"])),), (None,)], "s struct<name:string,Token:string,in:struct<APIKEY:string,list:array<string>>>")
+    got = d.select(S.redact_struct(F.col("s"), d.schema["s"].dataType, ["token", "apiKey"]).alias("s")).collect()
+    assert got[0].s.asDict(True) == {"name": "u", "Token": "***REDACTED***", "in": {"APIKEY": "***REDACTED***", "list": ["secret"]}} and got[1].s is None
+    t = spark.createDataFrame([("2024-01-05 09:00:00",), ("2024-01-05 17:00:00",), ("2024-01-06 10:00:00",), ("2024-01-08 10:00:00",), ("2024-01-09 10:00:00",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
+    ok = S.may_run(F.col("t"), ["2024-01-09"], blackouts=[("2024-01-08 09:30:00", "2024-01-08 10:00:00")])
+    assert [r[0] for r in t.select(ok).collect()] == [True, False, False, False, False]

@@ -102,3 +102,21 @@ def test_count_min(spark):
     got = K.count_min(df, "k", list(range(7)))
     assert all(5000 // 7 <= n <= 5000 // 7 + 6 for n in got.values())
     assert all(1666 <= n <= 1672 for n in K.count_min(df, "s", ["u0", "u1", "u2"]).values())
+
+
+def test_assignments(spark):
+    members = spark.createDataFrame([("b", "t"), ("a", "t"), ("c", "t"), ("a", "u")], "member string, topic string")
+    topics = spark.createDataFrame([("t", 8), ("u", 2), ("v", 3)], "topic string, partitions long")
+    got = sorted(tuple(r) for r in K.range_assignment(members, topics).collect())
+    assert got == [("t", 0, "a"), ("t", 1, "a"), ("t", 2, "a"), ("t", 3, "b"), ("t", 4, "b"), ("t", 5, "b"), ("t", 6, "c"), ("t", 7, "c"), ("u", 0, "a"), ("u", 1, "a")]
+    held = spark.createDataFrame([("t", 0, "b"), ("t", 5, "b"), ("t", 9, "c"), ("t", 1, "gone"), ("u", 0, "b")], "topic string, partition long, member string")
+    got = sorted(tuple(r) for r in K.sticky_assignment(members, topics, held).collect())
+    assert got == [("t", 0, "b"), ("t", 1, "a"), ("t", 2, "c"), ("t", 3, "a"), ("t", 4, "c"), ("t", 5, "b"), ("t", 6, "a"), ("t", 7, "b"), ("u", 0, "a"), ("u", 1, "a")]
+
+
+def test_bloom(spark):
+    even = spark.range(0, 4000, 2).withColumnRenamed("id", "k")
+    f = K.Bloom(2000, 0.01).add(even.limit(1000), "k").add(even, "k")
+    hit = {r.k: r.maybe for r in f.may_hold(spark.range(4000).withColumnRenamed("id", "k"), "k").collect()}
+    assert all(hit[k] for k in range(0, 4000, 2)) and sum(hit[k] for k in range(1, 4000, 2)) < 60
+    assert not K.Bloom().may_hold(even, "k").filter("maybe").count()
