@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.lang.parser import Between, Binary, Call, InList, IsNull, Literal, Name, Node, ParseError, Select, Star, Unary, parse, walk
+from sparkloom.lang.parser import Between, Binary, Call, InList, IsNull, Literal, Name, Node, ParseError, Select, Star, Unary, parse, parse_expression, walk
 
 AGGREGATES = {
     "COUNT": lambda x: F.count(x),
@@ -97,6 +97,14 @@ def column(node: Node, names: Mapping[str, Column] | None = None) -> Column:
             raise ParseError("* stands alone or in COUNT(*)")
 
 
+def expression(text: str) -> Column:
+    """A predicate or value in the query language as a Column: operators and known functions only, nothing is evaluated."""
+    node = parse_expression(text)
+    if is_aggregate(node) or any(isinstance(n, Star) for n in walk(node)):
+        raise ParseError("an expression has no aggregates")
+    return column(node)
+
+
 def label(node: Node) -> str:
     """The default name of a select item."""
     if isinstance(node, Name):

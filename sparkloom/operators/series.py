@@ -252,6 +252,23 @@ def leaky_bucket(df: DataFrame, key: str, ts: str, order: Sequence[str], capacit
     return _stateful(df, key, ts, order, dict, allow, "allowed")
 
 
+def first_committer_wins(df: DataFrame, key: str, start: str, commit: str, order: Sequence[str]) -> DataFrame:
+    """``committed`` of each transaction on a key: false if one that committed after its start came first."""
+    cols = list(dict.fromkeys((key, start, commit, *order)))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in cols)
+
+    def step(state, g):
+        out = []
+        for began, ended in zip(g["__a"].tolist(), g["__z"].tolist()):
+            out.append(not state or state[0] <= began)
+            if out[-1]:
+                state[:] = [ended]
+        return g[cols].assign(committed=out)
+
+    us = lambda c, n: F.unix_micros(F.col(c).cast("timestamp")).alias(n)
+    return fold(df.select(*cols, us(start, "__a"), us(commit, "__z")), key, [commit, *[o for o in order if o != commit]], list, step, f"{kinds}, committed boolean")
+
+
 def dedup_window(df: DataFrame, key: str, ts: str, order: Sequence[str], window_s: float) -> DataFrame:
     """``fresh`` if the last accepted row of the key is at least the window away."""
 

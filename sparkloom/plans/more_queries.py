@@ -11,7 +11,8 @@ from sparkloom.operators import relational as R
 from sparkloom.operators import scheduling as K
 from sparkloom.operators import series as T
 from sparkloom.plans.queries import query, rnd
-from sparkloom.sources.tables import table
+from sparkloom.lang import expression
+from sparkloom.sources.tables import replay, resume, seal_statistics, snapshot, table
 
 _USER = "SELECT user_id, event_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events"
 _TYPE = "SELECT event_id, event_type, ts, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE value IS NOT NULL"
@@ -204,3 +205,60 @@ def parallel_batches(spark, d):
     p = table(spark, d, "part").filter("p_partkey BETWEEN 1 AND 1023")
     edges = p.filter("p_partkey > 1").select(F.expr("p_partkey div 2").alias("src"), F.col("p_partkey").alias("dst"))
     return H.tiers(edges).select("node", F.col("tier").alias("batch"))
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') AS segment, count(value) AS n, min(value) AS low, max(value) AS high, sum(value::DECIMAL(18, 6))::DOUBLE AS total, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1, 2")
+def series_segments(spark, d):
+    e = table(spark, d, "events").select("event_type", "ts", F.col("value").cast("decimal(18,6)").alias("value"))
+    out = seal_statistics(e, "event_type", "ts", "value")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("low", "high", "total")})
+
+
+@query("SELECT event_id, ts, value FROM events WHERE event_type = (SELECT max(event_type) FROM events) AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-05 12:00:00'")
+def metric_range(spark, d):
+    e = table(spark, d, "events")
+    kind = e.agg(F.max("event_type")).first()[0]
+    own = e.filter(F.col("event_type") == kind).select("event_id", "ts", "value")
+    return T.in_range(own, "ts", F.expr("timestamp_ntz '2024-01-03'"), F.expr("timestamp_ntz '2024-01-05 12:00:00'"))
+
+
+_STATE = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+@query(f"SELECT user_id, event_id, value FROM ({_STATE}) WHERE event_type <> (SELECT min(event_type) FROM events)")
+def log_replay(spark, d):
+    e = table(spark, d, "events")
+    least = e.agg(F.min("event_type")).first()[0]
+    log = e.select("user_id", "event_id", "value", F.when(F.col("event_type") == least, "DELETE").otherwise("UPDATE").alias("op"))
+    return replay(log, "user_id", "event_id").drop("op")
+
+
+@query(f"SELECT user_id, event_id, value FROM ({_STATE}) WHERE event_type <> (SELECT min(event_type) FROM events)")
+def snapshot_replay(spark, d):
+    e = table(spark, d, "events")
+    least = e.agg(F.min("event_type")).first()[0]
+    log = e.select("user_id", "event_id", "value", F.when(F.col("event_type") == least, "DELETE").otherwise("UPDATE").alias("op"))
+    return resume(snapshot(log, "user_id", "event_id", 600), log, "user_id", "event_id", 600).drop("op")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, ts, i, ts AS last, TRUE AS committed FROM e WHERE i = 1 UNION ALL
+SELECT e.user_id, e.event_id, e.ts, e.i, CASE WHEN r.last <= e.ts - to_hours((e.event_id % 9)::INT) THEN e.ts ELSE r.last END, r.last <= e.ts - to_hours((e.event_id % 9)::INT)
+FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, event_id, committed FROM r""")
+def commit_conflicts(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "ts", F.expr("ts - make_dt_interval(0, CAST(event_id % 9 AS INT))").alias("began"))
+    return T.first_committer_wins(e, "user_id", "began", "ts", ["event_id"]).select("user_id", "event_id", "committed")
+
+
+@query("SELECT p_partkey, (p_size % 7 = 3 OR lower(p_name) LIKE '%a%') AND NOT p_brand IN ('Brand#11', 'Brand#12') AS ok, abs(p_retailprice - 1500) / 2 AS x FROM part")
+def safe_expressions(spark, d):
+    return table(spark, d, "part").select("p_partkey", expression("(p_size % 7 = 3 OR LOWER(p_name) LIKE '%a%') AND NOT p_brand IN ('Brand#11', 'Brand#12')").alias("ok"), expression("ABS(p_retailprice - 1500) / 2").alias("x"))
+
+
+# RFC 2104 with the key "k1": SHA-256 over both padded keys, worked out by hand in SQL
+_PAD = lambda x: "".join(f"\\x{(b ^ x):02X}" for b in b"k1".ljust(64, b"\0"))
+
+
+@query(f"SELECT c_custkey, 'anon_' || left(sha256('{_PAD(0x5C)}'::BLOB || unhex(sha256('{_PAD(0x36)}'::BLOB || encode(c_name)))), 16) AS who FROM customer")
+def pseudonyms(spark, d):
+    return table(spark, d, "customer").select("c_custkey", S.pseudonym(F.col("c_name"), "k1").alias("who"))

@@ -61,6 +61,22 @@ def replay(log: DataFrame, key: str, seq: str, op: str = "op") -> DataFrame:
     return latest(log, [key], [seq], F.col(op) == "DELETE")
 
 
+def snapshot(log: DataFrame, key: str, seq: str, upto, op: str = "op") -> DataFrame:
+    """What a log's entries up to a sequence number come to, deleted keys too (they may be older than what follows)."""
+    return latest(log.filter(F.col(seq) <= upto), [key], [seq])
+
+
+def resume(snapshot_rows: DataFrame, log: DataFrame, key: str, seq: str, after, op: str = "op") -> DataFrame:
+    """The state from a snapshot and the entries after it: only those are read (the filter reaches the scan)."""
+    return replay(snapshot_rows.unionByName(log.filter(F.col(seq) > after)), key, seq, op)
+
+
+def seal_statistics(df: DataFrame, metric: str, ts: str, value: str, width: str = "2 hours") -> DataFrame:
+    """``n, low, high, total, first, last`` of each metric's sealed segments (epoch-aligned)."""
+    g = df.groupBy(metric, F.window(ts, width)["start"].alias("segment"))
+    return g.agg(F.count(value).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.sum(value).alias("total"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
 def query_tasks(df: DataFrame, status: Sequence[str] = (), kind: Sequence[str] = (), priority: tuple | None = None, scheduled_before=None, scheduled_after=None, created_after=None, created_before=None, sort: str = "created_at", descending: bool = True, limit: int = 50, offset: int = 0, tie: str = "id") -> DataFrame:
     """The structured task query: every filter that is given, an order with a tiebreak, one page."""
     if status:

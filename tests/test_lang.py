@@ -56,3 +56,13 @@ def test_unknown(spark):
         run(spark, "SELECT v FROM u", ROWS)
     with pytest.raises(ParseError):
         run(spark, "SELECT * FROM t GROUP BY k", ROWS)
+
+
+def test_expressions_alone(spark):
+    from sparkloom.lang import ParseError, expression
+
+    d = spark.createDataFrame([(1, "Ab"), (None, "x")], "a int, b string")
+    assert [r[0] for r in d.select(expression("a != 1 OR UPPER(b) = 'AB'")).collect()] == [True, True]
+    for bad in ("a + ", "SUM(a)", "a = 1; b", "system('x')", "*"):
+        with pytest.raises(ParseError):
+            expression(bad)
