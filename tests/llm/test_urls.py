@@ -61,3 +61,24 @@ def test_hosts_with_digits(spark):
     df = spark.createDataFrame([(1, "http://casino088.example.com/other"), (2, "http://www.example.com/other")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in U.judge(df, spark.createDataFrame(lab, "url string, bad boolean")).collect()}
     assert got == {1: "block", 2: "allow"}
+
+
+def test_all_rules_are_mined(spark):
+    import itertools
+    import random
+
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(150):
+        tokens = sorted(rnd.sample("abcdefg", rnd.randint(1, 5)))
+        bad = {"a", "b"} <= set(tokens) or {"c", "d", "e"} <= set(tokens) or rnd.random() < 0.15
+        rows.append((tokens, bad))
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    mined = {tuple(r.antecedent): round(r.confidence, 9) for r in U.mine(df, min_support=0.03, min_count=5, min_confidence=0.8).collect()}
+    want = {}
+    for k in range(1, 8):
+        for s in itertools.combinations("abcdefg", k):
+            hit = [bad for t, bad in rows if set(s) <= set(t)]
+            if sum(hit) >= 5 and len(hit) and sum(hit) / len(hit) >= 0.8 and not any(set(w) < set(s) for w in want):
+                want[s] = round(sum(hit) / len(hit), 9)
+    assert mined == want and len(want) > 1
