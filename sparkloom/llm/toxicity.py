@@ -27,7 +27,9 @@ every score is about 0; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ SYMBOLS = 128
 BUCKETS = 1 << 22
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "£": "l"}
 SEPARATORS = set(" .-_*~'’·/\\,")
+#: Signs that stand for no letter: around a word they are boundaries on every path.
+AROUND = "".join(c for c in string.punctuation + "…’·“”„«»" if c not in LEET)
 #: Costs in nats of a replaced letter, of a dropped repetition, of a dropped separator.
 REPLACED, REPEATED, DROPPED = 1.0, 0.5, 0.2
 _SIGNS = "".join(c for c in LEET if not c.isalnum())
@@ -101,23 +105,24 @@ def char_model(counts: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+def _run_options(c: str, n: int) -> list[tuple[str, float]]:
+    """Options (what is meant, cost) of a run of n equal characters (all from 3 on cost the same)."""
+    options = []
+    if c.isalpha():
+        options += [(c, REPEATED * (n > 1))] + [(c + c, REPEATED * (n > 2))] * (n > 1)
+    elif c in LEET:
+        options += [(x, REPLACED + REPEATED * (n > 1)) for x in LEET[c]] + [(x + x, REPLACED + REPEATED * (n > 2)) for x in LEET[c] if n > 1]
+        options += [(" ", REPLACED + 4.0)]
+    else:
+        options += [(" ", 0.0)]
+    if c in SEPARATORS:
+        options += [("", DROPPED)]
+    return options
+
+
 def lattice(chunk: str) -> list[list[tuple[str, float]]]:
-    """Options (what is meant, cost) of every run of equal characters."""
-    out = []
-    for m in re.finditer(r"(.)\1*", chunk.lower(), re.DOTALL):
-        c, n = m[1], len(m[0])
-        options = []
-        if c.isalpha():
-            options += [(c, REPEATED * (n > 1))] + [(c + c, REPEATED * (n > 2))] * (n > 1)
-        elif c in LEET:
-            options += [(x, REPLACED + REPEATED * (n > 1)) for x in LEET[c]] + [(x + x, REPLACED + REPEATED * (n > 2)) for x in LEET[c] if n > 1]
-            options += [(" ", REPLACED + 4.0)]
-        else:
-            options += [(" ", 0.0)]
-        if c in SEPARATORS:
-            options += [("", DROPPED)]
-        out.append(options)
-    return out
+    """Options of every run of equal characters."""
+    return [_run_options(m[1], len(m[0])) for m in RUNS.finditer(chunk.lower())]
 
 
 def _symbol(c: str) -> int:
@@ -145,23 +150,28 @@ def doubled(word: str, flat) -> str:
     return "".join(out)
 
 
+@functools.lru_cache(4096)
+def _moves(c: str, n: int) -> tuple:
+    """The options of a run as (cost, symbols and characters in turn)."""
+    return tuple((cost, tuple((z, x if z else " ") for x in meant for z in (_symbol(x),))) for meant, cost in _run_options(c, n))
+
+
 def viterbi(chunk: str, model: np.ndarray) -> str:
     """The most probable restored form of a chunk. Paths are kept as links to their beginnings, so long chunks stay linear."""
     flat = memoryview(model.reshape(-1))
-    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for options in [*lattice(chunk), [(" ", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-        for (x, y), (score, path) in paths.items():
-            for meant, cost in options:
-                u, v, s, t = x, y, score - cost, path
-                for c in meant:
-                    z = _symbol(c)
-                    if z == 0 and v == 0:
+    paths: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by the two symbols before, packed
+    for moves in [*(_moves(m[1], min(len(m[0]), 3)) for m in RUNS.finditer(chunk.lower())), _moves("%", 1)]:
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for at, (score, path) in paths.items():
+            for cost, meant in moves:
+                uv, s, t = at, score - cost, path
+                for z, c in meant:
+                    if z == 0 and uv & 127 == 0:
                         continue
-                    s += flat[u << 14 | v << 7 | z]
-                    u, v, t = v, z, (t, c if z else " ")
-                if (u, v) not in new or new[u, v][0] < s:
-                    new[u, v] = (s, t)
+                    s += flat[uv << 7 | z]
+                    uv, t = (uv << 7 | z) & 16383, (t, c)
+                if uv not in new or new[uv][0] < s:
+                    new[uv] = (s, t)
         paths = new
     _, path = max(paths.values(), key=lambda p: p[0])
     out = []
@@ -181,9 +191,11 @@ class Restored(dict):
     def __missing__(self, chunk: str) -> str:
         low = chunk.lower()
         core = low.rstrip(".,;:!?")
-        if core.isalpha():
-            repeated = TWICE.search(core)
-            out = low if not repeated else viterbi(chunk, self.model) if "!" in low or 0 in map(_symbol, core) else doubled(core, self.flat)
+        inner = low.strip(AROUND)  # signs that only can be boundaries
+        if inner.isalpha() and (inner.isascii() or ord(max(inner)) < 1 << 16):
+            out = doubled(inner, self.flat) if TWICE.search(inner) else inner
+        elif core.isalpha():
+            out = viterbi(chunk, self.model) if TWICE.search(core) else low
         else:
             noisy = bool(core) and (sum(c.isalpha() for c in core) >= 2 or any(len(options) > 1 for options in lattice(core)))
             out = viterbi(chunk, self.model) if noisy else low
