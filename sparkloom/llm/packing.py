@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import REMEMBERED, cut, small_batches, table, trim
 
 CAPACITY = 2048
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^`{|}~"
 LOG = logging.getLogger(__name__)
 
 
@@ -63,14 +64,29 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class Marks(dict):
+    """Marks after a word -> their ids, remembered up to a bound."""
+
+    def __init__(self, ids: Ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, marks: str) -> bytes:
+        out = self.ids.bytes(self.ids.encoder.encode(marks, add_special_tokens=False).ids)
+        if len(self) >= 10_000:
+            self.clear()
+        self[marks] = out
+        return out
+
+
 class Ids(dict):
     """Chunk of text without blanks -> its ids as little-endian 32-bit words.
 
     The tokenizer drops white space and never joins what it separates, so chunks
     between blanks are encoded on their own and remembered, up to a bound. It
-    lowers letters and splits them from punctuation, so letters with a comma or
-    full stop are put together from their lower-case word and the mark, and
-    words of letters go straight to its merge model.
+    lowers letters and splits them from punctuation, so letters with marks after
+    them are put together from their lower-case word and the marks, and words of
+    letters go straight to its merge model.
     """
 
     def __init__(self, path: str, bound: int = REMEMBERED):
@@ -81,16 +97,14 @@ class Ids(dict):
         self.encoder.no_padding()
         self.encoder.no_truncation()
         self.merge, self.letters = self.encoder.model.tokenize, _byte_letters()
-        self.marks = {m: self.bytes(self.encoder.encode(m, add_special_tokens=False).ids) for m in ",."} | {"": b""}
+        self.marks = Marks(self)
 
     @staticmethod
     def bytes(ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        mark = chunk[-1:]
-        core = chunk[:-1] if mark == "," or mark == "." else chunk
-        tail = self.marks.get(mark, b"") if core is not chunk else b""
+        core = chunk.rstrip(MARKS)
         if core.isalpha() and (core.isascii() or ("\u03a3" not in core and core.lower().isalpha() and unicodedata.is_normalized("NFC", core))):
             word = core.lower()
             ids = self.words.get(word)
@@ -99,8 +113,8 @@ class Ids(dict):
                 if len(self.words) >= self.bound:
                     self.words.clear()
                 self.words[word] = ids
-            if tail:
-                ids += tail
+            if len(core) < len(chunk):
+                ids += self.marks[chunk[len(core) :]]
         else:
             ids = self.bytes(self.encoder.encode(chunk, add_special_tokens=False).ids)
         if len(self) >= self.bound:
