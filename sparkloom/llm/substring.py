@@ -20,12 +20,14 @@ so consist of whole windows that an earlier document, or the same one at least a
 window before, has word by word.
 
 Which parts and windows occur twice, and which document is the first to have a window,
-is kept in three bitmaps of ``BITS`` bits (16 MB, broadcast; two bits a key).
-Nothing is missed by them. Other keys with the same bits cost work, as what they let
-through is grouped and joined exactly; next to the end of a run (1 in 200 runs where
-a bitmap holds 5 million keys) one can hide where it ends, unless the second window is
-marked, which is done. A hot digest is summed map side first, and the join
-with the first ids is split at run time.
+is kept in three bitmaps of ``BITS`` bits (32 MB, broadcast; ``PROBES`` bits a key).
+Other keys with the same bits (1 in 1,000 where a bitmap holds 9 million) cost work, as
+what they let through is grouped and joined exactly, and can hide a turn: the windows
+next to every turn are marked too, so a span can lose a word or a passage of exactly
+``min_words`` words only inside text that its document is the first of several to have.
+Turns to the first and back within a window's width leave no word uncovered and
+are no turns. A hot digest is summed map side first, and the join with the first ids
+is split at run time.
 
 Edge cases: null, empty and wordless texts have no units; rows that share an id
 (repeated rows too) are one document and only lose what an earlier id or their
@@ -48,7 +50,7 @@ from sparkloom.llm.common import cut, free_name, small_batches, table, trim, wri
 REACH, LONGEST = 3, 24
 #: Words around a run of repeated parts in which a passage may begin or end, and the words such a run must have.
 EXTEND, LEAST = 40, 8
-BITS = 1 << 27
+BITS, PROBES = 1 << 28, 3
 STOPS = np.array([ord(c) for c in ".!?…"], np.uint32)
 CLOSING = np.array([ord(c) for c in "\"'”’»)]"], np.uint32)
 SPACE = np.array([chr(i).isspace() for i in range(0xFFFF)] + [False])
@@ -223,28 +225,43 @@ def _repeated_units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     return spans.filter(F.col("n_words") >= min_words).drop("island")
 
 
-def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of every key."""
+def _places(keys: np.ndarray) -> np.ndarray:
+    """The bits of every key, one row for each probe."""
     n = np.uint64(BITS.bit_length() - 1)
-    return (keys >> (np.uint64(64) - n)).astype(np.int64), ((keys >> np.uint64(64) - np.uint64(2) * n) & np.uint64(BITS - 1)).astype(np.int64)
+    first, step = keys >> (np.uint64(64) - n), ((keys >> np.uint64(4)) & np.uint64(BITS - 1)) | np.uint64(1)
+    return np.stack([((first + np.uint64(i) * step) & np.uint64(BITS - 1)).astype(np.int64) for i in range(PROBES)])
 
 
 def _bitmap(table: DataFrame, keys):
-    """Broadcast bitmap of the ``keys`` of a table's record batches: words of 64 bits are merged map side first."""
+    """Broadcast bitmap of the ``keys`` of a table's record batches: words of 64 bits are merged map side first, and reach the driver as blocks of bytes."""
 
-    def run(batches):
+    def words(batches):
         for b in batches:
-            place = np.concatenate(_places(keys(b)))
+            place = _places(keys(b)).ravel()
             order = np.argsort(place)
             word, first = np.unique(place[order] >> 6, return_index=True)
             if len(word):
                 bits = np.bitwise_or.reduceat(np.uint64(1) << (place[order] & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    t = table.mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most BITS / 64 rows
-    held = np.zeros(BITS >> 6, "<u8")
-    held[t.column(0).to_numpy()] = t.column(1).to_numpy().view(np.uint64)
-    return table.sparkSession.sparkContext.broadcast(held.view(np.uint8))
+    size = 1 << 13  # words in a block
+
+    def blocks(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            word, bits = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            for k in np.unique(word // size).tolist():
+                own = word // size == k
+                held.setdefault(k, np.zeros(size, "<u8"))[word[own] % size] = bits[own]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["block", "bytes"])
+
+    merged = table.mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    rows = merged.repartition(16, F.shiftright("word", 13)).mapInArrow(blocks, "block bigint, bytes binary").toArrow()  # BITS / 8 bytes at most
+    held = np.zeros(BITS >> 3, np.uint8)
+    for k, raw in zip(rows.column(0).to_pylist(), rows.column(1)):
+        held[8 * size * k : 8 * size * (k + 1)] = np.frombuffer(raw.as_buffer(), np.uint8)
+    return table.sparkSession.sparkContext.broadcast(held)
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -264,6 +281,18 @@ def _of_document(windows: np.ndarray, ids) -> np.ndarray:
     return _mix(windows ^ _mix(h + np.uint64(ODD)))
 
 
+def _within(flags: np.ndarray, begins: np.ndarray, most: int) -> np.ndarray:
+    """Stretches of fewer than ``most`` flags with others of their run on both sides."""
+    starts = begins.copy()
+    starts[1:] |= flags[1:] != flags[:-1]
+    first = np.flatnonzero(starts)
+    size = np.diff(np.append(first, len(flags)))
+    inner = np.zeros(len(first), bool)
+    inner[:-1] = ~begins[first[1:]]
+    inner &= flags[first] & (size < most) & ~begins[first]
+    return np.repeat(inner, size)
+
+
 def _candidate_windows(w: Words, bits: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the windows around runs of units that may occur twice."""
     none = np.zeros(0, np.int64), w.hash[:0]
@@ -331,6 +360,8 @@ def _repeated_passages(docs: DataFrame, width: int) -> DataFrame:
                 own = _has(owners, _of_document(hashes, b.column(0).take(pa.array(lo + of))))
                 begins = np.ones(len(at), bool)
                 begins[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])
+                covered = _within(own, begins, width)
+                own &= ~covered
                 turns = begins.copy()
                 turns[1:] |= (again[1:] != again[:-1]) | (own[1:] != own[:-1])
                 mark = turns.copy()  # both sides of every turn, and the windows next to them
@@ -338,6 +369,7 @@ def _repeated_passages(docs: DataFrame, width: int) -> DataFrame:
                 mark[:-1] |= turns[1:]
                 mark[:-2] |= turns[2:]
                 mark[-2:] = True
+                mark &= ~covered
                 run = (np.cumsum(begins) - 1)[mark]
                 at, hashes, of, again = at[mark], hashes[mark], of[mark], again[mark]
                 k = np.arange(len(at))
