@@ -22,7 +22,8 @@ windows) or ``RUN`` consecutive tokens, whatever share of the item that is.
 
 Edge cases: null, empty and wordless texts match nothing, also on the benchmark's
 side; null ids are reported as null ids; repeated rows are reported each, repeated
-items each; empty tables give an empty result; extra columns are ignored.
+items each; very long texts are worked through whole, in memory some ten times their
+size; empty tables give an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

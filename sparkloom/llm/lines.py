@@ -21,7 +21,8 @@ the lines of distinct texts on hashes, and texts with the places found.
 Edge cases: blank lines are never removed; a null site counts as one site of its
 own; a null text stays null, an empty one empty; a text of which no line with
 content would be left is kept whole; repeated rows count once per (site, content) by
-nature; null ids and extra columns are passed through.
+nature; null ids and extra columns are passed through; a very long text is split in one
+worker, in memory a few times its size; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ of all pages share meets no single task.
 Edge cases: a null payload is empty; shorter payloads are never deduplicated;
 rows that repeat the smallest id are each a response; null ids are written
 without an id, rank after all others and cannot be referred to; if all ids of a payload are null its rows are
-responses; null URLs are written as ``about:blank``; an empty table gives no
+responses; null URLs are written as ``about:blank``; a record is in memory whole,
+whatever its length, an archive never; an empty table gives no
 archive and no rows; extra columns are ignored.
 """
 
