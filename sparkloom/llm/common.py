@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -41,12 +42,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back: its lineage ends, and Spark knows its bytes."""
+    """``df`` as a Parquet table in the shared folder, read back: its lineage ends, and Spark knows its bytes.
+
+    The table goes when the application ends.
+    """
     path = path or f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    goes_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def goes_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder deleted when the driver ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def rebuilt(df: DataFrame) -> DataFrame:
     """``df`` cut, and built anew from its rows: a checkpoint keeps its plan's estimate of size, which joins multiply from round to round."""
     spark, held = df.sparkSession, cut(df)
@@ -76,6 +87,12 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def settle() -> None:
+    """The same on the driver, after it has passed a table on."""
+    gc.collect()
+    trim()
+
+
 def narrow_text(df: DataFrame, *cols: str) -> DataFrame:
     """Only the columns an operator reads, so that clashing extra columns never matter."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

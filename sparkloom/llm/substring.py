@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, free_name, small_batches, table, trim, written
+from sparkloom.llm.common import cut, free_name, settle, small_batches, table, trim, written
 
 REACH, LONGEST = 3, 24
 #: Words around a run of repeated parts in which a passage may begin or end, and the words such a run must have.
@@ -261,7 +261,11 @@ def _bitmap(table: DataFrame, keys):
     held = np.zeros(BITS >> 3, np.uint8)
     for k, raw in zip(rows.column(0).to_pylist(), rows.column(1)):
         held[8 * size * k : 8 * size * (k + 1)] = np.frombuffer(raw.as_buffer(), np.uint8)
-    return table.sparkSession.sparkContext.broadcast(held)
+    del rows
+    out = table.sparkSession.sparkContext.broadcast(held)
+    del held
+    settle()
+    return out
 
 
 def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:

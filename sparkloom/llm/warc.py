@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, shared_dir, small_batches, table
+from sparkloom.llm.common import cut, goes_at_exit, shared_dir, small_batches, table
 
 MIN_BYTES = 100
 CHUNK = 1 << 20
@@ -201,7 +201,11 @@ def plan_records(pages: DataFrame, small: int = 500_000) -> DataFrame:
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
-    """Writes and normalises the archives of ``page_id, url, html``; their ``file`` names, and their folder."""
+    """Writes and normalises the archives of ``page_id, url, html``; their ``file`` names, and their folder.
+
+    Without a ``folder`` they are written to the shared one, and go when the application ends.
+    """
+    own = folder is None
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     path = pages.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     folder = path.getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).makeQualified(path).toString()  # without a scheme: the cluster's own file system
@@ -210,6 +214,8 @@ def archive(pages: DataFrame, folder: str | None = None) -> tuple[DataFrame, str
     for sub in ("whole", "members"):
         fs, base = _open(f"{folder}/{sub}")
         fs.create_dir(base, recursive=True)
+    if own:
+        goes_at_exit(pages.sparkSession, folder)
     files = cut(write_monolithic(plan_records(pages), f"{folder}/whole"))
     done = cut(normalise(files, f"{folder}/whole", f"{folder}/members"))
     fs, base = _open(f"{folder}/whole")
