@@ -35,7 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of those that share four fifths of their 5-word shingles.
 
-    Every document dropped has an exact Jaccard similarity of 0.8 or more to one
+    Candidates are linked by SimHash through pivot distance tables; MinHash adds those beyond
+    its reach. Every document dropped has an exact Jaccard similarity of 0.8 or more to one
     with a smaller id (null ids last), or repeats its id and text.
     """
     return keep_distinct(docs, width=5)

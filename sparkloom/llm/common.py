@@ -64,6 +64,14 @@ def rebuilt(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(held._jdf.javaRDD(), held._jdf.schema()), spark)
 
 
+def thin(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows as counted by the caller, in no more partitions than they fill.
+
+    Every partition of a cut is a file, and on local disks Hadoop starts a process for each.
+    """
+    return df.coalesce(max(1, -(-rows // 100_000)))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or with a number after it where ``df`` has such a column (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -1,15 +1,16 @@
 """Near-dedup of the pipeline by exact shingle similarity: of texts that share four fifths of their word shingles, the earliest stays.
 
-Fingerprints of 64 bits cannot decide this: at a similarity of 0.8 two of them differ
-in about 10 bits, and in up to 18, where nearly all pairs would be candidates. Hence
-candidates come from MinHash and the decision from the shingles themselves.
-
 A text's profile is the set of hashes of its lower-cased word shingles. Two
 profiles are near duplicates if their Jaccard similarity is at least 0.8.
-Candidates share one of ``BANDS`` buckets, each the hash of ``ROWS`` MinHash
-values; a pair at 0.8 shares none with probability (1 - 0.8^5)^20 = 0.0004, more
-similar pairs with less. Every candidate pair that decides is verified on the
-whole profiles, so no dissimilar text is dropped.
+
+Candidates come from SimHash: fingerprints of the shingles that differ in at most
+``LINK`` bits are linked through pivot distance tables (as in ``simhash``), and the
+texts of a component share a bucket. Fingerprints of 64 bits cannot find all: at a
+similarity of 0.8 two of them differ in about 10 bits, and in up to 18, where nearly
+all pairs would be candidates. What links miss is found by MinHash: ``BANDS`` more
+buckets, each the hash of ``ROWS`` MinHash values; a pair at 0.8 shares none with
+probability (1 - 0.8^5)^20 = 0.0004, more similar pairs with less. Every candidate
+pair that decides is verified on the whole profiles, so no dissimilar text is dropped.
 
 Only distinct profiles take part. In each of ``rounds`` rounds, a bucket compares all
 its profiles with its earliest one; those found similar are dropped, and
@@ -38,10 +39,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, free_name, small_batches, trim
-from sparkloom.llm.simhash import shingle_hashes
+from sparkloom.llm.common import cut, free_name, small_batches, thin, trim
+from sparkloom.llm.simhash import components, fingerprint_of, links, shingle_hashes
 
 BANDS, ROWS = 20, 5
+#: Bits in which the fingerprints of linked texts may differ.
+LINK = 4
 #: MinHash values whose two bits must agree before a pair of the last round is looked at.
 AGREE = 71
 _RNG = np.random.default_rng(20240301)
@@ -87,18 +90,19 @@ def buckets(p: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int, whole: bool) -> DataFrame:
-    """``doc_id, text_hash, key`` of every row and its ``buckets`` and ``sketch`` together, or with ``whole`` its ``profile``."""
+    """``doc_id, text_hash, key`` of every row and its ``sketch``, fingerprint and ``buckets`` together, or with ``whole`` its ``profile``."""
     last = "profile" if whole else "buckets"
 
-    def hashed(p):
+    def hashed(h, p):
         least = minima(p)
-        return np.concatenate((sketch(least), buckets(p, least)))
+        return np.concatenate((sketch(least), np.array([fingerprint_of(h)], np.int64), buckets(p, least)))
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 64):
-                each = [profile(t, width) for t in b.column(2).slice(lo, 64).to_pylist()]
-                parts = [p.view(np.int64) if whole else hashed(p) for p in each]
+                hashes = [shingle_hashes(t, width) for t in b.column(2).slice(lo, 64).to_pylist()]
+                each = [np.unique(h) for h in hashes]
+                parts = [p.view(np.int64) if whole else hashed(h, p) for h, p in zip(hashes, each)]
                 ends = np.cumsum([0, *map(len, parts)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
                 keys = pa.array([profile_key(p) for p in each], pa.int64())
@@ -118,6 +122,17 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").filter(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def linked(each: DataFrame, few) -> DataFrame:
+    """``key, bucket`` of the texts whose fingerprint is linked to another, a bucket for each component of links."""
+    fp = each.filter(F.size("buckets") > 5).select("key", F.col("buckets")[4].alias("fp"))
+    root = components(links(cut(fp.select("fp").distinct()), LINK)).withColumnRenamed("node", "fp")
+    one = F.xxhash64(F.lit("simhash"), "root").alias("bucket")
+    # texts that only share a fingerprint are a component of their own
+    same = fp.distinct().groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", F.col("fp").alias("root"))
+    root = cut(root.union(same.join(few(root), "fp", "left_anti")))
+    return fp.join(few(root), "fp").select("key", one)
+
+
 def distinct_rows(docs: DataFrame, width: int = 5, rounds: int = 2, small: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """``doc_id, text_hash`` of the earliest row of every profile that stays; and ``doc_id, text_hash`` of all rows.
 
@@ -127,16 +142,17 @@ def distinct_rows(docs: DataFrame, width: int = 5, rounds: int = 2, small: int =
     each = cut(profiles(docs, width, whole=False))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = cut(each.groupBy("key").agg(F.min(row).alias("first")))
-    spread = each.select("key", F.explode(F.slice("buckets", 5, BANDS)).alias("bucket"))
+    spread = each.select("key", F.explode(F.slice("buckets", 6, BANDS)).alias("bucket")).union(linked(each, few))
     shared = cut(spread.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").select("bucket"))
     rank = F.struct("first", "key").alias("rank")
     live = cut(spread.join(few(shared), "bucket", "left_semi").distinct().join(first, "key").select("bucket", "key", rank))
-    known = cut(live.select("key", F.col("rank.first.doc_id").alias("id"), F.col("rank.first.text_hash").alias("hash")).distinct())
+    n = live.count()  # tables of candidates below have no more rows
+    known = cut(thin(live.select("key", F.col("rank.first.doc_id").alias("id"), F.col("rank.first.text_hash").alias("hash")).distinct(), n))
     ids = known.select("id", "hash").distinct()
-    own = docs.select("doc_id", "text").join(few(cut(ids)), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left_semi")
+    own = docs.select("doc_id", "text").join(few(cut(thin(ids, n))), F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left_semi")
     whole = profiles(own, width, whole=True).select("key", "profile")
     sets = cut(whole.join(few(known.select("key")), "key", "left_semi").dropDuplicates(["key"]))
-    gone = cut(known.select("key").limit(0))
+    gone = known.select("key").limit(0)
     for k in range(rounds + 1):
         if live.isEmpty():
             break
@@ -144,19 +160,19 @@ def distinct_rows(docs: DataFrame, width: int = 5, rounds: int = 2, small: int =
             met = live.join(live.groupBy("bucket").agg(F.min("rank").alias("least")), "bucket").filter(F.col("rank") != F.col("least"))
             pairs = met.select(F.col("least.key").alias("a"), F.col("key").alias("b"))
         else:
-            bits = each.select("key", F.slice("buckets", 1, 4).alias("sketch")).join(few(cut(live.select("key").distinct())), "key", "left_semi").dropDuplicates(["key"])
-            live = live.join(few(cut(bits)), "key").select("bucket", "key", "rank", "sketch")
+            bits = each.select("key", F.slice("buckets", 1, 4).alias("sketch")).join(few(cut(thin(live.select("key").distinct(), n))), "key", "left_semi").dropDuplicates(["key"])
+            live = live.join(few(cut(thin(bits, n))), "key").select("bucket", "key", "rank", "sketch")
             x, y = live.toDF("bucket", "a", "early", "p"), live.toDF("bucket", "b", "late", "q")
             differ = lambda h: F.bit_count((F.col("p")[h].bitwiseXOR(F.col("q")[h])).bitwiseOR(F.col("p")[h + 2].bitwiseXOR(F.col("q")[h + 2])))
             close = differ(0) + differ(1) <= BANDS * ROWS - AGREE
             pairs = x.alias("x").join(y.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("early") < F.col("late")) & close).select("a", "b")
-        now = cut(similar_pairs(pairs.distinct(), sets).select(F.col("b").alias("key")).distinct())
+        now = cut(thin(similar_pairs(pairs.distinct(), sets).select(F.col("b").alias("key")).distinct(), n))
         gone = gone.union(now)
         if k < rounds:
-            left = cut(met.select("bucket", "key", "rank").join(few(now), "key", "left_anti").select("bucket", "key", "rank"))
+            left = cut(thin(met.select("bucket", "key", "rank").join(few(now), "key", "left_anti").select("bucket", "key", "rank"), n))
             more = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-            live = cut(left.join(few(cut(more)), "bucket", "left_semi"))
-    stay = first.join(few(cut(gone.distinct())), "key", "left_anti")
+            live = cut(left.join(few(cut(thin(more, n))), "bucket", "left_semi"))
+    stay = first.join(few(cut(thin(gone.distinct(), n))), "key", "left_anti")
     return cut(stay.select("first.doc_id", "first.text_hash").distinct()), each.select("doc_id", "text_hash")
 
 

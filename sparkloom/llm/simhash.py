@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import cut, narrow_text, rebuilt, small_batches, trim
+from sparkloom.llm.common import cut, narrow_text, rebuilt, small_batches, thin, trim
 
 #: Reference fingerprints: fixed pseudo-random words, 16 coordinates of 7 bits in two longs.
 PIVOTS = tuple(int(x) for x in np.random.default_rng(20240229).integers(-(2**63), 2**63 - 1, 16, dtype=np.int64))
@@ -54,7 +54,11 @@ def shingle_hashes(text: str | None, width: int, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """SimHash of one text as a signed 64-bit integer (bit 63 is the sign)."""
-    h = shingle_hashes(text, width, seed)
+    return fingerprint_of(shingle_hashes(text, width, seed))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """SimHash of the hashes of shingles, repeats included."""
     n = len(h)
     if not n:
         return 0
@@ -130,21 +134,24 @@ def components(edges: DataFrame) -> DataFrame:
     between different roots. A round at least halves the nodes left of a component.
     """
     left = rebuilt(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    n = left.count()  # no table below has more than twice these rows
+    left = thin(left, n)
     member = None
     while not left.isEmpty():
         low = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
-        up = rebuilt(low.union(left.select("a", "a")).groupBy("node").agg(F.min("up").alias("up")))
+        up = rebuilt(thin(low.union(left.select("a", "a")).groupBy("node").agg(F.min("up").alias("up")), n))
         while True:  # pointers double their reach until all lead to a root
-            far = rebuilt(up.join(up.toDF("up", "far"), "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")))
+            far = up.join(up.toDF("up", "far"), "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved"))
+            far = rebuilt(thin(far, n))
             up = far.select("node", "up")
             if far.filter("moved").isEmpty():
                 break
         if member is None:
             member = up.toDF("node", "root")
         else:
-            member = rebuilt(member.join(up.toDF("root", "now"), "root", "left").select("node", F.coalesce("now", "root").alias("root")))
+            member = rebuilt(thin(member.join(up.toDF("root", "now"), "root", "left").select("node", F.coalesce("now", "root").alias("root")), n))
         step = left.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").filter("x <> y")
-        left = rebuilt(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = rebuilt(thin(step.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n))
     return left.toDF("node", "root") if member is None else member
 
 

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as P
 from sparkloom.llm import shingles as S
+from sparkloom.llm import simhash as SH
 
 
 def jaccard(a, b):
@@ -50,3 +51,21 @@ def test_null_ids_shared_ids_and_repeats(spark):
         got = S.keep_distinct(docs, small=small)
         assert got.columns == docs.columns
         assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("None", a), ("None", b), ("7", c), ("7", d)])
+
+
+def test_fingerprint_links_find_candidates_without_minhash(spark, monkeypatch):
+    rnd = random.Random(6)
+    texts = []
+    for _ in range(8):  # long texts with one new last word: fingerprints within four bits
+        words = [f"w{rnd.randrange(5000)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join(words[:-1] + ["other"])]
+    near = [SH.fingerprint(a, 5) ^ SH.fingerprint(b, 5) for a, b in zip(texts[::2], texts[1::2])]
+    assert all(0 < (x & (2**64 - 1)).bit_count() <= 4 for x in near if x) and any(near)
+    texts += [" ".join(["x y z"] * 30 + [f"a{k}" for k in range(40)]), " ".join(["x y z"] * 30 + [f"b{k}" for k in range(40)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    each = S.profiles(docs, 5, whole=False).collect()
+    assert [r.buckets[4] for r in sorted(each, key=lambda r: r.doc_id)] == [SH.fingerprint(t, 5) for t in texts]
+    whole = S.profiles
+    # only sketch and fingerprint: no MinHash bucket is left
+    monkeypatch.setattr(S, "profiles", lambda d, w, whole_=None, **k: (lambda out: out if k.get("whole", whole_) else out.withColumn("buckets", S.F.transform("buckets", lambda x, i: S.F.when(i < 5, x).otherwise(S.F.xxhash64("key", i)))))(whole(d, w, k.get("whole", whole_))))
+    assert sorted(r.doc_id for r in S.distinct_rows(docs)[0].collect()) == [*range(0, 16, 2), 16, 17]
