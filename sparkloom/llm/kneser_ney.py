@@ -505,51 +505,57 @@ def _scores_resident(docs: DataFrame, held, columns: list[str], own: bool) -> Da
     return docs.select(*columns, "text").mapInArrow(run, f"{_kinds(docs, columns)}n_words bigint, log_ppl double")
 
 
-def text_events(docs: DataFrame, chars: np.ndarray, once: float, columns: list[str]) -> DataFrame:
-    """``columns, text_hash, code, m, mc, p0``: the distinct pairs of every text, how often they and their contexts occur in it."""
-    names = [*columns, "text_hash", "code", "m", "mc", "p0"]
+def text_events(docs: DataFrame, chars: np.ndarray, once: float) -> DataFrame:
+    """``text_hash, code, m, mc, lp``: the distinct pairs of every text, how often they and their contexts occur in it, ln p of the spelling."""
+    names = ["text_hash", "code", "m", "mc", "lp"]
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 parts = []
-                for texts, before, symbol, end_text, end_before, spelled in events(b.column(b.num_columns - 1).slice(i, 1)):
+                for texts, before, symbol, end_text, end_before, spelled in events(b.column(1).slice(i, 1)):
                     lp = spelling(spelled, chars, once) if spelled is not None else np.zeros(0)
                     parts.append((np.concatenate(((before << 32) | symbol, end_before << 32)), np.concatenate((lp, np.full(len(end_text), chars[0])))))
                 if not parts or not sum(len(p[0]) for p in parts):
                     continue
                 code, first, m = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_counts=True)
-                lp = np.concatenate([p[1] for p in parts])[first]
+                lp = np.concatenate([p[1] for p in parts])[first].astype(np.float32)
                 context, inverse = np.unique(code >> 32, return_inverse=True)
-                mc = np.bincount(inverse, m, len(context)).astype(np.int64)[inverse]
+                mc = np.bincount(inverse, m, len(context)).astype(np.int32)[inverse]
                 for lo in range(0, len(code), 1 << 17):
                     s = slice(lo, lo + (1 << 17))
-                    same = [b.column(j).take(pa.array(np.full(len(code[s]), i))) for j in range(b.num_columns - 1)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(code[s]), pa.array(m[s]), pa.array(mc[s]), pa.array(np.exp(lp[s]))], names=names)
+                    same = b.column(0).take(pa.array(np.full(len(code[s]), i)))
+                    yield pa.RecordBatch.from_arrays([same, pa.array(code[s]), pa.array(m[s].astype(np.int32)), pa.array(mc[s]), pa.array(lp[s])], names=names)
+        trim()
 
-    return docs.select(*columns, F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"{_kinds(docs, columns)}text_hash bigint, code bigint, m bigint, mc bigint, p0 double")
+    return docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "text_hash bigint, code bigint, m int, mc int, lp float")
 
 
-def _scores_joined(docs: DataFrame, model: Model, columns: list[str], own: bool) -> DataFrame:
-    """Scores by shuffled joins on hashed keys: for models of any size."""
-    e = text_events(docs, model.chars, model.once, columns)
-    e = e.withColumn("before", F.shiftrightunsigned("code", 32)).withColumn("symbol", F.col("code").bitwiseAND(F.lit((1 << 32) - 1)))
+def _scores_joined(docs: DataFrame, model: Model, columns: list[str], own: bool, small: int = 1_000_000) -> DataFrame:
+    """Scores by shuffled joins on hashed keys: for models of any size.
+
+    A score depends on the text alone, so events carry its hash and nothing else of
+    the row. They are shuffled to their pairs and to their texts; to their words only
+    where more than ``small`` of these are known (at most that many are broadcast).
+    """
+    few = F.broadcast if model.words.count() <= small else lambda df: df
+    e = text_events(docs, model.chars, model.once)
     e = e.join(model.pairs, "code", "left")
-    e = e.join(model.words.select(F.col("symbol").alias("before"), "c", "b"), "before", "left").join(model.words.select("symbol", "k"), "symbol", "left")
-    e = e.fillna(0, ["n", "c", "b", "k"])
-    by = [*columns, "text_hash"]
+    e = e.withColumn("before", F.shiftrightunsigned("code", 32)).withColumn("symbol", F.col("code").bitwiseAND(F.lit((1 << 32) - 1)))
+    if few is F.broadcast:
+        e = e.repartition("text_hash")  # words are looked up after the last shuffle, so nothing of theirs is shuffled
+    e = e.join(few(model.words.select(F.col("symbol").alias("before"), "c", "b")), "before", "left").join(few(model.words.select("symbol", "k")), "symbol", "left")
+    e = e.fillna(0, ["n", "c", "b", "k"]).withColumn("p0", F.exp(F.col("lp").cast("double")))
     if own:
-        e = e.dropDuplicates([*by, "code"])  # repeated rows: each leaves out its own counts once
+        if few is not F.broadcast:
+            e = e.repartition("text_hash")
+        e = e.dropDuplicates(["text_hash", "code"])  # repeated texts: each leaves out its own counts once
         e = e.withColumn("n", F.col("n") - F.col("m")).withColumn("c", F.col("c") - F.col("mc"))
-        e = e.withColumn("k", F.col("k") - F.sum((F.col("n") <= 0).cast("long")).over(W.partitionBy(*by, "symbol")))
-    each = e.groupBy(*by).agg((-F.sum(F.col("m") * F.log(F.expr(probability_sql(model.numbers)))) / F.sum("m")).alias("log_ppl"))
+        e = e.withColumn("k", F.col("k") - F.sum((F.col("n") <= 0).cast("long")).over(W.partitionBy("text_hash", "symbol")))
+    each = e.groupBy("text_hash").agg((-F.sum(F.col("m") * F.log(F.expr(probability_sql(model.numbers)))) / F.sum("m")).alias("log_ppl"))
     n_words = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda x: x != "")))
-    rows = docs.select(*columns, F.xxhash64("text").alias("text_hash"), n_words.cast("long").alias("n_words"))
-    g = each.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(by)], "log_ppl")
-    same = F.lit(True)
-    for i, c in enumerate(by):
-        same &= rows[c].eqNullSafe(F.col(f"__{i}"))
-    return rows.join(g, same, "left").select(*columns, "n_words", "log_ppl")
+    rows = docs.select(*columns, F.xxhash64("text").alias("__text"), n_words.cast("long").alias("n_words"))
+    return rows.join(each.withColumnRenamed("text_hash", "__text"), "__text", "left").select(*columns, "n_words", "log_ppl")
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], own: bool = False, resident_rows: int = 8_000_000) -> DataFrame:
@@ -580,7 +586,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, m
     model = train(trusted)
     held = resident(model) if model.rows <= resident_rows else None
     settle()
-    of_trusted = _scores_resident(trusted, held, ["lang"], True) if held else _scores_joined(trusted, model, ["doc_id", "lang"], True)
+    of_trusted = _scores_resident(trusted, held, ["lang"], True) if held else _scores_joined(trusted, model, ["lang"], True)
     return model, held, *thresholds(written(of_trusted), quantile, slack, margin, min_trusted)
 
 

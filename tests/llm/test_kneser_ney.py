@@ -144,3 +144,14 @@ def test_edges(spark):
         kept = K.keep_documents(docs, labels.limit(0), resident_rows=limit)
         assert kept.count() == 3 and kept.columns == docs.columns
     assert K.classify(docs.limit(0), labels).count() == 0
+
+
+def test_joined_way_shuffles_nothing_of_the_row_or_its_words(spark):
+    docs = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate([*TEXTS, TEXTS[0]])], "doc_id long, text string, lang string")
+    m = K.train(docs)
+    e = K.text_events(docs.select("text"), m.chars, m.once)
+    assert [(f.name, f.dataType.simpleString()) for f in e.schema] == [("text_hash", "bigint"), ("code", "bigint"), ("m", "int"), ("mc", "int"), ("lp", "float")]
+    for own in (False, True):
+        ways = [K._scores_joined(docs, m, ["doc_id", "lang"], own, small) for small in (1_000_000, 0)] + [K.score(docs, m, ["doc_id", "lang"], own)]
+        a, b, c = ([(r.doc_id, r.lang, r.n_words, r.log_ppl and round(r.log_ppl, 4)) for r in sorted(w.collect(), key=lambda r: r.doc_id)] for w in ways)
+        assert a == b == c and len(a) == len(TEXTS) + 1
