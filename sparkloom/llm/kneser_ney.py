@@ -10,16 +10,20 @@ Training. Counts of words and of pairs of neighbours are gathered from all trust
 documents, summed per task first and then by Spark. All that modified Kneser-Ney
 needs follows from them by joins and aggregates: contexts of a word are its pairs
 seen more than once and what is left of its count; discounts come from counts of
-counts. Pairs seen once, and words seen after one word only, are cut off: their
+counts, one each for counts of one, two, and three or more. The classifier keeps all
+pairs and words. ``train`` alone cuts off pairs seen once, and words seen after one
+word only, unless asked for the whole model; a cut-off is a discount of one, so their
 mass goes to the next lower order. Below the words stands a trigram model of
 characters (a fixed table over 64 classes of bytes), so unseen words cost what
 their spelling costs.
 
 Scoring. Each event needs the count of its pair and the rows of its two words.
 Where the tables have at most ``resident`` rows (their number is counted; 20 bytes
-each at most) they are broadcast and texts are scored where they lie. Beyond that,
-the distinct pairs of every text are joined with the tables on hashed keys, and
-texts stay. Both ways give the same scores.
+each at most) they are broadcast and texts are scored where they lie. Tables of up
+to ``PASSES`` times that are parted by the second word of the pairs, and texts are
+read once for every part: a text's mean is the sum over the parts. Beyond that, the
+distinct pairs of every text are joined with the tables on hashed keys, and texts
+stay. All ways give the same scores.
 
 Decision. A trusted document is scored without its own counts (leave one out), so
 all of them train the model and set thresholds nevertheless. The mean of n events
@@ -39,6 +43,7 @@ threshold, and documents with words are kept; extra columns are ignored by
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +59,8 @@ EOS, WORD, FIRST = 0, 1, 1024
 EVENTS = WORD
 #: Bytes worked on in one go, pairs gathered in a task before they are sent on.
 BLOCK, EMIT = 1 << 18, 750_000
+#: Most passes over the texts with a part of the model each; a pass costs the reading and hashing of all texts.
+PASSES = 8
 ODD = 0x9E3779B97F4A7C15
 KINDS = 64
 
@@ -289,58 +296,73 @@ class Model:
     """Tables ``pairs (code, n)`` and ``words (symbol, c, b, k)``, the character model, and a few numbers.
 
     c: count as a context, b: mass left for the lower order, k: distinct contexts.
-    ``numbers``: D2 and D3+ of pairs and of words, all distinct contexts, the mass left for spellings.
+    ``numbers``: D1, D2 and D3+ of pairs and of words, all distinct contexts, the mass left for spellings.
     """
 
     def __init__(self, pairs: DataFrame, words: DataFrame, chars: np.ndarray, numbers: tuple):
         self.pairs, self.words, self.chars, self.numbers = pairs, words, chars, numbers
-        self.rows = pairs.count() + words.count()
+        self.n_pairs, self.n_words = pairs.count(), words.count()
+        self.rows = self.n_pairs + self.n_words
 
     @property
     def once(self) -> float:
         """ln of one event in all distinct ones."""
-        return -math.log(self.numbers[4])
+        return -math.log(self.numbers[6])
 
+    def parts(self, resident_rows: int) -> int:
+        """Parts of at most about ``resident_rows`` rows, each with all words; 0 where that takes more than ``PASSES``."""
+        if self.rows <= resident_rows:
+            return 1
+        room = resident_rows - self.n_words
+        return -(-self.n_pairs // room) if room > 0 and self.n_pairs <= PASSES * room else 0
 
-def train(trusted: DataFrame, text_col: str = "text") -> Model:
-    """Fits the model on all rows of ``trusted``."""
+
+def train(trusted: DataFrame, text_col: str = "text", whole: bool = False) -> Model:
+    """Fits the model on all rows of ``trusted``; ``whole``: pairs seen once and words seen after one word only are kept."""
     counts = count_events(trusted.select(text_col))
-    # most pairs occur once; what they sum up to follows from the counts of single words
-    counts = written(counts.filter((F.col("n") > 1) | (F.col("kind") == 1) | (F.shiftrightunsigned("code", 32) == WORD)))
+    if not whole:
+        # most pairs occur once; what they sum up to follows from the counts of single words
+        counts = counts.filter((F.col("n") > 1) | (F.col("kind") == 1) | (F.shiftrightunsigned("code", 32) == WORD))
+    counts = written(counts)
     chars = char_model(counts.filter("kind = 1").select("code", "n").collect())  # at most 64^3 rows
     before, symbol = F.shiftrightunsigned("code", 32), F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
     pair = counts.filter("kind = 0").select("code", before.alias("before"), symbol.alias("symbol"), "n")
     kept, single = pair.filter(F.col("before") != WORD), pair.filter(F.col("before") == WORD)
     total = single.filter(F.col("symbol") == EVENTS).agg(F.sum("n")).first()[0] or 0
     single = single.filter(F.col("symbol") != EVENTS).select("symbol", F.col("n").alias("c"))
-    seen = kept.agg(F.sum("n").alias("s"), *[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (2, 3, 4)]).first()
-    _, d2, d3 = discounts([total - (seen.s or 0), seen.n2, seen.n3, seen.n4])
-    after = kept.groupBy(F.col("before").alias("symbol")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("s"), F.count(F.when(F.col("n") == 2, 1)).alias("twos"))
+    seen = kept.agg(F.sum("n").alias("s"), *[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    d1, d2, d3 = discounts([total - (seen.s or 0) + seen.n1, seen.n2, seen.n3, seen.n4])
+    d1 = d1 if whole else 1.0
+    of = [F.count(F.when(F.col("n") == k, 1)).alias(name) for k, name in ((1, "ones"), (2, "twos"))]
+    after = kept.groupBy(F.col("before").alias("symbol")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("s"), *of)
     ahead = kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("s2"))
-    words = single.join(after, "symbol", "left").join(ahead, "symbol", "left").fillna(0, ["kinds", "s", "twos", "contexts", "s2"])
-    b = (F.col("c") - F.col("s") + d2 * F.col("twos") + d3 * (F.col("kinds") - F.col("twos"))) / F.col("c")
+    words = single.join(after, "symbol", "left").join(ahead, "symbol", "left").fillna(0, ["kinds", "s", "ones", "twos", "contexts", "s2"])
+    b = (F.col("c") - F.col("s") + d1 * F.col("ones") + d2 * F.col("twos") + d3 * (F.col("kinds") - F.col("ones") - F.col("twos"))) / F.col("c")
     words = written(words.select("symbol", "c", b.alias("b"), (F.col("contexts") + F.col("c") - F.col("s2")).alias("k"), "kinds"))
     k = words.agg(F.sum("k").alias("s"), *[F.count(F.when(F.col("k") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
-    _, e2, e3 = discounts([k.n1, k.n2, k.n3, k.n4])
+    e1, e2, e3 = discounts([k.n1, k.n2, k.n3, k.n4])
+    e1 = e1 if whole else 1.0
     all_k = k.s or 0
-    held = words.filter("k > 1").agg(F.sum(F.col("k") - F.when(F.col("k") == 2, e2).otherwise(e3))).first()[0] or 0.0
+    held = words.filter("k > 0").agg(F.sum(F.col("k") - F.when(F.col("k") == 1, e1).when(F.col("k") == 2, e2).otherwise(e3))).first()[0] or 0.0
     rest = 1 - held / all_k if all_k else 1.0
-    words = words.filter("k > 1 OR kinds > 0").select("symbol", "c", "b", "k")
-    return Model(kept.select("code", "n"), words, chars, (d2, d3, e2, e3, max(all_k, 1), rest))
+    words = words.filter(f"k > {0 if whole else 1} OR kinds > 0").select("symbol", "c", "b", "k")
+    return Model(kept.select("code", "n"), words, chars, (d1, d2, d3, e1, e2, e3, max(all_k, 1), rest))
 
 
 def probability(n, c, b, k, p0, numbers):
     """p of events from the pair's count, the context's count and mass, the word's contexts and its spelling; numpy arrays."""
-    d2, d3, e2, e3, all_k, rest = numbers
-    one = np.where(k > 1, (k - np.where(k == 2, e2, e3)) / all_k, 0.0) + rest * p0
-    return np.where((n > 1) & (c > 0), (n - np.where(n == 2, d2, d3)) / np.maximum(c, 1), 0.0) + np.where(c > 0, b, 1.0) * one
+    d1, d2, d3, e1, e2, e3, all_k, rest = numbers
+    one = np.where(k > 0, (k - np.where(k == 1, e1, np.where(k == 2, e2, e3))) / all_k, 0.0) + rest * p0
+    two = np.where((n > 0) & (c > 0), (n - np.where(n == 1, d1, np.where(n == 2, d2, d3))) / np.maximum(c, 1), 0.0)
+    return two + np.where(c > 0, b, 1.0) * one
 
 
 def probability_sql(numbers) -> str:
     """The same over columns n, c, b, k, p0 (null n, c, b, k: not in the tables)."""
-    d2, d3, e2, e3, all_k, rest = (f"{float(x)!r}D" for x in numbers)
-    one = f"(CASE WHEN k > 1 THEN (k - CASE WHEN k = 2 THEN {e2} ELSE {e3} END) / {all_k} ELSE 0D END + {rest} * p0)"
-    return f"CASE WHEN n > 1 AND c > 0 THEN (n - CASE WHEN n = 2 THEN {d2} ELSE {d3} END) / c ELSE 0D END + CASE WHEN c > 0 THEN b ELSE 1D END * {one}"
+    d1, d2, d3, e1, e2, e3, all_k, rest = (f"{float(x)!r}D" for x in numbers)
+    one = f"(CASE WHEN k > 0 THEN (k - CASE k WHEN 1 THEN {e1} WHEN 2 THEN {e2} ELSE {e3} END) / {all_k} ELSE 0D END + {rest} * p0)"
+    two = f"CASE WHEN n > 0 AND c > 0 THEN (n - CASE n WHEN 1 THEN {d1} WHEN 2 THEN {d2} ELSE {d3} END) / c ELSE 0D END"
+    return f"{two} + CASE WHEN c > 0 THEN b ELSE 1D END * {one}"
 
 
 def _mixed(keys: np.ndarray) -> np.ndarray:
@@ -391,10 +413,10 @@ def _own(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Resident:
-    """The tables as sorted arrays."""
+    """The tables as sorted arrays; of several ``parts``, the pairs of one ``part``."""
 
-    def __init__(self, pairs, n, symbols, c, b, k, chars, numbers):
-        self.pairs, self.symbols, self.chars, self.numbers = pairs, symbols, chars, numbers
+    def __init__(self, pairs, n, symbols, c, b, k, chars, numbers, part=0, parts=1):
+        self.pairs, self.symbols, self.chars, self.numbers, self.part, self.parts = pairs, symbols, chars, numbers, part, parts
         # one row more, for what is not there
         self.n, self.c, self.b, self.k = (np.concatenate((x, np.zeros(1, x.dtype))) for x in (n, c, b, k))
 
@@ -411,7 +433,17 @@ class Resident:
         return self
 
     def log_p(self, texts, before, symbol, p0, own: bool) -> np.ndarray:
-        """ln p of events; with ``own``, their texts' own counts are taken out first (events of a text must come together)."""
+        """ln p of events (0 in other parts); with ``own``, their texts' own counts are taken out first (events of a text must come together)."""
+        own_c = _own(texts, before)[1] if own and len(texts) else np.zeros(len(texts), np.int64)
+        if self.parts == 1:
+            return self._log_p(texts, before, symbol, p0, own, own_c)
+        out = np.zeros(len(texts))
+        here = np.flatnonzero(symbol % self.parts == self.part)
+        out[here] = self._log_p(texts[here], before[here], symbol[here], p0[here], own, own_c[here])
+        return out
+
+    def _log_p(self, texts, before, symbol, p0, own: bool, own_c) -> np.ndarray:
+        """ln p of events of this part: all of a text with the same symbol come together."""
         code = (before << 32) | symbol
         at, there = self.pairs.find(code)
         at[~there] = len(self.n) - 1
@@ -432,35 +464,49 @@ class Resident:
         if own and len(code):
             first, mine = _own(texts, code)
             n = n - mine
-            c = c - _own(texts, before)[1]
+            c = c - own_c
             alone = (first == np.arange(len(code))) & (n <= 0)
             word, _ = _own(texts, symbol)
             k = k - np.bincount(word, alone, len(code))[word]
         return np.log(probability(n, c, b, k, p0, self.numbers))
 
 
-def resident(model: Model):
-    """The broadcast tables of a model of bounded size (``model.rows``, counted by the caller): 12 bytes a pair, 20 a word."""
-    narrow = lambda c: F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c)
-    t = model.pairs.select("code", narrow("n")).toArrow()
-    code, n = _mixed(t.column(0).to_numpy()), t.column(1).to_numpy()
+def _gathered(df: DataFrame) -> list[np.ndarray]:
+    """The columns of a table of bounded size, mixed and sorted by the first; its batches go as they are copied."""
+    t = df.toArrow()
+    at, batches = t.num_rows, t.to_batches()
+    out = [np.empty(at, np.uint64 if i == 0 else f.type.to_pandas_dtype()) for i, f in enumerate(t.schema)]
     del t
-    order = np.argsort(code)
-    pairs = code[order], n[order]
-    del code, n, order
+    while batches:
+        b = batches.pop()
+        at -= b.num_rows
+        for i, x in enumerate(out):
+            values = b.column(i).to_numpy(zero_copy_only=False)
+            x[at : at + b.num_rows] = values if i else _mixed(values)
+        del b
+    trim()
+    order = np.argsort(out[0])
+    out[1:] = [x[order] for x in out[1:]]
+    del order
+    out[0].sort()
+    return out
+
+
+def resident(model: Model, part: int = 0, parts: int = 1):
+    """The broadcast tables of a model or a part of bounded size (counted by the caller): 12 bytes a pair, 20 a word."""
+    narrow = lambda c: F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c)
+    pairs = model.pairs if parts == 1 else model.pairs.filter(F.col("code").bitwiseAND(F.lit((1 << 32) - 1)) % parts == part)
+    pairs = _gathered(pairs.select("code", narrow("n")))
     settle()
-    t = model.words.select("symbol", narrow("c"), F.col("b").cast("float"), narrow("k")).toArrow()
-    symbol = _mixed(t.column(0).to_numpy())
-    order = np.argsort(symbol)
-    words = [symbol[order], *(t.column(i).to_numpy()[order] for i in range(1, 4))]
-    return model.pairs.sparkSession.sparkContext.broadcast(Resident(*pairs, *words, model.chars, model.numbers))
+    words = _gathered(model.words.select("symbol", narrow("c"), F.col("b").cast("float"), narrow("k")))
+    return model.pairs.sparkSession.sparkContext.broadcast(Resident(*pairs, *words, model.chars, model.numbers, part, parts))
 
 
 def column_scores(column, held: Resident, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Events (words and the end; 0 without words) and mean negative ln p of every text of a string column."""
+    """Events (words and the end; 0 without words) and mean negative ln p (a part's share of it) of every text of a string column."""
     held = held.ready()
     n, sums = np.zeros(len(column), np.int64), np.zeros(len(column))
-    floor, once = held.chars[0], -math.log(held.numbers[4])
+    floor, once = held.chars[0], -math.log(held.numbers[6])
     waiting: list[tuple] = []  # with ``own``, events wait for the end of their text
 
     def add(parts):
@@ -558,9 +604,30 @@ def _scores_joined(docs: DataFrame, model: Model, columns: list[str], own: bool,
     return rows.join(each.withColumnRenamed("text_hash", "__text"), "__text", "left").select(*columns, "n_words", "log_ppl")
 
 
+def _scores_passes(model: Model, parts: int, *jobs: tuple[DataFrame, list[str], bool]) -> list[DataFrame]:
+    """Scores of each of ``jobs`` (docs, columns, own), with a part of the model broadcast at a time; texts stay, their hashes join the passes."""
+    shares = [[] for _ in jobs]
+    for part in range(parts):
+        held = resident(model, part, parts)
+        settle()
+        for (docs, _, own), done in zip(jobs, shares):
+            done.append(written(_scores_resident(docs.select(F.xxhash64("text").alias("__text"), "text"), held, ["__text"], own)))
+        held.destroy()
+    out = []
+    for (docs, columns, _), done in zip(jobs, shares):
+        every = reduce(DataFrame.unionAll, done)
+        # copies of a text have the same share in every pass
+        each = every.groupBy("__text").agg(F.max("n_words").alias("n_words"), (F.avg("log_ppl") * parts).alias("log_ppl"))
+        out.append(docs.select(*columns, F.xxhash64("text").alias("__text")).join(each, "__text", "left").select(*columns, "n_words", "log_ppl"))
+    return out
+
+
 def score(docs: DataFrame, model: Model, columns: list[str], own: bool = False, resident_rows: int = 8_000_000) -> DataFrame:
     """``columns``, ``n_words`` and ``log_ppl`` (null without words) of every row; ``own``: the rows are trusted, leave each out."""
-    if model.rows <= resident_rows:
+    parts = model.parts(resident_rows)
+    if parts > 1:
+        return _scores_passes(model, parts, (docs, columns, own))[0]
+    if parts:
         return _scores_resident(docs, resident(model), columns, own)
     return _scores_joined(docs.select(*columns, "text"), model, columns, own)
 
@@ -579,15 +646,21 @@ def thresholds(trusted_scores: DataFrame, quantile: float, slack: float, margin:
     return {r.lang: r.threshold for r in by.filter(F.col("n") >= min_trusted).collect()}, every  # one row for each language with trusted text
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, quantile: float, slack: float, margin: float, min_trusted: int, resident_rows: int):
-    """The model, its broadcast tables (None where they are too large), and the thresholds."""
+def _fitted(docs: DataFrame, labels: DataFrame, columns: list[str], quantile: float, slack: float, margin: float, min_trusted: int, resident_rows: int):
+    """The broadcast tables (None where they are too large), else the scores of ``docs`` with ``columns``; and the thresholds."""
     small_batches(docs.sparkSession)
     trusted = trusted_documents(docs.select("doc_id", "lang", "text"), labels)
-    model = train(trusted)
-    held = resident(model) if model.rows <= resident_rows else None
-    settle()
-    of_trusted = _scores_resident(trusted, held, ["lang"], True) if held else _scores_joined(trusted, model, ["lang"], True)
-    return model, held, *thresholds(written(of_trusted), quantile, slack, margin, min_trusted)
+    model = train(trusted, whole=True)
+    parts, held, scores = model.parts(resident_rows), None, None
+    if parts == 1:
+        held = resident(model)
+        settle()
+        of_trusted = _scores_resident(trusted, held, ["lang"], True)
+    elif parts:
+        of_trusted, scores = _scores_passes(model, parts, (trusted, ["lang"], True), (docs, columns, False))
+    else:
+        of_trusted, scores = _scores_joined(trusted, model, ["lang"], True), _scores_joined(docs, model, columns, False)
+    return held, scores, *thresholds(written(of_trusted), quantile, slack, margin, min_trusted)
 
 
 def _limit(limits: dict, every: float | None):
@@ -601,25 +674,29 @@ def _limit(limits: dict, every: float | None):
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 4.0, margin: float = 0.1, min_trusted: int = 30, resident_rows: int = 8_000_000) -> DataFrame:
     """``doc_id, lang, n_words, log_ppl, threshold, keep`` of every document."""
     docs = docs.select("doc_id", "lang", "text")
-    model, held, limits, every = _fitted(docs, labels, quantile, slack, margin, min_trusted, resident_rows)
-    out = _scores_resident(docs, held, ["doc_id", "lang"], False) if held else _scores_joined(docs, model, ["doc_id", "lang"], False)
+    held, out, limits, every = _fitted(docs, labels, ["doc_id", "lang"], quantile, slack, margin, min_trusted, resident_rows)
+    out = _scores_resident(docs, held, ["doc_id", "lang"], False) if held else out
     limit = _limit(limits, every) + F.expr(f"{slack} / sqrt(greatest(n_words, 1))")
     keep = (F.col("n_words") > 0) & (F.col("log_ppl") <= F.col("threshold"))
     shown = F.when((F.col("n_words") > 0) & (F.col("threshold") < math.inf), F.col("threshold"))
     return out.withColumn("threshold", limit).select("doc_id", "lang", "n_words", "log_ppl", shown.alias("threshold"), F.coalesce(keep, F.lit(False)).alias("keep"))
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 4.0, margin: float = 0.1, min_trusted: int = 30, resident_rows: int = 8_000_000) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with all their columns. Decided row by row, without a join on ids, where the tables are broadcast."""
-    model, held, limits, every = _fitted(docs, labels, quantile, slack, margin, min_trusted, resident_rows)
+def keep_documents(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 4.0, margin: float = 0.1, min_trusted: int = 30, resident_rows: int = 8_000_000, small: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with all their columns. Decided row by row where the tables are broadcast whole.
+
+    Else hashes of rejected texts are joined; at most ``small`` (40 MB) are broadcast, more are shuffled, and texts with them.
+    """
+    h = free_name(docs, "text_hash")
+    hashed = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("h"))
+    held, scores, limits, every = _fitted(hashed, labels, ["lang", "h"], quantile, slack, margin, min_trusted, resident_rows)
     if not held:
-        h = free_name(docs, "text_hash")
-        scores = _scores_joined(docs.select("doc_id", "lang", F.xxhash64("text").alias("h"), "text"), model, ["doc_id", "lang", "h"], False)
-        good = scores.filter((F.col("n_words") > 0) & (F.col("log_ppl") <= _limit(limits, every) + F.expr(f"{slack} / sqrt(greatest(n_words, 1))")))
-        good = good.select(F.col("doc_id").alias("__d"), F.col("lang").alias("__l"), F.col("h").alias("__h")).distinct()
+        # a decision depends on language and text alone; those rejected are fewer than those kept
+        good = (F.col("n_words") > 0) & (F.col("log_ppl") <= _limit(limits, every) + F.expr(f"{slack} / sqrt(greatest(n_words, 1))"))
+        bad = written(scores.filter(~F.coalesce(good, F.lit(False))).select(F.col("lang").alias("__l"), F.col("h").alias("__h")).distinct())
         keyed = docs.withColumn(h, F.xxhash64("text"))
-        same = keyed["doc_id"].eqNullSafe(good["__d"]) & keyed["lang"].eqNullSafe(good["__l"]) & (keyed[h] == good["__h"])
-        return keyed.join(good, same, "left_semi").drop(h)
+        same = keyed["lang"].eqNullSafe(bad["__l"]) & (keyed[h] == bad["__h"])
+        return keyed.join(F.broadcast(bad) if bad.count() <= small else bad, same, "left_anti").drop(h)
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
     fall = math.inf if every is None else every
 

@@ -155,3 +155,82 @@ def test_joined_way_shuffles_nothing_of_the_row_or_its_words(spark):
         ways = [K._scores_joined(docs, m, ["doc_id", "lang"], own, small) for small in (1_000_000, 0)] + [K.score(docs, m, ["doc_id", "lang"], own)]
         a, b, c = ([(r.doc_id, r.lang, r.n_words, r.log_ppl and round(r.log_ppl, 4)) for r in sorted(w.collect(), key=lambda r: r.doc_id)] for w in ways)
         assert a == b == c and len(a) == len(TEXTS) + 1
+
+
+def whole_textbook(texts):
+    """ln p(w | v) of interpolated modified Kneser-Ney with all three discounts and nothing cut off, on dictionaries."""
+    c2 = Counter(p for t in texts for p in zip([EOS, *symbols(t)], symbols(t)))
+    context = defaultdict(Counter)
+    for (v, w), n in c2.items():
+        context[v][w] = n
+    c1 = Counter(w for _, w in c2)
+
+    def three(c):
+        n = [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        return [min(max(k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else y, 0), k) for k in (1, 2, 3)]
+
+    d2, d1 = three(c2), three(c1)
+    off = lambda n, d: d[min(n, 3) - 1] if n else 0.0
+    free = sum(off(n, d1) for n in c1.values()) / len(c2)
+
+    def p(v, w, p0, out=Counter(), alone=Counter()):
+        k, n = c1[w] - alone[w], c2[v, w] - out[v, w]
+        low = (k - off(k, d1)) / len(c2) + free * p0
+        seen = sum(context[v].values())
+        c = seen - sum(m for (a, _), m in out.items() if a == v)
+        if c <= 0:
+            return low
+        return (n - off(n, d2)) / c + sum(off(x, d2) for x in context[v].values()) / seen * low
+
+    return p, c2, {v for v, row in context.items() if set(row.values()) == {1}}
+
+
+@pytest.mark.parametrize("limit", [8_000_000, "parts", 0])
+def test_classifier_keeps_pairs_and_words_seen_once(spark, limit):
+    texts = [*TEXTS, "a bird sang on the log", "the cat saw a bird , the End"]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(texts))], "doc_id long, quality int")
+    m = K.train(docs, whole=True)
+    parts = {8_000_000: 1, "parts": 2, 0: 0}[limit]
+    limit = m.n_words + -(-m.n_pairs // 2) if limit == "parts" else limit
+    assert m.parts(limit) == parts
+    p, c2, _ = whole_textbook(texts)
+    assert {n for n in c2.values()} >= {1, 2, 3}
+    assert m.n_pairs == len(c2) and m.n_words == len({w for _, w in c2})
+    of_classify = {r.doc_id: r.log_ppl for r in K.classify(docs, labels, resident_rows=limit).collect()}
+    left_out = {r.doc_id: r.log_ppl for r in K.score(docs, m, ["doc_id"], True, limit).collect()}
+    kept = {r.doc_id for r in K.keep_documents(docs, labels, resident_rows=limit).collect()}
+    assert kept == {r.doc_id for r in K.classify(docs, labels).filter("keep").collect()}
+    for i, t in enumerate(texts):
+        s = symbols(t)
+        if not s:
+            assert of_classify[i] is None and left_out[i] is None
+            continue
+        pairs = list(zip([EOS, *s], s))
+        spelt = [math.exp(q) for q in spellings(t, m.chars, len(c2))]
+        own = Counter(pairs)
+        alone = Counter(w for (v, w), n in own.items() if c2[v, w] == n)
+        assert abs(of_classify[i] + np.mean([math.log(p(v, w, q)) for (v, w), q in zip(pairs, spelt)])) < 1e-5, t
+        assert abs(left_out[i] + np.mean([math.log(p(v, w, q, own, alone)) for (v, w), q in zip(pairs, spelt)])) < 1e-5, t
+
+
+def test_whole_probabilities_sum_to_one():
+    p, c2, once = whole_textbook(TEXTS)
+    assert once  # contexts that a model without pairs seen once knows nothing about
+    for v in {v for v, _ in c2} | {"unseen"}:
+        assert abs(sum(p(v, w, 0.0) for w in {w for _, w in c2}) + p(v, "nothing", 1.0) - 1) < 1e-9
+
+
+def test_passes_score_as_one_does(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.unionAll(docs.limit(5)).unionAll(docs.limit(1).selectExpr("CAST(null AS bigint) doc_id", "text", "lang", "source", "n_chars"))
+    m = K.train(K.trusted_documents(docs, labels), whole=True)
+    rows = m.n_words + -(-m.n_pairs // 3)
+    assert m.parts(rows) == 3
+    of = [K.classify(docs, labels, resident_rows=r).selectExpr("doc_id", "lang", "n_words", "round(log_ppl, 6) log_ppl", "round(threshold, 6) threshold", "keep") for r in (8_000_000, rows)]
+    a, b = (sorted(map(str, x.collect())) for x in of)
+    assert a == b and len(a) == docs.count()
+    same = lambda x: sorted(map(str, x.collect()))
+    kept = [same(K.keep_documents(docs, labels, resident_rows=r, small=s)) for r, s in ((8_000_000, 1), (rows, 1_000_000), (rows, 0))]
+    assert kept[0] == kept[1] == kept[2]
