@@ -146,11 +146,11 @@ def cuts(data: np.ndarray, at: np.ndarray, block: int) -> list[int]:
 
 
 def events(column, block: int | None = None):
-    """Blocks of ``text number, symbol before, symbol, ln p of its spelling's classes`` (as codes) of a string column.
+    """Blocks of ``text number, symbol before, symbol`` of a string column, and what spells the words.
 
     Every text of n words has n + 1 events, none without words. Yields for each
-    block: texts, befores, symbols, and (byte codes, first and end code of every
-    event) for the character model.
+    block: texts, befores, symbols, texts that end and their last symbols, and (bytes,
+    begin and end of every word, whether it is a repeated one) for the character model.
     """
     data, at = string_bytes(column)
     marks = cuts(data, at, block or BLOCK)
@@ -169,10 +169,14 @@ def events(column, block: int | None = None):
         if len(inside):
             stops[inside[inside > 0] - 1] |= ~blank[inside[inside > 0] - 1]
         start, stop = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-        texts = np.searchsorted(at, start + lo, "right") - 1
+        head, tail = int(np.searchsorted(at, lo, "right")) - 1, int(np.searchsorted(at, hi, "left"))
+        edges = np.searchsorted(start, at[head : tail + 1] - lo)
+        texts = np.repeat(np.arange(head, tail), np.diff(edges))
         up, down = _Powers.of(len(d) + 1)
         sums = np.zeros(len(d) + 1, np.uint64)
-        np.cumsum((d.astype(np.uint64) + np.uint64(1)) * up[: len(d)], out=sums[1:])
+        each = np.add(d, 1, dtype=np.uint64)
+        each *= up[: len(d)]
+        np.cumsum(each, out=sums[1:])
         h = (sums[stop] - sums[start]) * down[start]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -191,16 +195,7 @@ def events(column, block: int | None = None):
         before[1:] = np.where(texts[1:] == texts[:-1], symbol[:-1], EOS)
         if len(h):
             before[0] = last if texts[0] == open_text else EOS
-        # the spelling: classes of a byte and of the two before it in its word
-        a = CLASS[d].astype(np.int32)
-        b, c = np.zeros_like(a), np.zeros_like(a)
-        b[1:], c[2:] = a[:-1], a[:-2]
-        b[start] = c[start] = 0
-        second = start[start + 1 < len(a)] + 1
-        c[second] = 0
-        codes = (c << 12) | (b << 6) | a
-        final = (np.where(stop - start > 1, a[stop - 2], 0) << 12) | (a[stop - 1] << 6)
-        spelled = (d, codes, start, stop, final, same)
+        spelled = (d, start, stop, same)
         # texts that end in this block
         ended = np.flatnonzero(np.concatenate((texts[1:] != texts[:-1], [False]))) if len(h) else np.zeros(0, np.int64)
         end_text, end_before = texts[ended], symbol[ended]
@@ -215,13 +210,35 @@ def events(column, block: int | None = None):
         yield none, none, none, np.array([open_text]), np.array([last]), None
 
 
-def spelling(spelled, table: np.ndarray, once: float) -> np.ndarray:
-    """ln p of the spelling of every word of a block under the character model; repeated words are ``once`` less likely."""
-    d, codes, start, stop, final, repeated = spelled
-    sums = np.zeros(len(d) + 1)
-    np.cumsum(table[codes] + SHARE[d], out=sums[1:])
-    out = sums[stop] - sums[start] + table[final]
-    out[repeated] += once
+def spelled_codes(spelled, words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words (all, or those numbered) one after another, their codes (classes of a byte and of the two before it in its word), where words begin, and the codes of their ends."""
+    d, start, stop, _ = spelled
+    if words is not None:
+        start, stop = start[words], stop[words]
+    size = stop - start
+    first = np.cumsum(size) - size
+    d = d[~BLANK[d]] if words is None else d[np.arange(int(size.sum())) + np.repeat(start - first, size)]
+    codes = CLASS[d].astype(np.int64)
+    last = codes[first + size - 1]
+    final = last << 6
+    final[size > 1] |= codes[(first + size - 2)[size > 1]] << 12
+    b = np.zeros_like(codes)
+    b[1:] = codes[:-1] << 6
+    b[first] = 0
+    codes |= b
+    b[1:] = b[:-1] << 6
+    b[first] = 0
+    codes |= b
+    return d, codes, first, final
+
+
+def spelling(spelled, table: np.ndarray, once: float, words: np.ndarray | None = None) -> np.ndarray:
+    """ln p of the spelling of the words of a block (all, or those numbered) under the character model; repeated words are ``once`` less likely."""
+    d, codes, first, final = spelled_codes(spelled, words)
+    out = table[final]
+    if len(first):
+        out += np.add.reduceat(table[codes] + SHARE[d], first)
+    out[spelled[3] if words is None else spelled[3][words]] += once
     return out
 
 
@@ -230,8 +247,11 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
     return code, np.bincount(inverse, np.concatenate([n for _, n in parts]), len(code)).astype(np.int64)
 
 
-def count_events(texts: DataFrame) -> DataFrame:
-    """``kind, code, n``: pairs (0: symbol before << 32 | symbol; before is ``WORD`` for single words) and byte-class trigrams (1)."""
+def count_events(texts: DataFrame, singles: bool = True) -> DataFrame:
+    """``kind, code, n``: pairs (0: symbol before << 32 | symbol) and byte-class trigrams (1).
+
+    ``singles``: single words too (kind 0, before is ``WORD``); where all pairs are kept they follow from these.
+    """
 
     def run(batches):
         held, rows, chars = [], 0, np.zeros(KINDS**3, np.int64)
@@ -241,14 +261,15 @@ def count_events(texts: DataFrame) -> DataFrame:
 
         for b in batches:
             for _, before, symbol, _, end_before, spelled in events(b.column(0)):
-                pairs = np.concatenate(((before << 32) | symbol, end_before << 32))
-                singles = (np.int64(WORD) << 32) | np.concatenate((symbol, np.zeros(len(end_before), np.int64)))
-                held.append(np.unique(np.concatenate((pairs, singles)), return_counts=True))
-                held.append((np.array([WORD << 32 | EVENTS]), np.array([len(pairs)])))
-                rows += len(held[-2][0]) + 1
+                codes = np.concatenate(((before << 32) | symbol, end_before << 32))
+                if singles:
+                    held.append((np.array([WORD << 32 | EVENTS]), np.array([len(codes)])))
+                    codes = np.concatenate((codes, (np.int64(WORD) << 32) | symbol, (np.int64(WORD) << 32) | np.zeros(len(end_before), np.int64)))
+                held.append(np.unique(codes, return_counts=True))
+                rows += len(held[-1][0]) + singles
                 if spelled is not None:
-                    chars += np.bincount(spelled[1][spelled[1] % KINDS > 0], minlength=KINDS**3)
-                    chars += np.bincount(spelled[4], minlength=KINDS**3)
+                    _, trigrams, _, final = spelled_codes(spelled)
+                    chars += np.bincount(trigrams, minlength=KINDS**3) + np.bincount(final, minlength=KINDS**3)
                 chars[0] += len(end_before)
                 if rows > 2 * EMIT:
                     held = [_merged(held)]
@@ -319,7 +340,7 @@ class Model:
 
 def train(trusted: DataFrame, text_col: str = "text", whole: bool = False) -> Model:
     """Fits the model on all rows of ``trusted``; ``whole``: pairs seen once and words seen after one word only are kept."""
-    counts = count_events(trusted.select(text_col))
+    counts = count_events(trusted.select(text_col), singles=not whole)
     if not whole:
         # most pairs occur once; what they sum up to follows from the counts of single words
         counts = counts.filter((F.col("n") > 1) | (F.col("kind") == 1) | (F.shiftrightunsigned("code", 32) == WORD))
@@ -328,15 +349,18 @@ def train(trusted: DataFrame, text_col: str = "text", whole: bool = False) -> Mo
     before, symbol = F.shiftrightunsigned("code", 32), F.col("code").bitwiseAND(F.lit((1 << 32) - 1))
     pair = counts.filter("kind = 0").select("code", before.alias("before"), symbol.alias("symbol"), "n")
     kept, single = pair.filter(F.col("before") != WORD), pair.filter(F.col("before") == WORD)
-    total = single.filter(F.col("symbol") == EVENTS).agg(F.sum("n")).first()[0] or 0
-    single = single.filter(F.col("symbol") != EVENTS).select("symbol", F.col("n").alias("c"))
     seen = kept.agg(F.sum("n").alias("s"), *[F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
+    total = (seen.s if whole else single.filter(F.col("symbol") == EVENTS).agg(F.sum("n")).first()[0]) or 0
     d1, d2, d3 = discounts([total - (seen.s or 0) + seen.n1, seen.n2, seen.n3, seen.n4])
     d1 = d1 if whole else 1.0
     of = [F.count(F.when(F.col("n") == k, 1)).alias(name) for k, name in ((1, "ones"), (2, "twos"))]
     after = kept.groupBy(F.col("before").alias("symbol")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("s"), *of)
     ahead = kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("s2"))
-    words = single.join(after, "symbol", "left").join(ahead, "symbol", "left").fillna(0, ["kinds", "s", "ones", "twos", "contexts", "s2"])
+    if whole:
+        words = ahead.withColumn("c", F.col("s2"))
+    else:
+        words = single.filter(F.col("symbol") != EVENTS).select("symbol", F.col("n").alias("c")).join(ahead, "symbol", "left")
+    words = words.join(after, "symbol", "left").fillna(0, ["kinds", "s", "ones", "twos", "contexts", "s2"])
     b = (F.col("c") - F.col("s") + d1 * F.col("ones") + d2 * F.col("twos") + d3 * (F.col("kinds") - F.col("ones") - F.col("twos"))) / F.col("c")
     words = written(words.select("symbol", "c", b.alias("b"), (F.col("contexts") + F.col("c") - F.col("s2")).alias("k"), "kinds"))
     k = words.agg(F.sum("k").alias("s"), *[F.count(F.when(F.col("k") == i, 1)).alias(f"n{i}") for i in range(1, 5)]).first()
@@ -398,18 +422,17 @@ class Places:
         return at, there
 
 
-def _own(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every event the number of its first fellow and how many events share its keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for x in keys:
-        new[1:] |= x[order][1:] != x[order][:-1]
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
-    first, n = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    first[order], n[order] = order[new][group], size[group]
-    return first, n
+def _own(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of events with the same two keys (below 2^31 and 2^32): every event's group, sizes and a member of every group."""
+    key = (high << 32) | low
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    begun = np.flatnonzero(new)
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, np.diff(begun, append=len(key)), order[begun]
 
 
 class Resident:
@@ -432,20 +455,9 @@ class Resident:
             self.pairs, self.symbols = Places(self.pairs), Places(self.symbols)
         return self
 
-    def log_p(self, texts, before, symbol, p0, own: bool) -> np.ndarray:
-        """ln p of events (0 in other parts); with ``own``, their texts' own counts are taken out first (events of a text must come together)."""
-        own_c = _own(texts, before)[1] if own and len(texts) else np.zeros(len(texts), np.int64)
-        if self.parts == 1:
-            return self._log_p(texts, before, symbol, p0, own, own_c)
-        out = np.zeros(len(texts))
-        here = np.flatnonzero(symbol % self.parts == self.part)
-        out[here] = self._log_p(texts[here], before[here], symbol[here], p0[here], own, own_c[here])
-        return out
-
-    def _log_p(self, texts, before, symbol, p0, own: bool, own_c) -> np.ndarray:
-        """ln p of events of this part: all of a text with the same symbol come together."""
-        code = (before << 32) | symbol
-        at, there = self.pairs.find(code)
+    def counts(self, before, symbol) -> tuple:
+        """Counts of events of this part: of the pair, of the context, its mass, the word's contexts."""
+        at, there = self.pairs.find((before << 32) | symbol)
         at[~there] = len(self.n) - 1
         n = self.n[at]
         at, there = self.symbols.find(symbol)
@@ -460,15 +472,17 @@ class Resident:
         at, there = self.symbols.find(before[other])
         at[~there] = len(self.k) - 1
         back[other] = at
-        c, b = self.c[back], self.b[back]
-        if own and len(code):
-            first, mine = _own(texts, code)
-            n = n - mine
-            c = c - own_c
-            alone = (first == np.arange(len(code))) & (n <= 0)
-            word, _ = _own(texts, symbol)
-            k = k - np.bincount(word, alone, len(code))[word]
-        return np.log(probability(n, c, b, k, p0, self.numbers))
+        return n, self.c[back], self.b[back], k
+
+    def without_own(self, texts, before, symbol, here, n, c, k) -> tuple:
+        """Counts of the events ``here`` without those of their own texts, of which all events are given."""
+        context, size, _ = _own(texts, before)
+        texts, symbol, context = texts[here], symbol[here], context[here]
+        pair, times, member = _own(context, symbol)
+        n = n - times[pair]
+        word, _, _ = _own(texts, symbol)
+        alone = member[n[member] <= 0]
+        return n, c - size[context], k - np.bincount(word[alone], minlength=len(word))[word]
 
 
 def _gathered(df: DataFrame) -> list[np.ndarray]:
@@ -503,34 +517,47 @@ def resident(model: Model, part: int = 0, parts: int = 1):
 
 
 def column_scores(column, held: Resident, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Events (words and the end; 0 without words) and mean negative ln p (a part's share of it) of every text of a string column."""
+    """Events (words and the end; 0 without words) and mean negative ln p (a part's share of it) of every text of a string column.
+
+    With ``own``, without the texts' own counts. A part spells and looks up its own events only.
+    """
     held = held.ready()
     n, sums = np.zeros(len(column), np.int64), np.zeros(len(column))
     floor, once = held.chars[0], -math.log(held.numbers[6])
-    waiting: list[tuple] = []  # with ``own``, events wait for the end of their text
+    waiting, open_text = [], -1  # with ``own``, events wait for the end of their text
 
     def add(parts):
-        texts, before, symbol, lp = (np.concatenate(x) for x in zip(*parts))
-        logs = held.log_p(texts, before, symbol, np.exp(lp), own)
-        lo = int(texts.min()) if len(texts) else 0
-        count = np.bincount(texts - lo)
+        texts, before, symbol, here, p0 = (np.concatenate(x) for x in zip(*parts))
+        if not len(texts):
+            return
+        lo = int(texts.min())
+        texts = texts - lo
+        count = np.bincount(texts)
+        here = np.flatnonzero(here) if held.parts > 1 else slice(None)
+        pair, c, b, k = held.counts(before[here], symbol[here])
+        if own:
+            pair, c, k = held.without_own(texts, before, symbol, here, pair, c, k)
+        logs = np.log(probability(pair, c, b, k, p0[here], held.numbers))
         n[lo : lo + len(count)] += count
-        sums[lo : lo + len(count)] += np.bincount(texts - lo, logs)
+        sums[lo : lo + len(count)] += np.bincount(texts[here], logs, len(count))
 
     for texts, before, symbol, end_text, end_before, spelled in events(column):
-        lp = spelling(spelled, held.chars, once) if spelled is not None else np.zeros(0)
-        part = (np.concatenate((texts, end_text)), np.concatenate((before, end_before)), np.concatenate((symbol, np.zeros(len(end_text), np.int64))), np.concatenate((lp, np.full(len(end_text), floor))))
-        if not len(part[0]):
-            continue
-        if not own:
-            add([part])
-            continue
-        waiting.append(part)
-        last = int(texts[-1]) if len(texts) else -1
-        whole = [tuple(x[p[0] != last] for x in p) for p in waiting]
-        if sum(len(p[0]) for p in whole):
-            add(whole)
-            waiting = [tuple(x[p[0] == last] for x in p) for p in waiting]
+        symbol = np.concatenate((symbol, np.zeros(len(end_text), np.int64)))
+        here, p0 = symbol % held.parts == held.part, np.full(len(symbol), math.exp(floor))
+        if spelled is not None:
+            words = np.flatnonzero(here[: len(texts)]) if held.parts > 1 else None
+            p0[slice(len(texts)) if words is None else words] = np.exp(spelling(spelled, held.chars, once, words))
+        waiting.append((np.concatenate((texts, end_text)), np.concatenate((before, end_before)), symbol, here, p0))
+        if len(texts):
+            open_text = int(texts[-1])
+        elif open_text in end_text:
+            open_text = -1
+        if own and open_text >= 0:
+            add([tuple(x[p[0] != open_text] for x in p) for p in waiting])
+            waiting = [tuple(x[p[0] == open_text] for x in p) for p in waiting]
+        else:
+            add(waiting)
+            waiting = []
     if waiting:
         add(waiting)
     return n, -sums / np.maximum(n, 1)

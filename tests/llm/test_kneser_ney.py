@@ -234,3 +234,63 @@ def test_passes_score_as_one_does(spark):
     same = lambda x: sorted(map(str, x.collect()))
     kept = [same(K.keep_documents(docs, labels, resident_rows=r, small=s)) for r, s in ((8_000_000, 1), (rows, 1_000_000), (rows, 0))]
     assert kept[0] == kept[1] == kept[2]
+
+
+class Counted(np.ndarray):
+    """A table that notes how many entries were looked up."""
+
+    seen = 0
+
+    def __getitem__(self, at):
+        if isinstance(at, np.ndarray):
+            Counted.seen += at.size
+        return np.asarray(self)[at]
+
+
+def resident_parts(texts, parts):
+    """The whole model of ``texts`` in parts, without Spark."""
+    c2 = Counter()
+    for _, before, symbol, _, end_before, _ in K.events(pa.array(texts)):
+        c2.update(((before << 32) | symbol).tolist() + (end_before << 32).tolist())
+    code, n = np.array(sorted(c2)), np.array([c2[x] for x in sorted(c2)], np.int32)
+    symbols = np.unique(code & 0xFFFFFFFF)
+    at = np.searchsorted(symbols, code & 0xFFFFFFFF)
+    c, k = (np.bincount(at, w).astype(np.int32) for w in (n, None))
+    chars = np.log(np.random.default_rng(1).random(K.KINDS**3)).view(Counted)
+
+    def by_key(key, *columns):
+        order = np.argsort(K._mixed(key))
+        return (K._mixed(key)[order], *[x[order] for x in columns])
+
+    for part in range(parts):
+        here = (code & 0xFFFFFFFF) % parts == part
+        yield K.Resident(*by_key(code[here], n[here]), *by_key(symbols, c, np.full(len(c), 0.3, np.float32), k), chars, (0.5, 0.9, 1.2, 0.5, 0.9, 1.2, len(code), 0.1), part, parts)
+
+
+def test_parts_spell_their_own_words_only(monkeypatch):
+    texts = [*TEXTS, "a b a" + " " * 90 + "a b a c", "unseen words of many letters"]
+    column = pa.array(texts)
+    spelt = sum(len("".join(t.split()).encode()) + len(t.split()) for t in texts if t)
+    for own in (False, True):
+        means = {}
+        for parts in (1, 3):
+            Counted.seen = 0
+            n, means[parts] = (sum(x) for x in zip(*[K.column_scores(column, held, own) for held in resident_parts(texts[:-1], parts)]))
+            assert (n == parts * np.array([len(symbols(t)) for t in texts])).all()
+            assert Counted.seen == spelt  # the bytes and the end of every word, in one part only
+        assert np.allclose(means[1], means[3])
+        with monkeypatch.context() as patch:  # a blank longer than a block does not end a text
+            patch.setattr(K, "BLOCK", 16)
+            for parts in (1, 3):
+                assert np.allclose(sum(K.column_scores(column, held, own)[1] for held in resident_parts(texts[:-1], parts)), means[1])
+
+
+def test_single_words_follow_from_the_pairs_where_all_are_kept(spark):
+    docs = spark.createDataFrame([(t,) for t in TEXTS], "text string")
+    with_singles, pairs = (K.count_events(docs, s).filter("kind = 0").collect() for s in (True, False))
+    follow = Counter()
+    for r in pairs:
+        assert r.code >> 32 != K.WORD
+        follow[K.WORD << 32 | r.code & 0xFFFFFFFF] += r.n
+        follow[K.WORD << 32 | K.EVENTS] += r.n
+    assert follow == {r.code: r.n for r in with_singles if r.code >> 32 == K.WORD}
