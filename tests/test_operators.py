@@ -9,6 +9,7 @@ from sparkloom.operators import graph as H
 from sparkloom.operators import relational as R
 from sparkloom.operators import search as X
 from sparkloom.operators import series as T
+from sparkloom.plans.queries import QUERIES
 from sparkloom.sources import tables as IO
 
 
@@ -253,3 +254,12 @@ def test_nested_redaction_and_permitted_times(spark):
     t = spark.createDataFrame([("2024-01-05 09:00:00",), ("2024-01-05 17:00:00",), ("2024-01-06 10:00:00",), ("2024-01-08 10:00:00",), ("2024-01-09 10:00:00",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
     ok = S.may_run(F.col("t"), ["2024-01-09"], blackouts=[("2024-01-08 09:30:00", "2024-01-08 10:00:00")])
     assert [r[0] for r in t.select(ok).collect()] == [True, False, False, False, False]
+
+
+def test_many_users_are_counted_exactly(spark, tmp_path):
+    e = spark.range(60_000).select(F.expr("nullif(id % 25013, 7)").alias("user_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id") % 2)).alias("event_type"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for i in range(60_000):
+        want.setdefault(f"t{i % 2}" if i % 3 else None, set()).add(i % 25013)
+    assert {r.event_type: r.users for r in QUERIES["approx_users"](spark, str(tmp_path)).collect()} == {k: len(v - {7}) for k, v in want.items()}
