@@ -165,28 +165,46 @@ def count_min(df: DataFrame, column: str, items: DataFrame | Sequence, width: in
 
 
 class Bloom:
-    """A Bloom filter: bits set by ``k`` hashes, for about ``expected`` items at a false-positive rate of ``rate``."""
+    """A Bloom filter: bits set by ``k`` hashes, for about ``expected`` items at a false-positive rate of ``rate``.
+
+    All bits of a value lie in one block of at most ``BLOCK`` words, so values meet their
+    block by a join, and no task or driver holds more than a block at a time.
+    """
+
+    #: Words of 64 bits in a block: for some 1,700 values at 0.01, so blocks are filled alike.
+    BLOCK = 256
 
     def __init__(self, expected: int = 10_000, rate: float = 0.01):
         self.size = math.ceil(-expected * math.log(rate) / math.log(2) ** 2)
         self.k = math.ceil(self.size / expected * math.log(2))
+        self.blocks = math.ceil(self.size / 64 / self.BLOCK)
+        self.width = math.ceil(self.size / 64 / self.blocks)
         self.words: DataFrame | None = None
 
+    def _block(self, c: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(-1), c), F.lit(self.blocks))
+
     def _places(self, c: Column) -> Column:
-        h = lambda i: F.pmod(F.xxhash64(F.lit(i), c), F.lit(self.size))
-        return F.array(*[F.struct(F.floor(h(i) / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h(i), F.lit(64)).cast("int")).alias("bit")) for i in range(self.k)])
+        h = lambda i: F.pmod(F.xxhash64(F.lit(i), c), F.lit(self.width * 64))
+        return F.array(*[F.struct(F.floor(h(i) / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h(i), F.lit(64)).cast("int")).alias("bit")) for i in range(self.k)])
 
     def add(self, df: DataFrame, column: str) -> Bloom:
         """Sets the bits of all values (nulls too): words of 64 bits are merged map side first."""
-        new = df.select(F.explode(self._places(F.col(column))).alias("p")).select("p.word", "p.bit")
+        new = df.select(self._block(F.col(column)).alias("block"), F.explode(self._places(F.col(column))).alias("p")).select("block", "p.word", "p.bit")
         new = new if self.words is None else new.union(self.words)
-        self.words = new.groupBy("word").agg(F.bit_or("bit").alias("bit"))
+        self.words = new.groupBy("block", "word").agg(F.bit_or("bit").alias("bit"))
         return self
 
     def may_hold(self, df: DataFrame, column: str, name: str = "maybe") -> DataFrame:
-        """Adds whether each value may have been added; never false for one that was. The words (``size / 64`` rows) are broadcast."""
+        """Adds whether each value may have been added; never false for one that was.
+
+        Blocks are arrays of words, looked up by place. Few are broadcast; more are joined, and rows are shuffled to them.
+        """
         if self.words is None:
             return df.withColumn(name, F.lit(False))
-        held = self.words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bit"))).alias("__held"))
-        hit = F.forall(self._places(F.col(column)), lambda p: F.coalesce(F.element_at("__held", p["word"]), F.lit(0)).bitwiseAND(p["bit"]) != 0)
-        return df.crossJoin(F.broadcast(held)).withColumn(name, hit).drop("__held")  # one row of bounded size
+        every = df.sparkSession.range(self.blocks * self.width).select(F.expr(f"id div {self.width}").alias("block"), (F.col("id") % self.width).cast("int").alias("word"), F.lit(0).cast("long").alias("bit"))
+        held = self.words.union(every).groupBy("block", "word").agg(F.bit_or("bit").alias("bit"))  # all words, so that a place is an index
+        held = held.groupBy(F.col("block").alias("__block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bit"))), lambda w: w["bit"]).alias("__held"))
+        held = F.broadcast(held) if self.blocks * self.width <= 1 << 17 else held.hint("shuffle_hash")  # a megabyte
+        hit = F.forall(self._places(F.col(column)), lambda p: F.get("__held", p["word"]).bitwiseAND(p["bit"]) != 0)
+        return df.withColumn("__block", self._block(F.col(column))).join(held, "__block").withColumn(name, hit).drop("__block", "__held")

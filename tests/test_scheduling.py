@@ -120,3 +120,19 @@ def test_bloom(spark):
     hit = {r.k: r.maybe for r in f.may_hold(spark.range(4000).withColumnRenamed("id", "k"), "k").collect()}
     assert all(hit[k] for k in range(0, 4000, 2)) and sum(hit[k] for k in range(1, 4000, 2)) < 60
     assert not K.Bloom().may_hold(even, "k").filter("maybe").count()
+
+
+def test_bloom_of_many_words_is_looked_up_by_place(spark):
+    """A filter of 112,000 words: searching these for every value would take minutes; blocks are joined as well as broadcast."""
+    import time
+
+    n, begun = 150_000, time.time()
+    some = spark.range(0, 2 * n, 2).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    for expected in (n * 5, n * 6):
+        f = K.Bloom(expected, 0.01).add(some.limit(10), "k").add(some, "k")
+        asked = some.withColumn("own", F.lit(True)).union(spark.range(1, 2 * n, 2).select("id", F.lit(False)))
+        got = {r.own: (r.rows, r.hits) for r in f.may_hold(asked, "k").groupBy("own").agg(F.count(F.lit(1)).alias("rows"), F.count_if("maybe").alias("hits")).collect()}
+        assert got[True] == (n, n) and got[False][0] == n and got[False][1] < 0.001 * n
+    full = K.Bloom(n, 0.01).add(some, "k").may_hold(spark.range(1, 2 * n, 2).withColumnRenamed("id", "k"), "k")
+    assert full.filter("maybe").count() < 0.013 * n
+    assert time.time() - begun < 60
