@@ -263,3 +263,32 @@ def test_many_users_are_counted_exactly(spark, tmp_path):
     for i in range(60_000):
         want.setdefault(f"t{i % 2}" if i % 3 else None, set()).add(i % 25013)
     assert {r.event_type: r.users for r in QUERIES["approx_users"](spark, str(tmp_path)).collect()} == {k: len(v - {7}) for k, v in want.items()}
+
+
+def test_rounds_of_graphs_send_no_table_to_the_driver(spark, tmp_path):
+    """Tables below the threshold for broadcasts, which are collected by the driver: no round's plan may hold one."""
+    e = spark.createDataFrame([(i, j) for i in range(12) for j in (i + 1, i + 3)], "src long, dst long")
+    d = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("duration", F.col("node") % 4 + 1)
+    plans, cut = [], H.cut
+
+    def seen(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    H.cut = seen
+    try:
+        cp = {r.node: r for r in H.critical_path(e, d).collect()}
+        early = {r.node: (r.est, r.eft) for r in H.earliest_times(e, d).collect()}
+        H.components(e), H.closure(e)
+    finally:
+        H.cut = cut
+    assert len(plans) > 60 and not any("Broadcast" in x for x in plans)
+    est, lft = {}, {}
+    for n in range(15):
+        est[n] = max((est[m] + m % 4 + 1 for m in (n - 1, n - 3) if 0 <= m < 12 and m in est), default=0)
+    end = max(est[n] + n % 4 + 1 for n in est)
+    for n in range(14, -1, -1):
+        lft[n] = min((lft[m] - m % 4 - 1 for m in (n + 1, n + 3) if n < 12 and m in lft), default=end)
+    assert early == {n: (est[n], est[n] + n % 4 + 1) for n in est}
+    assert {n: (r.est, r.lft, r.critical) for n, r in cp.items()} == {n: (est[n], lft[n], lft[n] - n % 4 - 1 == est[n]) for n in est}
