@@ -292,3 +292,16 @@ def test_rounds_of_graphs_send_no_table_to_the_driver(spark, tmp_path):
         lft[n] = min((lft[m] - m % 4 - 1 for m in (n + 1, n + 3) if n < 12 and m in lft), default=end)
     assert early == {n: (est[n], est[n] + n % 4 + 1) for n in est}
     assert {n: (r.est, r.lft, r.critical) for n, r in cp.items()} == {n: (est[n], lft[n], lft[n] - n % 4 - 1 == est[n]) for n in est}
+
+
+def test_range_join_deals_out_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "PIECE", 2_000, raising=False)
+    points = [(k, 1.0 if k % 2 else k % 97 + 0.25) for k in range(600)] + [(600, None)]
+    ranges = [(k, a := float(k % 50), a + (3 if k % 5 else 40)) for k in range(150)]
+    p, r = spark.createDataFrame(points, "id long, x double"), spark.createDataFrame(ranges, "k long, lo double, hi double")
+    out = R.range_join(p, r, "x", "lo", "hi", 4.0)
+    assert out.columns == ["id", "x", "k", "lo", "hi"]
+    want = sorted((i, k) for i, x in points if x is not None for k, a, b in ranges if a <= x <= b)
+    assert sorted((row.id, row.k) for row in out.collect()) == want
+    each = [n for n in out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(each) >= 6 and max(each) < len(want) / 3
