@@ -58,6 +58,14 @@ def goes_at_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of tables that are read no more, and has shuffles of frames that are gone deleted."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def rebuilt(df: DataFrame) -> DataFrame:
     """``df`` cut, and built anew from its rows: a checkpoint keeps its plan's estimate of size, which joins multiply from round to round."""
     spark, held = df.sparkSession, cut(df)

@@ -21,9 +21,12 @@ Scoring. Each event needs the count of its pair and the rows of its two words.
 Where the tables have at most ``resident`` rows (their number is counted; 20 bytes
 each at most) they are broadcast and texts are scored where they lie. Tables of up
 to ``PASSES`` times that are parted by the second word of the pairs, and texts are
-read once for every part: a text's mean is the sum over the parts. Beyond that, the
-distinct pairs of every text are joined with the tables on hashed keys, and texts
-stay. All ways give the same scores.
+read once for every part: a text's mean is the sum over the parts. Beyond that,
+chunks of texts ask for what they need: their distinct pairs and words go to the
+tables as sorted keys, what was found comes back to the chunk, and every chunk is
+scored with its own small table. Texts are worked off in ``SLICES`` parts, whose
+tables and shuffles go before the next, so disk is bounded. All ways give the same
+scores (``_scores_joined`` is the plain form of the last, kept for comparison).
 
 Decision. A trusted document is scored without its own counts (leave one out), so
 all of them train the model and set thresholds nevertheless. The mean of n events
@@ -43,15 +46,19 @@ threshold, and documents with words are kept; extra columns are ignored by
 from __future__ import annotations
 
 import math
+import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import free_name, settle, small_batches, table, trim, written
+from sparkloom.llm.common import dropped, free_name, settle, shared_dir, small_batches, table, trim, written
 
 #: The boundary of a text, the mark of single-word counts, the first symbol of a word. Between them: a word's place in a run.
 EOS, WORD, FIRST = 0, 1, 1024
@@ -61,6 +68,8 @@ EVENTS = WORD
 BLOCK, EMIT = 1 << 18, 750_000
 #: Most passes over the texts with a part of the model each; a pass costs the reading and hashing of all texts.
 PASSES = 8
+#: Texts that ask for their rows together (bytes), parts in which this is done, rows of the model in a bucket of keys.
+CHUNK, SLICES, BUCKET = 1 << 24, 4, 1 << 19
 ODD = 0x9E3779B97F4A7C15
 KINDS = 64
 
@@ -631,6 +640,199 @@ def _scores_joined(docs: DataFrame, model: Model, columns: list[str], own: bool,
     return rows.join(each.withColumnRenamed("text_hash", "__text"), "__text", "left").select(*columns, "n_words", "log_ppl")
 
 
+def _packed(mixed: np.ndarray) -> bytes:
+    """Sorted mixed keys as differences, byte by byte: the leading bytes are zeros, which compress."""
+    return np.diff(mixed, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(keys: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _values(columns: list[np.ndarray]) -> np.ndarray:
+    """Columns of four bytes side by side, as bytes of rows."""
+    return np.hstack([np.ascontiguousarray(c).view(np.uint8).reshape(-1, 4) for c in columns])
+
+
+ASKED = "bucket int, kind byte, chunk bigint, keys binary, vals binary"
+FOUND = pa.schema([("chunk", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("vals", pa.binary())])
+
+
+def _dealt(kind: int, chunk: int, mixed: np.ndarray, values: np.ndarray | None, bits: int) -> pa.RecordBatch:
+    """Sorted keys (and their values) as one row for every bucket: the leading ``bits`` of keys."""
+    ends = np.searchsorted(mixed, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    spans = [(j, lo, hi) for j, (lo, hi) in enumerate(zip([0, *ends], [*ends, len(mixed)])) if hi > lo]
+    n = len(spans)
+    keys, vals = [_packed(mixed[lo:hi]) for _, lo, hi in spans], [None if values is None else values[lo:hi].T.tobytes() for _, lo, hi in spans]
+    columns = [pa.array([j for j, _, _ in spans], pa.int32()), pa.array([kind] * n, pa.int8()), pa.array([chunk] * n, pa.int64()), pa.array(keys, pa.binary()), pa.array(vals, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "kind", "chunk", "keys", "vals"])
+
+
+def _held_keys(model: Model, bits: int) -> DataFrame:
+    """The tables of a model, as rows of sorted keys and values for every bucket."""
+    narrow = lambda c: F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c)
+
+    def pack(kind):
+        def run(batches):
+            held, rows = [], 0
+
+            def out():
+                key, *columns = (np.concatenate(x) for x in zip(*held))
+                mixed = _mixed(key)
+                order = np.argsort(mixed)
+                held.clear()
+                return _dealt(kind, 0, mixed[order], _values([c[order] for c in columns]), bits)
+
+            for b in batches:
+                held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)])
+                rows += b.num_rows
+                if rows > 2 * EMIT:
+                    yield out()
+                    rows = 0
+            if rows:
+                yield out()
+            trim()
+
+        return run
+
+    pairs = model.pairs.select("code", narrow("n")).mapInArrow(pack(0), ASKED)
+    return pairs.unionAll(model.words.select("symbol", narrow("c"), F.col("b").cast("float"), narrow("k")).mapInArrow(pack(1), ASKED))
+
+
+def _in_chunks(texts: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, text and ``chunk``: neighbours of about ``CHUNK`` bytes in all."""
+
+    def run(batches):
+        chunk, room = TaskContext.get().partitionId() << 32, CHUNK
+        for b in batches:
+            data, at = string_bytes(b.column(b.num_columns - 1))
+            number = chunk + (at[1:] - at[0] + CHUNK - room) // CHUNK
+            if b.num_rows:
+                room = CHUNK - int((at[-1] - at[0] + CHUNK - room) % CHUNK)
+                chunk = int(number[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64())], names=[*columns, "text", "__chunk"])
+
+    return texts.mapInArrow(run, f"{_kinds(texts, columns)}text string, __chunk bigint")
+
+
+def _by_chunk(batches):
+    """Rows of one chunk that follow each other, of batches with the chunk in their last column."""
+    for b in batches:
+        chunk = b.column(b.num_columns - 1).to_numpy()
+        marks = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+        for lo, hi in zip(marks, marks[1:]):
+            if hi > lo:
+                yield int(chunk[lo]), b.slice(lo, hi - lo)
+
+
+def _asked_keys(chunked: DataFrame, bits: int) -> DataFrame:
+    """The distinct pairs and words of every chunk as sorted keys, a row for every bucket."""
+
+    def run(batches):
+        held, now = [], None
+
+        def out():
+            codes = np.unique(np.concatenate(held)).view(np.uint64)
+            held.clear()
+            for kind, keys in ((0, codes), (1, np.unique(np.concatenate((codes & np.uint64(0xFFFFFFFF), codes >> np.uint64(32)))))):
+                yield _dealt(kind, now, np.sort(_mixed(keys)), None, bits)
+
+        for chunk, b in _by_chunk(batches):
+            if held and chunk != now:
+                yield from out()
+            now = chunk
+            for _, before, symbol, _, end_before, _ in events(b.column(0)):
+                held.append(np.unique(np.concatenate(((before << 32) | symbol, end_before << 32))))
+            if len(held) > 64:
+                held[:] = [np.unique(np.concatenate(held))]
+        if held:
+            yield from out()
+        trim()
+
+    return chunked.select("text", "__chunk").mapInArrow(run, ASKED)
+
+
+def _table(folder: str, *kinds: int) -> list[list[np.ndarray]]:
+    """Sorted keys and columns of the rows of each kind in a folder of packed rows (none, if it is not there)."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    parts = {kind: [] for kind in kinds}
+    for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.startswith("part-"):
+            with fs.open_input_file(f.path) as source:
+                t = pq.ParquetFile(source).read(columns=["kind", "keys", "vals"])
+            for kind, k, v in zip(*(t.column(i).to_pylist() for i in range(3))):
+                if kind in parts:
+                    parts[kind].append((_unpacked(k), np.frombuffer(v, np.uint8).reshape(12 if kind else 4, -1).T))
+    out = []
+    for kind in kinds:
+        columns = [np.int32, np.float32, np.int32] if kind else [np.int32]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in parts[kind])])
+        vals = np.concatenate([np.zeros((0, 4 * len(columns)), np.uint8), *(v for _, v in parts[kind])])
+        order = np.argsort(keys)
+        out.append([keys[order], *(np.ascontiguousarray(vals[order, 4 * i : 4 * i + 4]).view(t).ravel() for i, t in enumerate(columns))])
+    return out
+
+
+def _found(batches, folder: str):
+    """What chunks ask for, of rows by bucket and kind; a bucket of the model is read once for all of its rows."""
+    at = None
+    for b in batches:
+        rows = {"chunk": [], "kind": [], "keys": [], "vals": []}
+        for bucket, kind, chunk, k in zip(*(b.column(i).to_pylist() for i in range(4))):
+            if (bucket, kind) != at:
+                (keys, *columns), at = _table(f"{folder}/bucket={bucket}", kind)[0], (bucket, kind)
+            wanted = _unpacked(k)
+            place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            hit = keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool)
+            if hit.any():
+                for name, x in zip(rows, (chunk, kind, _packed(wanted[hit]), _values([c[place[hit]] for c in columns]).T.tobytes())):
+                    rows[name].append(x)
+        yield pa.RecordBatch.from_pydict(rows, schema=FOUND)
+    trim()
+
+
+def _scores_asked(model: Model, *jobs: tuple[DataFrame, list[str], bool]) -> list[DataFrame]:
+    """Scores of each of ``jobs`` (docs, columns, own) for models of any size: chunks of texts ask for their rows of the model.
+
+    Asked and found keys take about as many bytes as the texts, all in all; a slice's go before the next.
+    """
+    spark = model.pairs.sparkSession
+    bits = max(1, (model.rows // BUCKET).bit_length())
+    root = f"{shared_dir(spark).rstrip('/')}/asked-{uuid.uuid4().hex}"
+    buckets = _held_keys(model, bits).repartition(1 << bits, "bucket")
+    buckets.write.option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/model")
+    del buckets
+    constant = spark.sparkContext.broadcast((model.chars, model.numbers))
+    out = []
+    for job, (docs, columns, own) in enumerate(jobs):
+        shares = []
+        for part in range(SLICES):
+            at = f"{root}/{job}-{part}"
+            mine = docs.select(*columns, "text").filter(F.pmod(F.xxhash64("text", *columns), F.lit(SLICES)) == part)
+            chunked = written(_in_chunks(mine, columns), f"{at}/texts")
+            asked = _asked_keys(chunked, bits).repartition(1 << bits, "bucket", "kind").sortWithinPartitions("bucket", "kind")
+            found = asked.mapInArrow(lambda batches: _found(batches, f"{root}/model"), "chunk bigint, kind byte, keys binary, vals binary")
+            found.repartition("chunk").write.option("compression", "zstd").partitionBy("chunk").parquet(f"{at}/found")
+
+            def run(batches, folder=f"{at}/found", own=own, columns=columns):
+                now, table = None, None
+                for chunk, b in _by_chunk(batches):
+                    if chunk != now:
+                        now, table = chunk, None
+                        pairs, words = _table(f"{folder}/chunk={chunk}", 0, 1)
+                        table = Resident(*pairs, *words, *constant.value)
+                    n, mean = column_scores(b.column(b.num_columns - 2), table, own)
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(np.maximum(n - 1, 0)), pa.array(mean, pa.float64(), mask=n == 0)], names=[*columns, "n_words", "log_ppl"])
+                trim()
+
+            shares.append(written(chunked.mapInArrow(run, f"{_kinds(docs, columns)}n_words bigint, log_ppl double"), f"{root}/scores-{job}-{part}"))
+            del chunked, asked, found
+            dropped(spark, at)
+        out.append(reduce(DataFrame.unionAll, shares))
+    dropped(spark, f"{root}/model")
+    return out
+
+
 def _scores_passes(model: Model, parts: int, *jobs: tuple[DataFrame, list[str], bool]) -> list[DataFrame]:
     """Scores of each of ``jobs`` (docs, columns, own), with a part of the model broadcast at a time; texts stay, their hashes join the passes."""
     shares = [[] for _ in jobs]
@@ -656,7 +858,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], own: bool = False,
         return _scores_passes(model, parts, (docs, columns, own))[0]
     if parts:
         return _scores_resident(docs, resident(model), columns, own)
-    return _scores_joined(docs.select(*columns, "text"), model, columns, own)
+    return _scores_asked(model, (docs, columns, own))[0]
 
 
 def trusted_documents(docs: DataFrame, labels: DataFrame, small: int = 1_000_000) -> DataFrame:
@@ -686,7 +888,7 @@ def _fitted(docs: DataFrame, labels: DataFrame, columns: list[str], quantile: fl
     elif parts:
         of_trusted, scores = _scores_passes(model, parts, (trusted, ["lang"], True), (docs, columns, False))
     else:
-        of_trusted, scores = _scores_joined(trusted, model, ["lang"], True), _scores_joined(docs, model, columns, False)
+        of_trusted, scores = _scores_asked(model, (trusted, ["lang"], True), (docs, columns, False))
     return held, scores, *thresholds(written(of_trusted), quantile, slack, margin, min_trusted)
 
 

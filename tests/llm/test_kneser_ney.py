@@ -294,3 +294,20 @@ def test_single_words_follow_from_the_pairs_where_all_are_kept(spark):
         follow[K.WORD << 32 | r.code & 0xFFFFFFFF] += r.n
         follow[K.WORD << 32 | K.EVENTS] += r.n
     assert follow == {r.code: r.n for r in with_singles if r.code >> 32 == K.WORD}
+
+
+def test_chunks_ask_for_their_rows_of_the_model(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    docs = docs.unionAll(docs.limit(5)).unionAll(docs.limit(2).selectExpr("CAST(null AS bigint) doc_id", "if(doc_id % 2 = 0, null, text) text", "null lang", "source", "n_chars"))
+    for name, value in (("CHUNK", 9_000), ("BUCKET", 4_000), ("BLOCK", 5_000)):
+        monkeypatch.setattr(K, name, value)
+    trusted = K.trusted_documents(docs, labels)
+    m = K.train(trusted, whole=True)
+    rows = lambda df: sorted(str((r.doc_id, r.lang, r.n_words, r.log_ppl and round(r.log_ppl, 5))) for r in df.collect())
+    jobs = [(trusted, ["doc_id", "lang"], True), (docs, ["doc_id", "lang"], False)]
+    for got, (texts, columns, own) in zip(K._scores_asked(m, *jobs), jobs):
+        assert rows(got) == rows(K.score(texts, m, columns, own))
+    ways = [sorted(map(str, K.classify(docs, labels, resident_rows=r).selectExpr("doc_id", "lang", "n_words", "round(log_ppl, 5)", "round(threshold, 5)", "keep").collect())) for r in (8_000_000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == docs.count()
+    keys = np.sort(K._mixed(np.arange(-50, 900, 7)))
+    assert (K._unpacked(K._packed(keys)) == keys).all() and len(K._unpacked(b"")) == 0
